@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import canonical
+from textloom.llm import canonical, residue, stuffing
 from textloom.session import load
 
 
@@ -27,5 +27,43 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.same_look_pairs(p3_forms(spark, sf_dir), table="record_table", key="record_id")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that are or hold template residue, filler, error messages or script notices."""
+    return residue.residue_evidence(load(spark, sf_dir, "text_candidates"), key="candidate_id", text="text", host="source_id").select("candidate_id")
+
+
+def _against_manifest(spark: SparkSession, sf_dir: str, found: DataFrame, field: str) -> DataFrame:
+    """Counts of found candidates by shard and language beside what the manifest says."""
+    candidates, manifest = load(spark, sf_dir, "text_candidates", "corpus_manifest")
+    tag = F.lower(F.regexp_replace(F.trim("language_tag"), "-", "_"))
+    slices = candidates.select("candidate_id", "shard_id", tag.alias("language_key")).dropDuplicates(["candidate_id"])
+    counts = slices.join(found.select("candidate_id"), "candidate_id").groupBy("shard_id", "language_key").agg(F.count("*").alias("found"))
+    stated = manifest.select("shard_id", "language", F.lower("language").alias("language_key"), F.col(f"filters.{field}").alias("stated"))
+    return stated.join(counts, ["shard_id", "language_key"], "left").select(
+        "shard_id", "language", F.coalesce("found", F.lit(0)).alias("found"), "stated", (F.coalesce("found", F.lit(0)) - F.col("stated")).alias("difference")
+    )
+
+
+def p4_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Template residue by shard and language against the manifest's count."""
+    return _against_manifest(spark, sf_dir, p4_found(spark, sf_dir), "template_residue")
+
+
+def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate's share of keyword, link and tag stretches."""
+    return stuffing.stuffing(load(spark, sf_dir, "text_candidates"), key="candidate_id", text="text")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates more than half of which is keywords, links or tags."""
+    return p6_shares(spark, sf_dir).where(F.col("share") > stuffing.SHARE).select("candidate_id")
+
+
+def p6_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword-stuffed candidates by shard and language against the manifest's count."""
+    return _against_manifest(spark, sf_dir, p6_found(spark, sf_dir), "keyword_stuffing")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p3_forms": p3_forms}
+    names = "p3_found p3_forms p4_found p4_manifest p6_found p6_shares p6_manifest".split()
+    return {name: globals()[name] for name in names}
