@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import canonical, residue, stuffing
+from textloom.llm import canonical, leakage, pairs, residue, spans, stuffing
 from textloom.session import load
 
 
@@ -64,6 +64,53 @@ def p6_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _against_manifest(spark, sf_dir, p6_found(spark, sf_dir), "keyword_stuffing")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective translations with the first defect that applies."""
+    return pairs.defects(
+        load(spark, sf_dir, "hymt2_decode_ab"),
+        key="id",
+        source="source_text",
+        answer="challenger_translation",
+        source_language="source_language",
+        target_language="target_language",
+        sound="baseline_translation",
+    )
+
+
+def p7_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defects by route and type, with the share of the route's distinct records."""
+    rows = load(spark, sf_dir, "hymt2_decode_ab").select("id", "route").dropDuplicates(["id"])
+    totals = rows.groupBy("route").agg(F.count("*").alias("records"))
+    counts = rows.join(p7_found(spark, sf_dir), "id").groupBy("route", "defect_type").agg(F.count("*").alias("defects"))
+    return counts.join(totals, "route").select("route", "defect_type", "defects", "records", (F.col("defects") / F.col("records")).alias("share"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the evaluation items of which they hold at least half."""
+    documents, items = load(spark, sf_dir, "documents", "reference_records")
+    return leakage.leaks(documents, items, key="doc_id", text="text", item="item_id", passage="text")
+
+
+def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every evaluation item with the number of documents it leaked into and whether its policy blocks."""
+    items = load(spark, sf_dir, "reference_records")
+    counts = p9_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"))
+    rows = items.select("item_id", "reference_id", "kind", "policy").dropDuplicates(["item_id"])
+    return rows.join(counts, "item_id", "left").withColumn("documents", F.coalesce("documents", F.lit(0))).withColumn(
+        "blocking", (F.col("documents") > 0) & (F.col("policy") == "block")
+    )
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents that share a stretch of at least 200 code points."""
+    return spans.span_pairs(load(spark, sf_dir, "documents"), key="doc_id", text="text")
+
+
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the share of it that stands elsewhere."""
+    return spans.shared_shares(load(spark, sf_dir, "documents"), key="doc_id", text="text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = "p3_found p3_forms p4_found p4_manifest p6_found p6_shares p6_manifest".split()
+    names = "p3_found p3_forms p4_found p4_manifest p6_found p6_shares p6_manifest p7_found p7_routes p9_found p9_items p10_found p10_shares".split()
     return {name: globals()[name] for name in names}
