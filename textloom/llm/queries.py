@@ -7,10 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import canonical, leakage, pairs, residue, spans, stuffing
+from textloom.llm import canonical, encoding, leakage, pairs, residue, spans, stuffing, tokens
 from textloom.session import load
 
 
+def _name(column: str):
+    """A source id or language tag in one spelling."""
+    return F.lower(F.regexp_replace(F.trim(column), r"[\s_-]+", "_"))
+
+
+def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate and document once, with its estimated tokens and the slices it belongs to."""
+    candidates, documents, catalog = load(spark, sf_dir, "text_candidates", "documents", "source_catalog")
+    known = catalog.select(_name("source_id").alias("source"), F.col("domain").alias("known")).groupBy("source").agg(F.max("known").alias("known"))
+    keep = ["candidate_id", "source_id", "language_tag", "domain", "student_tokens", "ingested_at"]
+    counted = tokens.estimate_tokens(candidates.withColumn("ingested_at", F.unix_micros("ingested_at")), text="text", keep=keep)
+    latest = F.struct("ingested_at", "tokens", "source_id", "language_tag", "domain", "student_tokens")
+    once = counted.groupBy("candidate_id").agg(F.max(latest).alias("x")).select("candidate_id", "x.*")
+    stated = F.when((F.col("student_tokens") > 0) & (F.col("student_tokens") <= 20 * F.greatest("tokens", F.lit(1))), F.col("student_tokens"))
+    left = once.select(
+        F.lit("text_candidates").alias("record_table"), F.col("candidate_id").alias("record_id"), _name("source_id").alias("source"),
+        _name("language_tag").alias("language"), "domain", "tokens", stated.cast("bigint").alias("stated"),
+    )
+    right = tokens.estimate_tokens(documents, text="text", keep=["doc_id", "source", "lang", "domain"]).select(
+        F.lit("documents").alias("record_table"), F.col("doc_id").alias("record_id"), _name("source").alias("source"),
+        _name("lang").alias("language"), "domain", "tokens", F.lit(None).cast("bigint").alias("stated"),
+    )
+    both = left.unionByName(right).join(known, "source", "left")
+    return both.select("record_table", "record_id", "source", "language", F.coalesce("domain", "known").alias("domain"), "tokens", "stated")
+
+
+def p2_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals of candidates and documents by source, language and domain."""
+    return tokens.token_budget(p2_records(spark, sf_dir))
+
+
 def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct record of both tables with its consistent form."""
     candidates, entries = load(spark, sf_dir, "text_candidates", "text_entries")
@@ -85,6 +116,11 @@ def p7_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(totals, "route").select("route", "defect_type", "defects", "records", (F.col("defects") / F.col("records")).alias("share"))
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids by the 50k byte-level vocabulary, without special tokens."""
+    return encoding.encode_corpus(load(spark, sf_dir, "documents"), key="doc_id", text="text")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the evaluation items of which they hold at least half."""
     documents, items = load(spark, sf_dir, "documents", "reference_records")
@@ -112,5 +148,5 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = "p3_found p3_forms p4_found p4_manifest p6_found p6_shares p6_manifest p7_found p7_routes p9_found p9_items p10_found p10_shares".split()
+    names = "p2_totals p2_records p3_found p3_forms p4_found p4_manifest p6_found p6_shares p6_manifest p7_found p7_routes p8_ids p9_found p9_items p10_found p10_shares".split()
     return {name: globals()[name] for name in names}
