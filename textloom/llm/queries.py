@@ -5,10 +5,59 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textloom.llm import canonical, encoding, leakage, pairs, residue, spans, stuffing, tokens
-from textloom.session import load
+from textloom.llm import canonical, encoding, leakage, overlap, pairs, residue, spans, splits, stuffing, tokens
+from textloom.session import load, write_table
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment keys whose component shows two splits or more."""
+    locales, samples = load(spark, sf_dir, "locale_records", "encoded_samples")
+    tied = samples.select(F.col("sample_group_id").alias("group"), F.col("provenance.alignment_key").alias("alignment_key"))
+    return splits.crossing_keys(locales.select("alignment_key", "split"), tied)
+
+
+def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every locale record and encoded sample with its component and the split it is given."""
+    locales, samples, targets = load(spark, sf_dir, "locale_records", "encoded_samples", "split_targets")
+    tied = samples.select(F.col("sample_group_id").alias("g"), splits.blank_free("provenance.alignment_key").alias("alignment_key"))
+    of_key = splits.key_components(tied, group="g", key="alignment_key")
+    of_group = tied.join(of_key, "alignment_key").where("g is not null").groupBy("g").agg(F.min("component_key").alias("group_component"))
+    left = (
+        locales.select("lang", splits.blank_free("alignment_key").alias("alignment_key"), "source_record_id")
+        .distinct()
+        .join(of_key, "alignment_key", "left")
+        .select(
+            F.lit("locale_records").alias("record_table"),
+            F.concat_ws("|", "lang", "source_record_id").alias("record_id"),
+            F.coalesce("component_key", "alignment_key", F.concat_ws("|", F.lit("record"), "lang", "source_record_id")).alias("component"),
+            F.col("lang").alias("label"),
+        )
+    )
+    keyed = samples.select(
+        "sample_id", F.col("sample_group_id").alias("g"), splits.blank_free("provenance.alignment_key").alias("alignment_key"), F.col("target_language").alias("label")
+    ).dropDuplicates(["sample_id"])
+    right = keyed.join(of_group, "g", "left").select(
+        F.lit("encoded_samples").alias("record_table"),
+        F.col("sample_id").alias("record_id"),
+        F.coalesce("group_component", "alignment_key", F.concat_ws("|", F.lit("group"), F.coalesce("g", "sample_id"))).alias("component"),
+        "label",
+    )
+    rows = write_table(left.unionByName(right), "records").frame
+    sizes = rows.groupBy("component", "label").agg(F.count("*").alias("records"))
+    return rows.join(splits.assign_splits(sizes, targets), "component").select("record_table", "record_id", F.col("component").alias("component_key"), "split")
+
+
+def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records, components and shares of each split against its target."""
+    targets = load(spark, sf_dir, "split_targets")
+    rows = p1_splits(spark, sf_dir).groupBy("split").agg(F.count("*").alias("records"), F.count_distinct("component_key").alias("components"))
+    total = F.sum("records").over(W.partitionBy(F.lit(1)))
+    return rows.join(targets.select("split", F.col("share").alias("target")), "split", "left").select(
+        "split", "records", "components", (F.col("records") / total).alias("share"), "target"
+    )
 
 
 def _name(column: str):
@@ -80,6 +129,18 @@ def p4_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _against_manifest(spark, sf_dir, p4_found(spark, sf_dir), "template_residue")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a training and an evaluation entry that are the same or nearly so."""
+    return overlap.split_overlaps(load(spark, sf_dir, "text_entries"), key="entry_id", text="normalized", splits="splits")
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping entries by split and source of the entries and of their sample groups."""
+    entries, samples = load(spark, sf_dir, "text_entries", "encoded_samples")
+    found = write_table(p5_found(spark, sf_dir), "overlaps").frame
+    return overlap.overlap_report(found, entries, key="entry_id", splits="splits", source="source_id", groups="groups", samples=samples)
+
+
 def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate's share of keyword, link and tag stretches."""
     return stuffing.stuffing(load(spark, sf_dir, "text_candidates"), key="candidate_id", text="text")
@@ -148,5 +209,5 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = "p2_totals p2_records p3_found p3_forms p4_found p4_manifest p6_found p6_shares p6_manifest p7_found p7_routes p8_ids p9_found p9_items p10_found p10_shares".split()
+    names = "p1_found p1_splits p1_shares p2_totals p2_records p3_found p3_forms p4_found p4_manifest p5_found p5_report p6_found p6_shares p6_manifest p7_found p7_routes p8_ids p9_found p9_items p10_found p10_shares".split()
     return {name: globals()[name] for name in names}
