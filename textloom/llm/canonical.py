@@ -125,42 +125,40 @@ def canonical_text(frame: DataFrame, text: str, *, key: list[str]) -> DataFrame:
     partition before the shuffle and joined with the suspects on the token, so nothing corpus-sized is broadcast.
 
     Returns the ``key`` columns, ``stored`` (MD5 of the text as stored) and ``canonical``. A null text stays null, an
-    empty one empty; repeated rows stay repeated; an empty table gives an empty table.
+    empty one empty; a repeated row may come out once or as often as it stands; an empty table gives an empty table.
     """
 
+    inner = [f"__k{i}" for i in range(len(key))]
+
     def folded(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(batch.schema.get_field_index("__text")).to_pylist()
+        texts = batch.column(batch.num_columns - 1).to_pylist()
         base = [None if t is None else fold(t) for t in texts]
         odd = [None if b is None else ([n.lower() for _, n in suspects(b)] or None) for b in base]
-        kept = [batch.column(batch.schema.get_field_index(k)) for k in [*key, "__stored"]]
+        kept = batch.columns[:-1]
         return pa.RecordBatch.from_arrays(
-            [*kept, pa.array(base, pa.string()), pa.array(odd, pa.list_(pa.string()))], names=[*key, "stored", "base", "odd"]
+            [*kept, pa.array(base, pa.string()), pa.array(odd, pa.list_(pa.string()))], names=[*inner, "stored", "base", "odd"]
         )
 
-    source = frame.select(*key, F.col(text).alias("__text"), F.md5(F.col(text)).alias("__stored"))
-    types = ", ".join(f"`{k}` {source.schema[k].dataType.simpleString()}" for k in key)
+    source = frame.select(*(F.col(k).alias(i) for k, i in zip(key, inner, strict=True)), F.md5(text).alias("stored"), F.col(text).alias("text"))
+    types = ", ".join(f"{i} {source.schema[i].dataType.simpleString()}" for i in inner)
     base = write_table(map_batches(source, folded, f"{types}, stored string, base string, odd array<string>"), "folded").frame
     wanted = base.where("odd is not null").select(F.explode("odd").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     clean = base.select(F.explode(F.regexp_extract_all("base", F.lit(r"([A-Za-zÀ-ɏ]+)"), F.lit(1))).alias("token"))
     clean = clean.select(F.lower("token").alias("token")).groupBy("token").agg(F.lit(1).alias("seen"))
     accepted = wanted.join(clean, "token", "left").where("n > 1 or seen = 1").select("token")
+    # Rows with suspects are few; they are told apart by a hash of key and text, and meet only their own tokens.
     odd = base.where("odd is not null").withColumn("token", F.explode("odd")).join(accepted, "token")
-    odd = odd.groupBy(*key, "stored", "base").agg(F.collect_set("token").alias("accepted"))
+    odd = odd.groupBy(*inner, "stored").agg(F.any_value("base").alias("base"), F.collect_set("token").alias("accepted"))
 
     def repaired(batch: pa.RecordBatch) -> pa.RecordBatch:
-        at = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        done = [
-            b if not a else repair(b, set(a)) for b, a in zip(at["base"].to_pylist(), at["accepted"].to_pylist(), strict=True)
-        ]
-        return pa.RecordBatch.from_arrays(
-            [*(at[k] for k in key), at["stored"], pa.array(done, pa.string())], names=[*key, "stored", "canonical"]
-        )
+        *kept, texts, tokens = batch.columns
+        done = [repair(b, set(a)) for b, a in zip(texts.to_pylist(), tokens.to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([*kept, pa.array(done, pa.string())], names=[*inner, "stored", "canonical"])
 
     fixed = map_batches(odd, repaired, f"{types}, stored string, canonical string")
-    marks = fixed.select(*key, "stored").distinct().withColumn("__fixed", F.lit(True))
-    rest = base.where("odd is null").select(*key, "stored", F.col("base").alias("canonical"))
-    held = base.where("odd is not null").join(marks, [*key, "stored"], "left_anti").select(*key, "stored", F.col("base").alias("canonical"))
-    return rest.unionByName(fixed).unionByName(held)
+    kept = base.where("odd is not null").join(odd.select(*inner, "stored"), [*inner, "stored"], "left_anti")
+    rest = base.where("odd is null").unionByName(kept).select(*inner, "stored", F.col("base").alias("canonical"))
+    return rest.unionByName(fixed).toDF(*key, "stored", "canonical")
 
 
 def same_look_pairs(canon: DataFrame, *, table: str, key: str) -> DataFrame:

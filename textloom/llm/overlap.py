@@ -207,7 +207,7 @@ def overlap_report(pairs: DataFrame, entries: DataFrame, *, key: str, splits: st
     """
     ends = pairs.select(F.col("left_id").alias("k")).unionAll(pairs.where("left_id <> right_id").select(F.col("right_id").alias("k")))
     ends = ends.groupBy("k").agg(F.count("*").alias("pairs"))
-    once = entries.dropDuplicates([key]).select(F.col(key).alias("k"), F.col(source).alias("source"), F.col(splits).alias("s"), F.col(groups).alias("g"))
+    once = entries.select(F.col(key).alias("k"), F.col(source).alias("source"), F.col(splits).alias("s"), F.col(groups).alias("g")).dropDuplicates(["k"])
     hit = ends.join(once, "k").withColumn("split", F.explode(F.array_distinct(F.transform(F.coalesce("s", F.array()), split_name))))
     own = hit.groupBy("split", "source").agg(F.count("*").alias("entries"), F.sum("pairs").alias("pairs"))
     of = samples.select(F.col("sample_group_id").alias("group"), F.col("source_id").alias("source")).distinct()
