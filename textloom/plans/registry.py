@@ -24,4 +24,6 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _modules() -> list:
-    return []
+    from textloom.plans import cleaning
+
+    return [cleaning]
