@@ -19,7 +19,7 @@ def cut_units(text: str, most: int, most_bytes: int) -> list[str]:
     or later; else at the cap itself. Nothing is lost but the spaces at the cuts.
     """
     units = []
-    for line in re.split(r"\r\n|[\n-\r\x1c-\x1e\x85  ]", text):
+    for line in re.split(r"\r\n|[\n-\r\x1c-\x1e\x85\u2028\u2029]", text):
         line = " ".join(html.unescape(line).replace("\xa0", " ").split())
         while len(line) > most or len(line.encode()) > most_bytes:
             size = min(most, len(line))

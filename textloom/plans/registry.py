@@ -24,6 +24,6 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _modules() -> list:
-    from textloom.plans import cleaning
+    from textloom.plans import cleaning, identity, parallel
 
-    return [cleaning]
+    return [cleaning, identity, parallel]
