@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def top_per_group(frame: DataFrame, group: Sequence[str], order: Sequence[Column | str], size: int | Column, rank: str = "rank") -> DataFrame:
@@ -64,41 +65,50 @@ def with_ceilings(frame: DataFrame, kind: str, order: Sequence[Column | str], ce
     return top_per_group(frame, [kind], order, limit)
 
 
-def greedy_fill(frame: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:
-    """Rows taken in order while they fit a budget per group; a row that does not fit is skipped and the next tried.
+def _fold(frame: DataFrame, group: str, order: Sequence[str], value: str, start: Callable, step: Callable, mark: str) -> DataFrame:
+    """Run a fold over each group's rows in order and add what it says of each row as ``mark``.
 
-    The fold is sequential by definition, but a row larger than the budget can never be taken and, once what is left is
-    smaller than the least row still to come, nothing more is: groups are read sorted and in a stream, never as one
-    frame.
+    Rows are brought together by group and sorted by Spark, which spills; the fold then reads each partition as a
+    stream and holds only its own state, so a group of any size passes through without being gathered in memory.
     """
-    schema = frame.schema
+    schema = T.StructType([*frame.schema.fields, T.StructField(mark, T.LongType())])
+    sorted_rows = frame.repartition(group).sortWithinPartitions(group, *order)
+
+    def run(batches):
+        current, state, first = None, None, True
+        for batch in batches:
+            names = batch.schema.names
+            out = []
+            for g, v in zip(batch.column(names.index(group)).to_pylist(), batch.column(names.index(value)).to_pylist(), strict=True):
+                if first or g != current:
+                    current, state, first = g, start(), False
+                state, said = step(state, v)
+                out.append(said)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*names, mark])
+
+    return sorted_rows.mapInArrow(run, schema)
+
 
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        left, taken = budget, []
-        for i, n in enumerate(rows.sort_values([order])[size].tolist()):
-            if n is not None and n <= left:
-                taken.append(i)
-                left -= n
-        return rows.sort_values([order]).iloc[taken]
+def greedy_fill(frame: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:
+    """Rows taken in order while they fit a budget per group; a row that does not fit is skipped and the next tried."""
+
+    def step(left: int, n: int | None) -> tuple[int, int]:
+        return (left - n, 1) if n is not None and n <= left else (left, 0)
 
-    return frame.where(F.col(size) <= budget).groupBy(group).applyInPandas(fill, schema)
+    return _fold(frame.where(F.col(size) <= budget), group, [order], size, lambda: budget, step, "taken").where("taken = 1").drop("taken")
 
 
 def token_batches(frame: DataFrame, group: str, order: str, tokens: str, *, most_rows: int, most_tokens: int) -> DataFrame:
     """Batch number of every row: a new batch where the row would break a cap. A running sum with resets. Adds ``batch``."""
-    schema = frame.schema.add("batch", "int")
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([order])
-        batch, held, total, out = 0, 0, 0, []
-        for n in rows[tokens].fillna(0).tolist():
-            if held and (held == most_rows or total + n > most_tokens):
-                batch, held, total = batch + 1, 0, 0
-            out.append(batch)
-            held, total = held + 1, total + n
-        return rows.assign(batch=out)
-
-    return frame.groupBy(group).applyInPandas(pack, schema)
+
+    def step(state: tuple[int, int, int], n: int | None) -> tuple[tuple[int, int, int], int]:
+        batch, held, total = state
+        n = n or 0
+        if held and (held == most_rows or total + n > most_tokens):
+            batch, held, total = batch + 1, 0, 0
+        return (batch, held + 1, total + n), batch
+
+    return _fold(frame, group, [order], tokens, lambda: (0, 0, 0), step, "batch")
 
 
 def smooth_shares(weights: dict[str, int], exposures: int) -> dict[str, int]:
