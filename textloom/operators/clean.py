@@ -113,7 +113,9 @@ def output_reasons(source: Column, target: Column, language: Column, finish: Col
     squeeze = lambda c: F.lower(F.regexp_replace(c, f"[{X.WHITE}]", ""))
     holders = lambda c: F.array_sort(F.regexp_extract_all(c, F.lit(X.PLACEHOLDER), F.lit(0)))
     simplified, traditional = X.simplified_count(text), X.traditional_count(text)
-    same = F.when(language == "zho_Hant", X.simplified_count(source) == 0).when(language == "zho_Hans", X.traditional_count(source) == 0).otherwise(F.lit(False))
+    chinese = (X.script_count(source, "han") > 0) & (X.count(source, "".join(X.SCRIPTS[s] for s in ("hiragana", "katakana", "hangul"))) == 0)
+    neutral = F.when(language == "zho_Hant", X.simplified_count(source) == 0).when(language == "zho_Hans", X.traditional_count(source) == 0)
+    same = chinese & F.coalesce(neutral, F.lit(False))
     ratio = X.compact_length(text) / F.greatest(X.compact_length(source), F.lit(4))
     repeated = F.rlike(text, F.lit(r"([^\s])\1{11,}"))
     if backreferences:

@@ -88,6 +88,7 @@ def corpus_scores(frame: DataFrame, group: str, hypothesis: str, reference: str)
     parts = [F.coalesce(F.try_divide(5 * p * r, 4 * p + r), F.lit(0.0)) for p, r in zip(precision, recall, strict=True)]
     live = [F.when((F.col(f"c{3 * n + 1}") > 0) & (F.col(f"c{3 * n + 2}") > 0), 1).otherwise(0) for n in range(order)]
     chrf = 100 * sum(parts, F.lit(0.0)) / F.greatest(sum(live, F.lit(0)), F.lit(1))
+    bleu = F.when(F.col("c1") == 0, 0.0).otherwise(bleu)
     return sums.select(group, "records", F.coalesce(bleu, F.lit(0.0)).alias("bleu"), chrf.alias("chrf"))
 
 

@@ -211,13 +211,14 @@ def _output_sql() -> str:
     t, s, tag = "answer", "source_text", "target_language"
     squeeze = lambda c: f"lower({S.strip(c, f'[{X.WHITE}]')})"
     holders = lambda c: f"list_sort(regexp_extract_all({c}, {S.quoted(X.PLACEHOLDER)}))"
+    other = S.count(s, "".join(X.SCRIPTS[x] for x in ("hiragana", "katakana", "hangul")))
     ratio = f"{S.compact(t)} / greatest({S.compact(s)}, 4)"
     run = f"len(list_filter(list_distinct(string_split({t}, '')), lambda c: c <> '' and not regexp_matches(c, '\\s') and contains({t}, repeat(c, 12)))) > 0"
     checks = [
         ("empty_output", f"{t} = ''"),
         ("prompt_echo", " or ".join(f"contains(lower({t}), {S.quoted(m)})" for m in X.PROMPT_ECHO)),
         ("extra_explanation", f"regexp_matches({t}, {S.quoted(X.EXPLANATION)})"),
-        ("source_copy", f"{squeeze(s)} <> '' and {squeeze(s)} = {squeeze(t)} and not (case {tag} when 'zho_Hant' then {S.simplified(s)} = 0 when 'zho_Hans' then {S.traditional(s)} = 0 else false end)"),
+        ("source_copy", f"{squeeze(s)} <> '' and {squeeze(s)} = {squeeze(t)} and not ({S.script(s, 'han')} > 0 and {other} = 0 and (case {tag} when 'zho_Hant' then {S.simplified(s)} = 0 when 'zho_Hans' then {S.traditional(s)} = 0 else false end))"),
         ("truncated", "coalesce(challenger_finish_reason = 'length', false)"),
         ("abnormal_repetition", run),
         ("placeholder_mismatch", f"{holders(s)} <> {holders(t)}"),
