@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.arrow import map_batches
 from textloom.llm.canonical import skeleton
+from textloom.session import write_table
 
 # Notices that scripts are required; matched in lower case.
 SCRIPTS = r"""
@@ -178,7 +179,8 @@ def residue_evidence(frame: DataFrame, *, key: str, text: str, host: str, recurr
 
     ``recurrent`` is the number of distinct records of one host from which a normalised line counts as boilerplate.
     Line counts are aggregated per partition before the shuffle, so a host that holds a third of all rows adds only
-    one partial count per line and partition; lines of records without evidence never travel with their text.
+    one partial count per line and partition; lines of records without evidence never travel with their text. The texts
+    are scanned once: the few lines with evidence are kept as a table in the shared folder.
     Null and empty texts give no row. A record delivered twice counts once. An empty table gives no rows. A null host
     is a host of its own.
     """
@@ -195,7 +197,7 @@ def residue_evidence(frame: DataFrame, *, key: str, text: str, host: str, recurr
         return out
 
     kinds = frame.schema[key].dataType.simpleString()
-    found = map_batches(rows, scan, f"k {kinds}, h string, line string, kind string")
+    found = write_table(map_batches(rows, scan, f"k {kinds}, h string, line string, kind string"), "evidence").frame
     strong = found.where("kind <> 'weak'").select("k", "kind")
     weak = found.where("kind = 'weak'").select("k", "h", "kind", _normal_line(F.col("line")).alias("n"))
     lines = rows.select("k", "h", F.explode(F.split("x", _LINE)).alias("line"))
