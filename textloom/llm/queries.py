@@ -39,10 +39,10 @@ def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = samples.select(
         "sample_id", F.col("sample_group_id").alias("g"), splits.blank_free("provenance.alignment_key").alias("alignment_key"), F.col("target_language").alias("label")
     ).dropDuplicates(["sample_id"])
-    right = keyed.join(of_group, "g", "left").select(
+    right = keyed.join(of_group, "g", "left").join(of_key, "alignment_key", "left").select(
         F.lit("encoded_samples").alias("record_table"),
         F.col("sample_id").alias("record_id"),
-        F.coalesce("group_component", "alignment_key", F.concat_ws("|", F.lit("group"), F.coalesce("g", "sample_id"))).alias("component"),
+        F.coalesce("group_component", "component_key", "alignment_key", F.concat_ws("|", F.lit("group"), F.coalesce("g", "sample_id"))).alias("component"),
         "label",
     )
     rows = write_table(left.unionByName(right), "records").frame
