@@ -24,6 +24,6 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _modules() -> list:
-    from textloom.plans import aggregates, cleaning, identity, journal, parallel, selection, similarity, vocabulary
+    from textloom.plans import aggregates, cleaning, identity, journal, parallel, review, selection, similarity, vocabulary
 
-    return [cleaning, identity, parallel, similarity, selection, aggregates, vocabulary, journal]
+    return [cleaning, identity, parallel, similarity, selection, aggregates, vocabulary, journal, review]
