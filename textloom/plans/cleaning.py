@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from textloom.functions import text as X
 from textloom.operators import clean
 from textloom.plans import sqltext as S
-from textloom.session import load
+from textloom.session import load, spread
 
 NATIVE = X.CleaningRules(backreferences=False)
 
 
 def _segments(spark, sf_dir, rules=NATIVE):
-    docs = load(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
     return clean.with_reason(clean.line_segments(docs, "text"), "lang", rules).drop("text")
 
 
@@ -43,7 +43,7 @@ def clean_first_reason(spark, sf_dir):
 
 def bounded_segment_counts(spark, sf_dir):
     """Segments cut to both caps, with entities resolved, by language and reason."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     rows = clean.with_reason(clean.bounded_segments(docs, "text", most=400, most_bytes=800), "lang", X.CleaningRules())
     return rows.groupBy("lang", F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("segments"))
 

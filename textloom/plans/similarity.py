@@ -9,7 +9,7 @@ from textloom.operators import dedup as D
 from textloom.operators.graph import components
 from textloom.operators.select import exact_or_near_first
 from textloom.plans import sqltext as S
-from textloom.session import load
+from textloom.session import load, spread
 
 
 def _entries(spark, sf_dir):
@@ -91,7 +91,7 @@ def dedup_components(spark, sf_dir):
 
 def greedy_dedup(spark, sf_dir):
     """First-wins deduplication of documents by one-permutation MinHash, by language and verdict."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce("lang", F.lit("none")).alias("lang"))
+    docs = spread(load(spark, sf_dir, "documents")).select("doc_id", "text", F.coalesce("lang", F.lit("none")).alias("lang"))
     found = D.greedy_near_duplicates(docs, "doc_id", "lang", "text")
     return found.groupBy("lang", "verdict").agg(F.count("*").alias("documents"))
 

@@ -87,6 +87,18 @@ def write_table(frame: DataFrame, label: str = "t") -> Table:
     return table
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """A freshly read table over at least half as many partitions as there are cores.
+
+    For work that costs far more than moving its input: a table of a single file is one task, however many cores wait.
+    A table of many files is left as it is, so nothing is shuffled at scale. Only the plan is asked, no job runs.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    if frame._jdf.queryExecution().toRdd().getNumPartitions() * 2 >= cores:
+        return frame
+    return frame.repartition(cores)
+
+
 def load(spark: SparkSession, sf_dir: str, *names: str):
     """Read one table, or several as a tuple, from a data folder."""
     frames = tuple(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")) for name in names)
