@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.llm import canonical, encoding, leakage, overlap, pairs, residue, spans, splits, stuffing, tokens
-from textloom.session import load, write_table
+from textloom.session import load, spread, write_table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     candidates, documents, catalog = load(spark, sf_dir, "text_candidates", "documents", "source_catalog")
     known = catalog.select(_name("source_id").alias("source"), F.col("domain").alias("known")).groupBy("source").agg(F.max("known").alias("known"))
     keep = ["candidate_id", "source_id", "language_tag", "domain", "student_tokens", "ingested_at"]
-    counted = tokens.estimate_tokens(candidates.withColumn("ingested_at", F.unix_micros("ingested_at")), text="text", keep=keep)
+    counted = tokens.estimate_tokens(spread(candidates.select("text", *keep)).withColumn("ingested_at", F.unix_micros("ingested_at")), text="text", keep=keep)
     latest = F.struct("ingested_at", "tokens", "source_id", "language_tag", "domain", "student_tokens")
     once = counted.groupBy("candidate_id").agg(F.max(latest).alias("x")).select("candidate_id", "x.*")
     stated = F.when((F.col("student_tokens") > 0) & (F.col("student_tokens") <= 20 * F.greatest("tokens", F.lit(1))), F.col("student_tokens"))
@@ -78,7 +78,7 @@ def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("text_candidates").alias("record_table"), F.col("candidate_id").alias("record_id"), _name("source_id").alias("source"),
         _name("language_tag").alias("language"), "domain", "tokens", stated.cast("bigint").alias("stated"),
     )
-    right = tokens.estimate_tokens(documents, text="text", keep=["doc_id", "source", "lang", "domain"]).select(
+    right = tokens.estimate_tokens(spread(documents.select("text", "doc_id", "source", "lang", "domain")), text="text", keep=["doc_id", "source", "lang", "domain"]).select(
         F.lit("documents").alias("record_table"), F.col("doc_id").alias("record_id"), _name("source").alias("source"),
         _name("lang").alias("language"), "domain", "tokens", F.lit(None).cast("bigint").alias("stated"),
     )
@@ -109,7 +109,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates that are or hold template residue, filler, error messages or script notices."""
-    return residue.residue_evidence(load(spark, sf_dir, "text_candidates"), key="candidate_id", text="text", host="source_id").select("candidate_id")
+    return residue.residue_evidence(spread(load(spark, sf_dir, "text_candidates").select("candidate_id", "text", "source_id")), key="candidate_id", text="text", host="source_id").select("candidate_id")
 
 
 def _against_manifest(spark: SparkSession, sf_dir: str, found: DataFrame, field: str) -> DataFrame:
@@ -143,7 +143,7 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate's share of keyword, link and tag stretches."""
-    return stuffing.stuffing(load(spark, sf_dir, "text_candidates"), key="candidate_id", text="text")
+    return stuffing.stuffing(spread(load(spark, sf_dir, "text_candidates").select("candidate_id", "text")), key="candidate_id", text="text")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
