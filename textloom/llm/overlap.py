@@ -108,27 +108,26 @@ def similar_texts(texts: DataFrame) -> DataFrame:
 
     def prefixes(batch: pa.RecordBatch) -> dict[str, list]:
         table = sent.value
-        out: dict[str, list] = {n: [] for n in ("piece", "h", "n", "at", "train", "held", *(f"s{i}" for i in range(WORDS)))}
-        for h, form, train, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        out: dict[str, list] = {n: [] for n in ("piece", "h", "n", "at", *(f"s{i}" for i in range(WORDS)))}
+        for h, form in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             hashes = piece_hashes(form)
             n = len(hashes)
             if not n:
                 continue
             rank = np.lexsort((hashes, table[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)]))
             first = n - (SIMILAR * n + 99) // 100 + 1
-            sketch = parity_sketch(hashes)
-            for at, piece in enumerate(hashes[rank[:first]].view(np.int64).tolist()):
-                for name, value in zip(out, (piece, h, n, at, train, held, *sketch), strict=True):
-                    out[name].append(value)
+            columns = [hashes[rank[:first]].view(np.int64).tolist(), [h] * first, [n] * first, range(first)]
+            for name, values in zip(out, [*columns, *([word] * first for word in parity_sketch(hashes))], strict=True):
+                out[name].extend(values)
         return out
 
-    keys = map_batches(
-        texts.select("h", "form", "train", "held"), prefixes, f"piece bigint, h string, n int, at int, train boolean, held boolean, {words}"
-    )
+    def keys(side: str) -> DataFrame:
+        return map_batches(texts.where(side).select("h", "form"), prefixes, f"piece bigint, h string, n int, at int, {words}")
+
     need = f"ceil({SIMILAR} * (x.n + y.n) / {100 + SIMILAR})"
     apart = " + ".join(f"bit_count(x.s{i} ^ y.s{i})" for i in range(WORDS))
-    met = keys.where("held").alias("x").join(
-        keys.where("train").alias("y"),
+    met = keys("held").alias("x").join(
+        keys("train").alias("y"),
         F.expr(
             f"x.piece = y.piece and x.h <> y.h and x.n * {SIMILAR} <= y.n * 100 and y.n * {SIMILAR} <= x.n * 100"
             f" and 1 + least(x.n - x.at - 1, y.n - y.at - 1) >= {need} and {apart} <= x.n + y.n - 2 * {need}"
