@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.functions.arrow import map_batches
+from textloom.session import write_table
 
 #: Characters of a window.
 GRAM = 64
@@ -262,13 +263,15 @@ def shared_spans(documents: DataFrame, *, key: str, text: str, span: int = 200)
     a row for each place. An empty table gives no rows.
 
     Windows are first reduced to one row per text and place, so copies - even a third of all rows - meet as one. Only
-    repeated windows are shuffled. The join is on the window's hash and keeps each pair of texts once; adaptive
+    repeated windows are written and shuffled, once. The join is on the window's hash and keeps each pair of texts once; adaptive
     execution splits a hot window's partition.
     """
-    windows = repeated_windows(documents, key=key, text=text, span=span).distinct()
+    windows = write_table(repeated_windows(documents, key=key, text=text, span=span), "windows").frame
     many = windows.groupBy("window").agg(F.min("same").alias("a"), F.max("same").alias("b")).where("a <> b").select("window")
-    windows = windows.join(many, "window", "left_semi")
-    left, right = windows.alias("x"), windows.alias("y")
+    # One row per text and place: the surroundings follow from those, so any copy's will do.
+    shared = windows.join(many, "window", "left_semi").groupBy("window", "same", "place")
+    shared = write_table(shared.agg(F.any_value("around").alias("around"), F.any_value("before").alias("before")), "shared").frame
+    left, right = shared.alias("x"), shared.alias("y")
     met = left.join(right, F.expr("x.window = y.window and x.same < y.same")).select(
         F.col("x.same").alias("left"), F.col("y.same").alias("right"),
         F.col("x.place").alias("p"), F.col("y.place").alias("q"),
