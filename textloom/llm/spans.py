@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from textloom.functions.arrow import map_batches
 from textloom.session import write_table
@@ -158,17 +159,27 @@ def merge_blobs(blobs: list[bytes]) -> bytes:
     return _pack(once, twice)
 
 
+def _unseen(batch: pa.RecordBatch, seen: set[str]) -> tuple[list[str], list[str]]:
+    """Digests and texts of a batch of which the task has seen no copy; copies share nothing that their first does not."""
+    fresh: dict[str, str] = {}
+    for digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        if digest not in seen:
+            seen.add(digest)
+            fresh[digest] = text
+    return list(fresh), list(fresh.values())
+
+
 def sketch(texts: DataFrame, span: int, width: int) -> dict[tuple[int, int], bytes]:
-    """The merged count-min sketch of all selected windows of the one column of ``texts``, by row and slice."""
+    """The merged count-min sketch of all selected windows of ``texts`` (digest, text), by row and slice."""
     schema = T.StructType.fromDDL("row int, slice int, part int, blob binary")
     cells = width // SLICES
 
     def count(batches):
         once = np.zeros((DEPTH, width // 8), np.uint8)
         twice = np.zeros((DEPTH, width // 8), np.uint8)
-        some = False
+        some, seen = False, set()
         for batch in batches:
-            _, _, hashes = select_windows([t or "" for t in batch.column(0).to_pylist()], span)
+            _, _, hashes = select_windows(_unseen(batch, seen)[1], span)
             for row in range(DEPTH if len(hashes) else 0):
                 some = True
                 cell, number = np.unique(_cells(hashes, row, width), return_counts=True)
@@ -207,7 +218,8 @@ def repeated_windows(documents: DataFrame, *, key: str, text: str, span: int) ->
     width = LEAST
     while width < min(MOST, ROOM * total * 2 // (span - GRAM)):
         width *= 2
-    merged = sketch(usable.select(text), span, width)
+    rows = usable.select(F.md5(text).alias("same"), F.col(text).alias("x"))
+    merged = sketch(rows, span, width)
     side = span - GRAM
     state: list[np.ndarray] = []
     cells = width // SLICES
@@ -219,9 +231,7 @@ def repeated_windows(documents: DataFrame, *, key: str, text: str, span: int) ->
             state.append(np.stack(rows))
         return state[0]
 
-    def keep(batch: pa.RecordBatch) -> dict[str, list]:
-        names = batch.column(0).to_pylist()
-        texts = batch.column(1).to_pylist()
+    def keep(names: list[str], texts: list[str]) -> dict[str, list]:
         number, place, hashes = select_windows(texts, span)
         table = twice()
         good = np.ones(len(hashes), bool)
@@ -237,8 +247,16 @@ def repeated_windows(documents: DataFrame, *, key: str, text: str, span: int) ->
             "before": [min(p, side) for p in place],
         }
 
-    rows = usable.select(F.md5(text).alias("same"), F.col(text).alias("x"))
-    return map_batches(rows, keep, "window bigint, same string, place int, around string, before int")
+    schema = T.StructType.fromDDL("window bigint, same string, place int, around string, before int")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        seen: set[str] = set()
+        for batch in batches:
+            columns = keep(*_unseen(batch, seen))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
 
 
 def _common(a: str, b: str) -> int:
