@@ -182,3 +182,19 @@ def test_pairs_and_relations(spark):
     assert sorted((r.direction, r.s, r.t) for r in both.collect()) == [("forward", "a", "b"), ("reverse", "b", "a")]
     assert parallel.relation_faults(both.withColumn("split", F.lit("x")), ["g"], "s", "t", "split").count() == 0
     assert parallel.relation_faults(both.limit(1).withColumn("split", F.lit("x")), ["g"], "s", "t", "split").count() == 1
+
+
+def test_ranked_numbers_groups_of_any_size(spark):
+    random.seed(8)
+    rows = [(random.choice(["a", "a", "a", "b", None]), i, f"v{i}") for i in random.sample(range(1000), 400)]
+    frame = spark.createDataFrame(rows, "g string, o long, v string").repartition(5)
+    got = {(r.g, r.o): r.position for r in select.ranked(frame, "g", ["o"]).collect()}
+    for group in ("a", "b", None):
+        assert [got[group, o] for o in sorted(o for g, o, _ in rows if g == group)] == list(range(sum(g == group for g, _, _ in rows)))
+
+
+def test_first_of_a_near_identity_wins(spark):
+    rows = [(3, "n", "x"), (1, "n", "y"), (2, "n", "y"), (5, "m", "z")]
+    frame = spark.createDataFrame(rows, "id long, near string, exact string")
+    got = {r.id: r.duplicate for r in select.exact_or_near_first(frame, "near", "exact", "id").collect()}
+    assert got == {1: None, 2: "exact_duplicate", 3: "near_duplicate", 5: None}

@@ -130,28 +130,30 @@ def greedy_near_duplicates(frame: DataFrame, key: str, block: str, text: str, *,
         F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: sha(F.concat_ws(",", F.col("b"), i.cast("string"), F.array_join(F.slice("sig", i * rows + 1, rows), ",")))
     )
     signed = signed.withColumn("buckets", buckets)
-    edges = signed.select(F.explode(F.array_append("buckets", F.concat_ws(",", "b", "exact"))).alias("r"), "k")
-    placed = signed.join(components(edges, "r", "k"), signed["k"] == F.col("entity"))
+    firsts = signed.groupBy("b", "exact").agg(F.min("k").alias("k"), F.any_value("sig").alias("sig"), F.any_value("buckets").alias("buckets"))
+    edges = firsts.select(F.explode("buckets").alias("r"), "k")
+    placed = firsts.join(components(edges, "r", "k"), firsts["k"] == F.col("entity"))
 
     def fold(rows_: pd.DataFrame) -> pd.DataFrame:
         rows_ = rows_.sort_values("k")
-        texts, owners, verdicts = set(), {}, []
-        for exact, sig, keys in zip(rows_["exact"], rows_["sig"], rows_["buckets"], strict=True):
-            if exact in texts:
-                verdicts.append("exact")
-                continue
+        owners, verdicts = {}, []
+        for sig, keys in zip(rows_["sig"], rows_["buckets"], strict=True):
             ours = [int(v, 16) for v in sig]
             if any(minhash_similarity(ours, owners[x]) >= similarity for x in keys if x in owners):
                 verdicts.append("near")
                 continue
-            texts.add(exact)
             for x in keys:
                 owners.setdefault(x, ours)
             verdicts.append("kept")
-        return pd.DataFrame({"k": rows_["k"], "b": rows_["b"], "verdict": verdicts})
-
-    kinds = f"k {frame.schema[key].dataType.simpleString()}, b {frame.schema[block].dataType.simpleString()}, verdict string"
-    return placed.select("k", "b", "exact", "sig", "buckets", "component").groupBy("component").applyInPandas(fold, kinds).toDF(key, block, "verdict")
+        return pd.DataFrame({"first": rows_["k"], "b": rows_["b"], "exact": rows_["exact"], "verdict": verdicts})
+
+    kind = frame.schema[key].dataType.simpleString()
+    kinds = f"first {kind}, b {frame.schema[block].dataType.simpleString()}, exact string, verdict string"
+    judged = placed.select("k", "b", "exact", "sig", "buckets", "component").groupBy("component").applyInPandas(fold, kinds)
+    # A later copy of a kept text is exact; one of a dropped text meets the same owner as that did.
+    rows_all = signed.select("k", "b", "exact").join(judged, ["b", "exact"])
+    verdict = F.when(F.col("k") == F.col("first"), F.col("verdict")).when(F.col("verdict") == "kept", F.lit("exact")).otherwise(F.lit("near"))
+    return rows_all.select(F.col("k").alias(key), F.col("b").alias(block), verdict.alias("verdict"))
 
 
 def crossing_texts(frame: DataFrame, text: Column, language: str, split: Column) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.session import write_table
+
 
 def top_per_group(frame: DataFrame, group: Sequence[str], order: Sequence[Column | str], size: int | Column, rank: str = "rank") -> DataFrame:
     """The first ``size`` rows of every group, with their rank from 1. The limit is pushed below the shuffle."""
@@ -23,17 +25,44 @@ def bottom_k(frame: DataFrame, order: Sequence[Column | str], size: int) -> Data
     return frame.orderBy(*order).limit(size)
 
 
-def interleave(frame: DataFrame, stratum: str, rank: Column, strata_rank: Column) -> DataFrame:
-    """Round-robin order over strata, in closed form: position inside the stratum, then the stratum's own rank. Adds ``turn``."""
-    return frame.withColumn("turn", F.row_number().over(W.partitionBy(stratum).orderBy(rank))).withColumn("stratum_rank", strata_rank)
+def ranked(frame: DataFrame, group: str, order: Sequence[str], name: str = "position") -> DataFrame:
+    """Position of every row in its group's order from 0, for groups of any size.
+
+    A window over a whole group would sort it in one task. Here rows are range-partitioned by group and order and kept
+    as a table, numbered inside their partition, and shifted by what earlier partitions hold of the group: a table of
+    at most partitions times groups rows.
+    """
+    rows = frame.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id())
+    kept = write_table(rows, "ranked").frame
+    sizes = kept.groupBy(group, "_part").agg(F.count("*").alias("_n"))
+    before = W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    shifts = sizes.select(F.col(group).alias("_g"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    inside = F.row_number().over(W.partitionBy("_part", group).orderBy(*order)) - 1
+    numbered = kept.withColumn("_inside", inside)
+    joined = numbered.join(shifts, numbered[group].eqNullSafe(F.col("_g")) & (numbered["_part"] == F.col("_p")))
+    return joined.withColumn(name, F.col("_inside") + F.col("_shift")).drop("_part", "_inside", "_g", "_p", "_shift")
+
+
+def interleave(frame: DataFrame, stratum: str, rank: Column, strata_rank: Column, turns: int) -> DataFrame:
+    """Round-robin order over strata, in closed form: position inside the stratum, then the stratum's own rank.
+
+    Adds ``turn`` and ``stratum_rank``; only the first ``turns`` rows of a stratum are kept, which is cut off before
+    the shuffle.
+    """
+    taken = frame.withColumn("turn", F.row_number().over(W.partitionBy(stratum).orderBy(rank))).where(F.col("turn") <= turns)
+    return taken.withColumn("stratum_rank", strata_rank)
+
 
+def exact_or_near_first(frame: DataFrame, near: str, exact: str, order: str) -> DataFrame:
+    """First row of every near identity wins; the others are exact copies of the winner or near ones. Adds ``duplicate``.
 
-def exact_or_near_first(frame: DataFrame, near: str, exact: str, order: Sequence[Column | str]) -> DataFrame:
-    """First row of every near identity wins; the others are exact copies of the winner or near ones. Adds ``duplicate``."""
-    window = W.partitionBy(near).orderBy(*order)
-    rows = frame.withColumn("n", F.row_number().over(window)).withColumn("first_exact", F.first(exact).over(window))
-    label = F.when(F.col("n") == 1, F.lit(None)).when(F.col("first_exact") == F.col(exact), F.lit("exact_duplicate")).otherwise("near_duplicate")
-    return rows.withColumn("duplicate", label).drop("n", "first_exact")
+    The winners are found by aggregation with partial results, and joined back: a near identity that a third of all
+    rows share is one partial row per partition and a join that adaptive execution may split.
+    """
+    winners = frame.groupBy(F.col(near).alias("_near")).agg(F.min(F.struct(F.col(order).alias("o"), F.col(exact).alias("e"))).alias("_first"))
+    rows = frame.join(winners, F.col(near) == F.col("_near"))
+    label = F.when(F.col(order) == F.col("_first.o"), F.lit(None)).when(F.col("_first.e") == F.col(exact), F.lit("exact_duplicate")).otherwise("near_duplicate")
+    return rows.withColumn("duplicate", label).drop("_near", "_first")
 
 
 def capped_shares(counts: dict[str, int], ceilings: dict[str, float]) -> dict[str, int]:
@@ -124,9 +153,8 @@ def smooth_shares(weights: dict[str, int], exposures: int) -> dict[str, int]:
     return {name: drawn[name] + exposures // total * weight for name, weight in weights.items()}
 
 
-def length_buckets(frame: DataFrame, order: Sequence[Column | str], length: Column, *, batch: int, pool: int, group: str) -> DataFrame:
+def length_buckets(frame: DataFrame, order: Sequence[str], length: str, *, batch: int, pool: int, group: str) -> DataFrame:
     """Batches of similar length: rows in order form pools of ``pool`` batches, which are sorted by length and cut again."""
-    place = F.row_number().over(W.partitionBy(group).orderBy(*order)) - 1
-    rows = frame.withColumn("pool", F.floor(place / (batch * pool)).cast("int"))
+    rows = ranked(frame, group, order).withColumn("pool", F.floor(F.col("position") / (batch * pool)).cast("int")).drop("position")
     inside = F.row_number().over(W.partitionBy(group, "pool").orderBy(length, *order)) - 1
     return rows.withColumn("batch", F.floor(inside / batch).cast("int"))

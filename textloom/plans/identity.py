@@ -58,11 +58,14 @@ def blind_sides(spark, sf_dir):
 
 
 def trace_digest(spark, sf_dir):
-    """Digest of each user's events in order, without noise columns."""
+    """Digest of each user's events in order, without noise columns: of parts of 1,024 numbers, then of the parts."""
     events = load(spark, sf_dir, "events").where("event_type <> 'view'")
     line = F.concat_ws("|", F.col("event_id").cast("string"), "event_type", "props")
-    rows = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("e"))
-    return rows.select("user_id", F.size("e").alias("events"), I.sha(F.array_join(F.col("e.line"), "\n")).alias("digest"))
+    part = F.floor(F.col("event_id") / 1024).cast("bigint")
+    parts = events.groupBy("user_id", part.alias("part")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("e"))
+    parts = parts.select("user_id", "part", "n", I.sha(F.array_join(F.col("e.line"), "\n")).alias("d"))
+    rows = parts.groupBy("user_id").agg(F.sum("n").alias("events"), F.array_sort(F.collect_list(F.struct("part", "d"))).alias("p"))
+    return rows.select("user_id", "events", I.sha(F.array_join(F.col("p.d"), "\n")).alias("digest"))
 
 
 _J = lambda c: f"coalesce(to_json({c})::varchar, 'null')"
@@ -79,5 +82,5 @@ select sample_group_id, place, case when place < 11514 then 'train' when place <
     "group_ids": "with p as (select lower(trim(alignment_key)) as key, list_sort(list_distinct(list(lang || '=' || sha256(text)))) as p from locale_records where alignment_key is not null and text is not null group by 1) select key, len(p) as parts, 'group-sha256:' || sha256(key || chr(10) || array_to_string(p, chr(10))) as group_id from p",
     "stable_ranks": f"select candidate_id, sha256(concat_ws(chr(31), source_id, source_record_id)) as rank, ('0x' || substr(sha256('{SEED}' || chr(0) || candidate_id), 1, 8))::bigint % 2147483648 as seed from (select distinct on (candidate_id) * from text_candidates)",
     "blind_sides": "select route, case when (strpos('0123456789abcdef', substr(sha256(id), 2, 1)) - 1) % 2 = 0 then 'A' else 'B' end as side, count(*) as records from (select distinct on (id) id, route from hymt2_decode_ab) group by all",
-    "trace_digest": "select user_id, count(*) as events, sha256(string_agg(event_id || '|' || event_type || '|' || props, chr(10) order by event_id)) as digest from events where event_type <> 'view' group by user_id",
+    "trace_digest": "with p as (select user_id, event_id // 1024 as part, count(*) as n, sha256(string_agg(event_id || '|' || event_type || '|' || props, chr(10) order by event_id)) as d from events where event_type <> 'view' group by all) select user_id, sum(n)::bigint as events, sha256(string_agg(d, chr(10) order by part)) as digest from p group by user_id",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as X
 from textloom.operators import parallel as P
-from textloom.operators.select import top_per_group
+from textloom.operators.select import ranked, top_per_group
 from textloom.functions.identity import stable_rank
 from textloom.plans import cleaning as C
 from textloom.plans import sqltext as S
@@ -169,8 +169,7 @@ def padded_batches(spark, sf_dir):
     from pyspark.sql import Window as W
 
     rows = load(spark, sf_dir, "encoded_samples").dropDuplicates(["sample_id"]).where("labels is not null").select("sample_id", "target_language", "labels")
-    place = F.row_number().over(W.partitionBy("target_language").orderBy("sample_id")) - 1
-    rows = rows.withColumn("batch", F.floor(place / 32).cast("int"))
+    rows = ranked(rows, "target_language", ["sample_id"]).withColumn("batch", F.floor(F.col("position") / 32).cast("int"))
     rows = rows.withColumn("width", F.max(F.size("labels")).over(W.partitionBy("target_language", "batch")))
     padded = F.concat("labels", F.array_repeat(F.lit(-100), F.col("width") - F.size("labels")))
     return rows.groupBy("target_language", "batch").agg(F.count("*").alias("rows"), F.max("width").alias("width"), F.sum(F.size(padded)).alias("cells"), F.sum(F.size(F.filter(padded, lambda x: x == -100))).alias("padding"))

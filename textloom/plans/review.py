@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
@@ -21,7 +20,7 @@ def _answers(spark, sf_dir):
 
 def _batched(spark, sf_dir):
     rows = _answers(spark, sf_dir).select("id", "route", "source_text", "challenger_translation", X.token_estimate(F.col("source_text")).alias("tokens"))
-    return rows.withColumn("batch", F.floor((F.row_number().over(W.partitionBy("route").orderBy("id")) - 1) / 12).cast("int"))
+    return O.ranked(rows, "route", ["id"]).withColumn("batch", F.floor(F.col("position") / 12).cast("int")).drop("position")
 
 
 def prompts(spark, sf_dir):

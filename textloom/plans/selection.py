@@ -58,7 +58,7 @@ def sample_with_long_quota(spark, sf_dir):
 def stratified_interleave(spark, sf_dir):
     """Review order over sources and routes: one of each stratum in turn."""
     rows = _answers(spark, sf_dir).select("id", F.concat_ws("|", "source_id", "route").alias("stratum"))
-    turns = O.interleave(rows, "stratum", sha(F.col("id")), sha(F.col("stratum")))
+    turns = O.interleave(rows, "stratum", sha(F.col("id")), sha(F.col("stratum")), 200)
     ordered = turns.select("id", "stratum", "turn", "stratum_rank")
     return O.bottom_k(ordered, ["turn", "stratum_rank", "id"], 200)
 
@@ -67,7 +67,7 @@ def round_robin_batches(spark, sf_dir):
     """Documents of the five languages by turns, in batches of 64, by batch and language."""
     tags = ["eng_Latn", "zho_Hans", "zho_Hant", "jpn_Jpan", "kor_Hang"]
     docs = load(spark, sf_dir, "documents").where(F.col("lang").isin(*tags)).select("doc_id", "lang")
-    turn = docs.withColumn("turn", F.row_number().over(W.partitionBy("lang").orderBy("doc_id")) - 1)
+    turn = O.ranked(docs, "lang", ["doc_id"], "turn")
     # A document's place is the number of documents of all languages in earlier turns, and of earlier languages in its own.
     sizes = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # five rows at most
     own = F.array_position(F.array(*map(F.lit, tags)), F.col("lang"))
@@ -95,8 +95,8 @@ def review_extremes(spark, sf_dir):
 def reject_per_reason(spark, sf_dir):
     """One rejected candidate of every language and reason, then the next by rank up to ten a language."""
     rows = _candidates(spark, sf_dir).where("reason is not null").select("candidate_id", "language_tag", "reason", sha(F.col("candidate_id").cast("string")).alias("digest"))
-    rows = rows.withColumn("of_reason", F.row_number().over(W.partitionBy("language_tag", "reason").orderBy("digest", "candidate_id")))
-    rows = rows.withColumn("first", F.col("of_reason") == 1)
+    firsts = rows.groupBy("language_tag", "reason").agg(F.min_by("candidate_id", F.struct("digest", "candidate_id")).alias("candidate_id")).select("candidate_id", F.lit(True).alias("first"))
+    rows = rows.join(firsts, "candidate_id", "left").withColumn("first", F.coalesce("first", F.lit(False)))
     return O.top_per_group(rows, ["language_tag"], [F.col("first").desc(), F.col("digest"), F.col("candidate_id")], 10).select("language_tag", "rank", "candidate_id", "reason", "first")
 
 
@@ -152,7 +152,7 @@ def sampling_plan(spark, sf_dir):
 def length_buckets(spark, sf_dir):
     """Sample batches of similar length, by language: rows and padding of each batch."""
     rows = load(spark, sf_dir, "encoded_samples").dropDuplicates(["sample_id"]).where("input_ids is not null").select("sample_id", "source_language", F.size("input_ids").alias("n"))
-    batched = O.length_buckets(rows, [sha(F.col("sample_id"))], F.col("n"), batch=16, pool=4, group="source_language")
+    batched = O.length_buckets(rows.withColumn("digest", sha(F.col("sample_id"))), ["digest", "sample_id"], "n", batch=16, pool=4, group="source_language")
     return batched.groupBy("source_language", "pool", "batch").agg(F.count("*").alias("rows"), F.max("n").alias("longest"), (F.count("*") * F.max("n") - F.sum("n")).alias("padding"))
 
 

@@ -37,7 +37,7 @@ def dedup_reasons(spark, sf_dir):
     """Candidates by what they duplicate: the first of their near identity exactly or nearly."""
     rows = load(spark, sf_dir, "text_candidates").select("candidate_id", "language_tag", "text").where("text is not null").dropDuplicates(["candidate_id"])
     rows = rows.select("candidate_id", "language_tag", D.identity(F.col("text")).alias("exact"), D.near_identity(F.col("text")).alias("near"))
-    marked = exact_or_near_first(rows, "near", "exact", ["candidate_id"])
+    marked = exact_or_near_first(rows, "near", "exact", "candidate_id")
     return marked.groupBy("language_tag", F.coalesce("duplicate", F.lit("first")).alias("duplicate")).agg(F.count("*").alias("records"))
 
 
