@@ -24,6 +24,8 @@ def test_evidence(text, kind):
         "The manual explains that `{{name}}` is replaced by the reader's name.", "手冊說明，「{{name}}」會換成收件人的姓名。",
         "In that language, writing \"${total}\" inserts the sum.", "Quikoko taught JavaScript to 5 students and required every one to enable logging.",
         "When the cable answered with status 404, Dendro asked the team to restore 12 pages.", "<p>A plain paragraph.</p>&nbsp;",
+        "정밀한 위원회가 임시 문장을 교체했고 예시 문장을 읽었다.", "The bridge is under maintenance and the course requires JavaScript knowledge.",
+        "The portal returned 404 Not Found, so the clerk phoned.", "他打开脚本文件，目前无法使用那座桥。", "サンプル文章を読んだ。", "A sample text was read aloud.",
         "The set {431, 3, 7} and the bracket [Amendment 3] both appear.", "", "A sentence with [a link](http://a.example/here).",
     ],
 )

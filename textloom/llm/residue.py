@@ -24,29 +24,29 @@ from textloom.session import write_table
 SCRIPTS = r"""
 (?:enable|activate|allow|switch\ on|turn\ on|turning\ on|enabling)\ (?:your\ browser'?s?\ )?(?:java\ ?script|scripts?\b|scripting)
 |(?:java\ ?script|scripting)\ (?:is\ |must\ be\ |needs\ to\ be\ |has\ to\ be\ |to\ be\ |support\ is\ )*(?:required|disabled|enabled|turned\ on|switched\ on|turned\ off|switched\ off|not\ enabled)
-|(?:requires?|needs?)\ (?:java\ ?script|scripts|scripting)\b
+|(?:requires?|needs?)\ (?:java\ ?script|scripts|scripting)(?:\ to\ (?:run|work|function|be\ enabled|display|load|view)|\ (?:to\ be\ )?enabled|\ support|\ in\ your|[.!]?$)
 |(?:without|with\ no)\ (?:java\ ?script|scripts|scripting)(?:\ being)?\ (?:enabled|turned\ on|switched\ on|support)
 |(?:doesn't|does\ not|don't|do\ not)\ (?:support|allow|run)\ (?:java\ ?script|scripts|scripting)
 |(?:java\ ?script|ジャバスクリプト|スクリプト)(?:の実行)?(?:を|が|は)?(?:有効|オン|許可|無効|オフ|必要)
 |スクリプト(?:に対応して|を実行でき|をサポートして)|スクリプト(?:の|を)?許可(?:が必要|して)
 |(?:java\ ?script|자바\ ?스크립트|스크립트)\ ?(?:를|을|가|이)?\ ?(?:켜|활성화|허용|사용하도록|필요|지원하지|꺼져|비활성)
-|(?:启用|啟用|开启|開啟|打开|打開|允许|允許|激活|啟動)(?:您的|浏览器的|瀏覽器的)?\ ?(?:java\ ?script|脚本|腳本|指令碼)
-|(?:不支持|不支援|未启用|未啟用|禁用了?|停用了?|需要)\ ?(?:java\ ?script|脚本|腳本|指令碼)
+|(?:启用|啟用|开启|開啟|打开|打開|允许|允許|激活|啟動)(?:您的|浏览器的|瀏覽器的)?\ ?(?:java\ ?script|脚本|腳本|指令碼)(?!文件|檔案|编辑|編輯|语言|語言)
+|(?:不支持|不支援|未启用|未啟用|禁用了?|停用了?)\ ?(?:java\ ?script|脚本|腳本|指令碼)|需要\ ?(?:java\ ?script|脚本|腳本|指令碼)\ ?(?:支持|支援|才能|功能)
 |(?:java\ ?script|脚本|腳本|指令碼)\ ?(?:功能)?(?:已|被)?(?:禁用|停用|关闭|關閉|才能)
 """
 # Error messages shown in place of content.
 ERRORS = r"""
-\b[45]\d\d\b[\ :,.\-]{0,3}(?:error[\ :\-]{0,3})?(?:not\ found|forbidden|unauthorized|internal\ server\ error|bad\ gateway|bad\ request|service\ unavailable|gateway\ time-?out|too\ many\ requests|gone\b)
-|internal\ server\ error|bad\ gateway|gateway\ time-?out
+(?<!returned\ )(?<!status\ )(?<!with\ )(?<!\ an\ )(?<!\ the\ )(?<!\ a\ )\b[45]\d\d\b[\ :,.\-]{0,3}(?:error[\ :\-]{0,3})?(?:not\ found|forbidden|unauthorized|internal\ server\ error|bad\ gateway|bad\ request|service\ unavailable|gateway\ time-?out|too\ many\ requests|gone\b)
+|^\s*(?:internal\ server\ error|bad\ gateway|gateway\ time-?out|page\ not\ found|not\ found\b)
 |(?:was|were|is|could)\ not\ (?:be\ )?found\ on\ this\ (?:server|site)
 |(?:page|url|file|document|link)\ (?:that\ )?(?:you|we)(?:'re|\ are|\ have|\ were)?\ (?:looking\ for|requested|tried|followed)\b[^.!?]{0,60}(?:moved|no\ longer|not\ exist|n't\ exist|not\ be\ found|not\ found|n't\ be\ found|unavailable|deleted)
-|access\ (?:is\ )?denied\b|(?:do\ not|don't)\ have\ (?:permission|access|authori[sz]ation)\ to\ (?:access|view|see|open)
+|access\ denied\b|(?:do\ not|don't)\ have\ (?:permission|access|authori[sz]ation)\ to\ (?:access|view|see|open)
 |error\ establishing\ a\ database\ connection|could\ not\ connect\ to\ (?:the\ )?database|database\ connection\ (?:failed|error)
 |fatal\ error:|uncaught\ (?:exception|typeerror|error|referenceerror)|parse\ error:\ syntax\ error|syntax\ error,\ unexpected|undefined\ (?:index|variable|offset)
 |traceback\ \(most\ recent\ call\ last\)|exception\ in\ thread\ "|stack\ trace:|nullpointerexception|segmentation\ fault
-|session\ (?:has\ )?(?:expired|timed\ out)|(?:please\ )?(?:sign|log)\ in\ again\b
-|(?:site|service|server|page)\ is\ (?:temporarily|currently)\ (?:unavailable|down|overloaded)|temporarily\ unavailable|under\ maintenance
-|something\ went\ wrong|an?\ (?:unexpected|unknown|internal)\ error\ (?:has\ )?occurred|experiencing\ (?:high|heavy)\ (?:traffic|load)
+|your\ (?:login\ )?session\ (?:has\ )?(?:expired|timed\ out)|session\ (?:has\ )?(?:expired|timed\ out)[.,;:!]?\ please|please\ (?:sign|log)\ in\ again\b
+|(?:site|service|server|page)(?:\ is)?\ (?:temporarily|currently)\ (?:unavailable|down|overloaded)|(?:site|service|server|page)\ is\ (?:currently\ )?under\ maintenance
+|^\W*something\ went\ wrong|an?\ (?:unexpected|unknown|internal)\ error\ (?:has\ )?occurred
 |お探しのページ|(?:ページ|ファイル|url)[^。]{0,40}(?:見つかりません|存在しません|は移動または削除)
 |(?:サーバー?|内部|システム)(?:内部)?エラーが?(?:発生|です)|データベース(?:に|への)接続(?:できません|に失敗|エラー)
 |アクセスが集中|(?:表示|閲覧|アクセス)する権限がありません|アクセスが拒否|セッションの?(?:有効)?期限が?切れ|セッションが(?:切れ|タイムアウト|失効)|再度ログイン|もう一度ログイン
@@ -57,18 +57,18 @@ ERRORS = r"""
 |(?:页面|頁面|网页|網頁)(?:不存在|未找到|找不到)|找不到(?:该|該|此)?(?:页面|頁面|网页|網頁)
 |(?:数据库|資料庫)(?:连接|連線|連接)(?:失败|失敗|错误|錯誤|出错|出錯)|(?:没有|沒有|无|無)(?:权限|權限)(?:访问|瀏覽|浏览|查看|檢視|存取)|拒绝访问|拒絕存取
 |(?:会话|會話|工作階段|登录|登入)(?:已|已经|已經)?(?:过期|過期|逾時|超时|失效)|请重新登录|請重新登入
-|(?:服务器|伺服器)(?:内部|內部|发生|發生)?(?:错误|錯誤|出错|出錯|繁忙|忙碌)|(?:服务|服務)(?:暂时|暫時)(?:不可用|无法|無法)|系统繁忙|系統忙碌|(?:访问|瀏覽|访问)(?:量|人数|人數)过?(?:大|多)
-|(?:暂时|暫時|目前)(?:无法|無法)(?:使用|提供服务|提供服務|访问|瀏覽|存取)
+|(?:服务器|伺服器)(?:(?:内部|內部)(?:错误|錯誤)|(?:发生|發生)(?:了)?(?:错误|錯誤)|出错|出錯|繁忙|忙碌)|(?:服务|服務)(?:暂时|暫時)(?:不可用|无法|無法)|系统繁忙|系統忙碌|(?:访问|瀏覽|访问)(?:量|人数|人數)过?(?:大|多)
+|(?:网站|網站|页面|頁面|网页|網頁|本站)(?:暂时|暫時|目前)(?:无法|無法)(?:使用|提供服务|提供服務|访问|瀏覽|存取)
 """
 # Filler in place of content.
 FILLER = r"""
 lorem\ ipsum|dolor\ sit\ amet|consectetur\ adipiscing
-|(?:dummy|placeholder|filler|sample)\ (?:copy|text|content|paragraph)\b
+|(?:dummy|placeholder|filler)\ (?:copy|text|content|paragraph)\b|this\ is\ (?:a\ |some\ )?sample\ (?:copy|text|content|paragraph)
 |(?:sample|your|body|main|some|more)\ (?:text|copy|content|description)\ (?:goes|comes|will\ go|will\ appear)\ here
 |replace\ this\ (?:paragraph|text|sentence|copy|content)|(?:type|enter|write|put|insert|add)\ your\ (?:own\ )?(?:text|description|content|copy|words|message|title|name)\ here
 |(?:content|text|description)\ (?:coming\ soon|to\ be\ (?:added|supplied|written|announced))
-|ダミー(?:テキスト|文章|コピー)|サンプル(?:文章|テキスト|文)|ここに[^。]{0,12}(?:入ります|入る予定|入力して|挿入し)|(?:本文|説明文?|文章|タイトル|テキスト|見出し)を(?:ここに)?入力してください
-|(?:더미|샘플|예시|임시)\ ?(?:텍스트|문구|문장|본문)|(?:본문|내용|텍스트|문구|설명)이?\ ?들어갈\ (?:자리|곳|예정)|(?:여기에\ )?(?:내용|본문|텍스트|설명|문구)[을를]\ (?:입력|작성)하세요
+|ダミー(?:テキスト|文章|コピー)|サンプル(?:文章|テキスト|文)[0-9]*(?:です|をここ|が入り)|ここに[^。]{0,12}(?:入ります|入る予定|入力して|挿入し)|(?:本文|説明文?|文章|タイトル|テキスト|見出し)を(?:ここに)?入力してください
+|(?:더미|샘플|예시)\ ?(?:텍스트|문구)|임시\ ?텍스트|(?:본문|내용|텍스트|문구|설명)이?\ ?들어갈\ (?:자리|곳|예정)|(?:여기에\ )?(?:내용|본문|텍스트|설명|문구)[을를]\ (?:입력|작성)하세요
 |(?:内容|內容|正文|文字)(?:待补充|待補充|待填写|待填寫|待完善|即将推出|即將推出)|(?:示例|范例|範例|样例|示範)(?:文本|文字|内容|內容)|(?:占位|佔位)(?:文字|文本|符|内容|內容)|请?請?在?(?:这里|這裡|此处|此處)(?:输入|輸入|填写|填寫)
 """
 # Words of the filler everybody knows; common as ordinary words of other languages are left out.
