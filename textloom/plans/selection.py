@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as X
 from textloom.functions.identity import seeded, sha, stable_rank
+from textloom.operators import dedup as D
 from textloom.operators import select as O
+from textloom.plans import similarity as M
 from textloom.plans import sqltext as S
 from textloom.session import load
 
@@ -170,6 +172,47 @@ def forced_review(spark, sf_dir):
     return O.bottom_k(rows, [F.col("forced").desc(), "digest", "id"], 60).select("id", "route", "forced")
 
 
+def balanced_corpus(spark, sf_dir):
+    """Lines of every language in seeded order up to the characters of the language that has fewest."""
+    docs = load(spark, sf_dir, "documents").where("text is not null and lang is not null").select("doc_id", "lang", F.length("text").alias("characters"))
+    least = docs.groupBy("lang").agg(F.sum("characters").alias("n")).agg(F.min("n")).first()[0] or 0
+    kept = O.greedy_fill(docs.withColumn("digest", seeded(SEED, F.col("doc_id").cast("string"))), "lang", "digest", "characters", least)
+    return kept.groupBy("lang").agg(F.count("*").alias("documents"), F.sum("characters").alias("characters"))
+
+
+def source_bank(spark, sf_dir):
+    """Candidates of every language for a bank of 40: stated tokens in bounds, unknown to the entries, first by rank."""
+    rows = _candidates(spark, sf_dir).where("accepted and student_tokens between 4 and 256 and text is not null")
+    rows = rows.select("candidate_id", "language_tag", D.identity(F.col("text")).alias("exact"), D.near_identity(F.col("text")).alias("near"), "selection_rank")
+    entries = load(spark, sf_dir, "text_entries").where("text is not null").select(D.identity(F.col("text")).alias("exact"), D.near_identity(F.col("text")).alias("near"))
+    rows = rows.join(entries.select("exact").distinct(), "exact", "left_anti").join(entries.select("near").distinct(), "near", "left_anti")
+    rows = rows.groupBy("language_tag", "near").agg(F.min(F.struct("selection_rank", "candidate_id")).alias("x")).select("language_tag", "x.*")
+    return O.top_per_group(rows, ["language_tag"], ["selection_rank", "candidate_id"], 40)
+
+
+def composite_audit(spark, sf_dir):
+    """Union of human and teacher samples by kind: ids and content that repeat, groups both kinds use, routes covered."""
+    rows = load(spark, sf_dir, "encoded_samples").select(F.col("provenance.kind").alias("kind"), "sample_id", "sample_group_id", F.concat_ws("->", "source_language", "target_language").alias("route"), sha(F.concat_ws("|", F.array_join(F.col("input_ids").cast("array<string>"), ","), F.array_join(F.col("labels").cast("array<string>"), ","))).alias("content"))
+    shared = rows.where("sample_group_id is not null and kind is not null").groupBy("sample_group_id").agg(F.count_distinct("kind").alias("kinds")).where("kinds > 1").select("sample_group_id", F.lit(True).alias("shared"))
+    return rows.join(shared, "sample_group_id", "left").groupBy("kind").agg(
+        F.count("*").alias("rows"), F.count_distinct("sample_id").alias("ids"), F.count_distinct("content").alias("contents"), F.count_distinct("route").alias("routes"), F.count_if("shared").alias("in_shared_groups")
+    )
+
+
+def epoch_schedule(spark, sf_dir):
+    """The first 400 draws of a sampler that takes routes in turn and, inside a route, its samples epoch after epoch in an order of their own."""
+    rows = load(spark, sf_dir, "encoded_samples").dropDuplicates(["sample_id"]).select("sample_id", F.concat_ws("->", "source_language", "target_language").alias("route"))
+    routes = [r.route for r in rows.select("route").distinct().orderBy("route").collect()]  # at most twenty
+    sizes = rows.groupBy("route").agg(F.count("*").alias("n"))
+    turn = F.array_position(F.array(*map(F.lit, routes)), F.col("route")) - 1
+    need = F.ceil((F.lit(400) - turn) / len(routes)).cast("bigint")
+    epochs = rows.join(sizes, "route").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.floor((F.greatest(need, F.lit(1)) - 1) / F.col("n")))))
+    epochs = epochs.withColumn("digest", seeded(SEED, F.col("epoch").cast("string"), F.col("sample_id")))
+    ordered = O.top_per_group(epochs, ["route", "epoch"], ["digest", "sample_id"], 400, "place")
+    draws = ordered.withColumn("draw", (F.col("epoch") * F.col("n") + F.col("place") - 1) * len(routes) + turn)
+    return draws.where("draw < 400").select("draw", "route", "epoch", "sample_id")
+
+
 _AB = "(select distinct on (id) * from hymt2_decode_ab)"
 _ONCE = "(select distinct on (candidate_id) * from text_candidates)"
 _ENC = "(select distinct on (sample_id) * from encoded_samples)"
@@ -180,7 +223,7 @@ QUERIES = {
     for f in (
         route_sample, first_per_route, language_top, bottom_candidates, sample_with_long_quota, stratified_interleave, round_robin_batches,
         review_extremes, reject_per_reason, quality_queue, domain_ceilings, host_caps, budget_fill, token_batches, sampling_plan,
-        length_buckets, shard_strata, forced_review,
+        length_buckets, shard_strata, forced_review, balanced_corpus, source_bank, composite_audit, epoch_schedule,
     )
 }
 
@@ -199,4 +242,7 @@ SQL = {
     "length_buckets": f"with r as (select sample_id, source_language, len(input_ids) as n, row_number() over (partition by source_language order by sha256(sample_id)) - 1 as p from {_ENC} where input_ids is not null), o as (select *, (p // 64)::int as pool from r), b as (select *, ((row_number() over (partition by source_language, pool order by n, sha256(sample_id)) - 1) // 16)::int as batch from o) select source_language, pool, batch, count(*) as rows, max(n)::int as longest, (count(*) * max(n) - sum(n))::bigint as padding from b group by all",
     "shard_strata": "select language, shard_id, coalesce(documents, 0) as documents, row_number() over (partition by language order by coalesce(documents, 0) desc, shard_id) as turn from corpus_manifest where language is not null order by turn, documents desc, language, shard_id limit 4",
     "forced_review": f"select id, route, coalesce(baseline_filter_accepted, false) and not coalesce(challenger_filter_accepted, true) as forced from {_AB} order by forced desc, sha256(concat_ws(chr(31), route, id)), id limit 60",
+    "source_bank": f"with c as (select candidate_id, language_tag, selection_rank, {M._ID('text')} as exact, {M._NEAR('text')} as near from {_ONCE} where accepted and student_tokens between 4 and 256 and text is not null), e as (select {M._ID('text')} as exact, {M._NEAR('text')} as near from text_entries where text is not null), k as (select * from c where exact not in (select exact from e) and near not in (select near from e)), f as (select language_tag, selection_rank, candidate_id from k qualify row_number() over (partition by language_tag, near order by selection_rank nulls first, candidate_id) = 1), n as (select *, row_number() over (partition by language_tag order by selection_rank nulls first, candidate_id) as rank from f) select * from n where rank <= 40",
+    "composite_audit": "with r as (select provenance.kind as kind, sample_id, sample_group_id, source_language || '->' || target_language as route, coalesce(array_to_string(input_ids, ','), chr(0)) || '|' || coalesce(array_to_string(labels, ','), chr(0)) as content from encoded_samples), s as (select sample_group_id from r where sample_group_id is not null and kind is not null group by 1 having count(distinct kind) > 1) select kind, count(*) as rows, count(distinct sample_id) as ids, count(distinct content) as contents, count(distinct route) as routes, count(*) filter (sample_group_id in (select sample_group_id from s)) as in_shared_groups from r group by 1",
+    "epoch_schedule": f"with r as (select sample_id, source_language || '->' || target_language as route from {_ENC}), t as (select route, row_number() over (order by route) - 1 as turn, count(*) over () as m from (select distinct route from r)), z as (select route, count(*) as n from r group by 1), e as (select r.*, n, turn, m, unnest(range(0, 401)) as epoch from r join z using (route) join t using (route)), k as (select * from e where epoch * n * m + turn < 400), o as (select *, row_number() over (partition by route, epoch order by sha256('{SEED}' || chr(0) || epoch || chr(0) || sample_id), sample_id) - 1 as place from k) select (epoch * n + place) * m + turn as draw, route, epoch, sample_id from o where (epoch * n + place) * m + turn < 400",
 }

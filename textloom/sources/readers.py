@@ -224,6 +224,36 @@ def file_identities(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).select("path", F.length("content").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def verify_files(spark: SparkSession, path: str, locked: dict[str, tuple[int, str]]) -> DataFrame:
+    """Files against a lock of size and SHA-256 by name: ``name, state`` (equal, differs, missing or unknown)."""
+    have = file_identities(spark, path).withColumn("name", F.substring_index("path", "/", -1))
+    want = spark.createDataFrame([(n, b, d) for n, (b, d) in locked.items()], "name string, want_bytes long, want_sha string")
+    both = have.join(want, "name", "full")
+    state = F.when(F.col("path").isNull(), "missing").when(F.col("want_sha").isNull(), "unknown")
+    state = state.when((F.col("bytes") == F.col("want_bytes")) & (F.col("sha256") == F.col("want_sha")), "equal").otherwise("differs")
+    return both.select("name", state.alias("state"))
+
+
+def compare_builds(spark: SparkSession, first: str, second: str) -> DataFrame:
+    """Files of two builds by name that differ or stand in one only; none if the builds are byte for byte the same."""
+    side = lambda path, n: file_identities(spark, path).select(F.substring_index("path", "/", -1).alias("name"), F.col("sha256").alias(n))
+    both = side(first, "a").join(side(second, "b"), "name", "full")
+    return both.where(~F.col("a").eqNullSafe(F.col("b"))).select("name", "a", "b")
+
+
+def parallel_laws(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Articles of two translations of laws, as ``read_laws`` gives them, joined by law and number.
+
+    Only ordinary articles (kind A) of one sentence on either side are kept, as sentences of longer ones need not match.
+    """
+
+    def single(frame: DataFrame, name: str) -> DataFrame:
+        rows = frame.where("kind = 'A'").groupBy("law", "article").agg(F.count("*").alias("n"), F.min("text").alias(name))
+        return rows.where("n = 1").drop("n")
+
+    return single(first, "left_text").join(single(second, "right_text"), ["law", "article"])
+
+
 def unpack_records(content: bytes) -> Iterator[bytes]:
     """Records of a snapshot; a wrong head, a short record or a wrong count is an error."""
     if content[:16] != MAGIC:
