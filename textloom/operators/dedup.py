@@ -25,12 +25,13 @@ def near_identity(text: Column) -> Column:
     return sha(F.regexp_replace(F.lower(text), f"[\\p{{P}}\\p{{S}}\\p{{Z}}{X.WHITE}]", ""))
 
 
-def collisions(frame: DataFrame, key: Column, name: str) -> DataFrame:
-    """How many keys stand more than once, and how many rows they have beyond the first."""
-    counts = frame.groupBy(key.alias("key")).agg(F.count("*").alias("n"))
-    return counts.agg(
+def collisions(frame: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """For each named key: how many stand more than once, and how many rows those have beyond the first. One shuffle for all keys."""
+    pairs = F.array(*(F.struct(F.lit(name).alias("field"), key.alias("key")) for name, key in keys.items()))
+    counts = frame.select(F.explode(pairs).alias("x")).groupBy("x.field", "x.key").agg(F.count("*").alias("n"))
+    return counts.groupBy("field").agg(
         F.count_if(F.col("n") > 1).alias("keys"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n") - 1)), F.lit(0)).alias("surplus")
-    ).select(F.lit(name).alias("field"), "keys", "surplus")
+    )
 
 
 def trigrams(text: Column) -> Column:

@@ -98,15 +98,15 @@ def reverse_pairs_bounded(spark, sf_dir):
 
 def cohort_match(spark, sf_dir):
     """Human and teacher samples matched on record and direction; what is left over on either side by route."""
-    rows = load(spark, sf_dir, "encoded_samples").dropDuplicates(["sample_id"])
-    key = ["source_record_id", "source_language", "target_language"]
-    flat = rows.select(F.col("provenance.kind").alias("kind"), F.col("provenance.source_record_id").alias("source_record_id"), "source_language", "target_language").where("source_record_id is not null")
-    human = flat.where("kind = 'human_parallel'").drop("kind").distinct()
-    teacher = flat.where("kind = 'teacher_generated'").drop("kind").distinct()
-    state = lambda frame, name: frame.withColumn("state", F.lit(name))
-    union = state(human.join(teacher, key), "matched").unionByName(state(human.join(teacher, key, "left_anti"), "human_only"))
-    union = union.unionByName(state(teacher.join(human, key, "left_anti"), "teacher_only"))
-    return union.groupBy(F.concat_ws("->", "source_language", "target_language").alias("route"), "state").agg(F.count("*").alias("samples"))
+    rows = load(spark, sf_dir, "encoded_samples").where("provenance.source_record_id is not null")
+    kind = F.col("provenance.kind")
+    keys = rows.groupBy(F.col("provenance.source_record_id").alias("record"), "source_language", "target_language").agg(
+        F.bool_or(kind == "human_parallel").alias("human"), F.bool_or(kind == "teacher_generated").alias("teacher")
+    )
+    human, teacher = F.coalesce("human", F.lit(False)), F.coalesce("teacher", F.lit(False))
+    state = F.when(human & teacher, "matched").when(human, "human_only").when(teacher, "teacher_only")
+    keys = keys.withColumn("state", state).where("state is not null")
+    return keys.groupBy(F.concat_ws("->", "source_language", "target_language").alias("route"), "state").agg(F.count("*").alias("samples"))
 
 
 def verdict_comparison(spark, sf_dir):

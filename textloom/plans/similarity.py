@@ -9,7 +9,7 @@ from textloom.operators import dedup as D
 from textloom.operators.graph import components
 from textloom.operators.select import exact_or_near_first
 from textloom.plans import sqltext as S
-from textloom.session import load, spread
+from textloom.session import load, spread, write_table
 
 
 def _entries(spark, sf_dir):
@@ -45,8 +45,7 @@ def collision_counts(spark, sf_dir):
     """Repeated keys and surplus rows of sources, targets and pairs."""
     rows = load(spark, sf_dir, "hymt2_decode_ab").select("id", "source_text", "baseline_translation").dropDuplicates(["id"])
     source, target = D.identity(F.col("source_text")), D.identity(F.col("baseline_translation"))
-    found = D.collisions(rows, source, "source").unionByName(D.collisions(rows, target, "target"))
-    return found.unionByName(D.collisions(rows, F.concat(source, target), "pair"))
+    return D.collisions(rows, {"source": source, "target": target, "pair": F.concat(source, target)})
 
 
 def cross_split_texts(spark, sf_dir):
@@ -76,15 +75,14 @@ def _forms(spark, sf_dir):
 
 def shingle_jaccard_pairs(spark, sf_dir):
     """Pairs of distinct forms of a language with a trigram similarity of 0.82 or more."""
-    found = D.band_pairs(_forms(spark, sf_dir), "entry_id", ["language"], "form")
+    forms = spread(write_table(_forms(spark, sf_dir), "forms").frame)
+    found = D.band_pairs(forms, "entry_id", ["language"], "form")
     return found.select("left_id", "right_id", F.round("similarity", 6).alias("similarity"))
 
 
 def dedup_components(spark, sf_dir):
     """Every form's class of similar forms and its number of links."""
-    from textloom.session import write_table
-
-    forms = write_table(_forms(spark, sf_dir), "forms").frame
+    forms = spread(write_table(_forms(spark, sf_dir), "forms").frame)
     pairs = write_table(D.band_pairs(forms, "entry_id", ["language"], "form"), "pairs").frame
     return D.linked_classes(pairs, forms, "entry_id")
 
