@@ -165,12 +165,13 @@ def same_look_pairs(canon: DataFrame, *, table: str, key: str) -> DataFrame:
     """Pairs of one table's records that look the same but are stored differently, smaller id first.
 
     ``canon`` has ``table, key, stored, canonical``. Rows are reduced to a 128-bit digest of the canonical form
-    before the first shuffle; only groups that hold two stored forms or more are joined, on the digest and with the
+    before the first shuffle and kept, without their texts, as a table; only groups that hold two stored forms or more are joined, on the digest and with the
     stored forms unequal, so exact copies never meet each other. Redelivered rows count once.
     """
     rows = canon.where(F.col("canonical").isNotNull()).select(
         F.col(table).alias("t"), F.col(key).alias("k"), "stored", F.md5("canonical").alias("look")
     )
+    rows = write_table(rows, "looks").frame
     groups = rows.groupBy("t", "look").agg(F.min("stored").alias("a"), F.max("stored").alias("b")).where("a <> b")
     members = rows.join(groups.select("t", "look"), ["t", "look"], "left_semi").distinct()
     left, right = members.alias("x"), members.alias("y")
