@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as X
 from textloom.operators import dedup as D
+from textloom.operators import setjoin as J
 from textloom.operators.graph import components
 from textloom.operators.select import exact_or_near_first
 from textloom.plans import sqltext as S
@@ -73,18 +74,34 @@ def _forms(spark, sf_dir):
     return rows.groupBy("language", "form").agg(F.min("entry_id").alias("entry_id"))
 
 
+def _similar(spark, sf_dir):
+    """Distinct forms as a table, and their similar pairs within a language."""
+    forms = spread(write_table(_forms(spark, sf_dir), "forms").frame)
+    sides = forms.select(F.col("entry_id").alias("h"), "form")
+    pairs = J.similar_pairs(sides, sides, J.count_table(sides.select("form")), similar=82, both=True)
+    tags = forms.select("entry_id", "language")
+    same = pairs.join(tags.select(F.col("entry_id").alias("left_h"), F.col("language").alias("a")), "left_h").join(
+        tags.select(F.col("entry_id").alias("right_h"), F.col("language").alias("b")), "right_h"
+    )
+    return forms, same.where(F.col("a").eqNullSafe(F.col("b"))).select(F.col("left_h").alias("left_id"), F.col("right_h").alias("right_id"), "similarity")
+
+
 def shingle_jaccard_pairs(spark, sf_dir):
     """Pairs of distinct forms of a language with a trigram similarity of 0.82 or more."""
+    return _similar(spark, sf_dir)[1].withColumn("similarity", F.round("similarity", 6))
+
+
+def band_jaccard_pairs(spark, sf_dir):
+    """The same pairs through MinHash bands, counted by similarity."""
     forms = spread(write_table(_forms(spark, sf_dir), "forms").frame)
-    found = D.band_pairs(forms, "entry_id", ["language"], "form")
-    return found.select("left_id", "right_id", F.round("similarity", 6).alias("similarity"))
+    found = D.band_pairs(forms, "entry_id", ["language"], "form", bands=60, rows=8)
+    return found.groupBy(F.round("similarity", 1).alias("similarity")).agg(F.count("*").alias("pairs"))
 
 
 def dedup_components(spark, sf_dir):
     """Every form's class of similar forms and its number of links."""
-    forms = spread(write_table(_forms(spark, sf_dir), "forms").frame)
-    pairs = write_table(D.band_pairs(forms, "entry_id", ["language"], "form"), "pairs").frame
-    return D.linked_classes(pairs, forms, "entry_id")
+    forms, pairs = _similar(spark, sf_dir)
+    return D.linked_classes(write_table(pairs, "pairs").frame, forms, "entry_id")
 
 
 def greedy_dedup(spark, sf_dir):
@@ -148,7 +165,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         exact_dedup, near_identity_dedup, dedup_reasons, collision_counts, cross_split_texts, groups_across_splits, text_entry_groups,
-        shingle_jaccard_pairs, dedup_components, greedy_dedup, contamination_exact, contamination_sentences, isolation_overlaps, group_components,
+        shingle_jaccard_pairs, band_jaccard_pairs, dedup_components, greedy_dedup, contamination_exact, contamination_sentences, isolation_overlaps, group_components,
     )
 }
 
@@ -161,6 +178,7 @@ SQL = {
     "groups_across_splits": f"with g as (select entry_id, unnest(groups) as group_id, splits from {_TE}), s as (select group_id, {_SPLIT('s')} as s from (select group_id, unnest(splits) as s from g)) select group_id, string_agg(distinct s, ',' order by s) as splits from s group by 1 having count(distinct s) > 1",
     "text_entry_groups": f"with g as (select entry_id, language, normalized, unnest(case when len(groups) > 0 then groups else [null] end) as g from {_TE}) select language, normalized, min(entry_id) as first_entry, count(distinct entry_id) as entries, coalesce(string_agg(distinct g, ',' order by g), '') as groups from g group by 1, 2",
     "shingle_jaccard_pairs": f"with {_SIM} select left_id, right_id, round(similarity, 6) as similarity from pairs",
+    "band_jaccard_pairs": f"with {_SIM} select round(similarity, 1) as similarity, count(*) as pairs from pairs group by 1",
     "dedup_components": f"with recursive {_SIM}, edges as (select left_id as a, right_id as b from pairs union select right_id, left_id from pairs), reach as (select entry_id, entry_id as r from forms union select reach.entry_id, edges.b from reach join edges on edges.a = reach.r), comp as (select entry_id, min(r) as class_id from reach group by 1), links as (select a, count(*) as n from edges group by 1) select comp.entry_id, class_id, coalesce(n, 0) as links from comp left join links on a = comp.entry_id",
     "contamination_exact": f"with {_IDENT}, h as (select distinct item_id, policy, {_ID('text')} as held, {_NEAR('text')} as near from reference_records) select record_table, record_id, item_id, policy, case when exact = held then 'exact' else 'near' end as match from rows_ join h using (near)",
     "contamination_sentences": f"with h as (select distinct item_id, {_NEAR('s')} as near from (select item_id, unnest({_SENT}) as s from reference_records) where length(s) >= 20), d as (select doc_id, {_NEAR('s')} as near from (select doc_id, unnest({_SENT}) as s from documents where text is not null) where length(s) >= 20) select item_id, count(distinct doc_id) as documents, count(*) as sentences from d join h using (near) group by 1",
