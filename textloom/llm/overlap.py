@@ -1,37 +1,28 @@
 """Same or near-same records across splits.
 
 Records are brought to a canonical form and hashed; evaluation hashes are joined with training hashes. For near-same
-records the hash join alone finds nothing, so texts - one per distinct form - also meet over their rarest pieces: two
-sets with a Jaccard similarity of at least ``t`` share one of the first ``n - ceil(t * n) + 1`` pieces in any common
-order, and with pieces ordered from rare to frequent few others do. The order comes from one merged table of counts of
-bounded size; it decides only how many candidates there are, never which pairs are found. Sizes, positions and the
-parity sketch of each set rule out most candidates inside the join; the rest are compared exactly.
+records the hash join alone finds nothing, so texts - one per distinct form - also meet by the hash of their letters and
+digits, and in an exact similarity join over their rarest pieces, which loses no pair.
 """
 
 from __future__ import annotations
 
-import zlib
 from hashlib import blake2b
 
-import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from textloom.functions.arrow import map_batches
 from textloom.llm.canonical import skeleton
 from textloom.llm.splits import split_name
+from textloom.operators.setjoin import compared, count_table, parity_sketch, piece_hashes, pieces, similar_pairs
 from textloom.session import write_table
 
+__all__ = ["overlap_form", "loose_hash", "pieces", "piece_hashes", "parity_sketch", "similar_texts", "split_overlaps", "overlap_report"]
+
 #: Least similarity, in hundredths.
 SIMILAR = 82
-#: Counters of the table that orders the pieces.
-COUNTERS = 1 << 20
-#: 64-bit words of the parity sketch of a set.
-WORDS = 8
-PARTS = 32
 
 
 def overlap_form(text: str) -> str:
@@ -44,113 +35,17 @@ def loose_hash(form: str) -> str:
     return blake2b("".join(c for c in form if c.isalnum()).encode(), digest_size=16).hexdigest()
 
 
-def pieces(form: str) -> set[str]:
-    """Three-character pieces of the form between its marks of start and end."""
-    marked = f"^{form}$"
-    return {marked[i : i + 3] for i in range(len(marked) - 2)}
-
-
-def piece_hashes(form: str) -> np.ndarray:
-    """Distinct hashes of the pieces."""
-    codes = np.frombuffer(f"^{form}$".encode("utf-32-le"), np.uint32).astype(np.uint64)
-    if len(codes) < 3:
-        return np.zeros(0, np.uint64)
-    packed = (codes[:-2] << np.uint64(42)) | (codes[1:-1] << np.uint64(21)) | codes[2:]
-    packed = np.unique(packed)
-    packed = (packed ^ (packed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    packed = (packed ^ (packed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return packed ^ (packed >> np.uint64(31))
-
-
-def parity_sketch(hashes: np.ndarray) -> list[int]:
-    """Parity of the number of pieces in each of ``64 * WORDS`` cells; two sketches differ in no more cells than their sets in pieces."""
-    bits = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
-
-
-def _count_table(texts: DataFrame) -> np.ndarray:
-    """Counts of hashed pieces over all texts, added up per partition and then over partitions."""
-    schema = T.StructType.fromDDL("part int, blob binary")
-
-    def count(batches):
-        table = np.zeros(COUNTERS, np.uint32)
-        for batch in batches:
-            for form in batch.column(0).to_pylist():
-                table[(piece_hashes(form) & np.uint64(COUNTERS - 1)).astype(np.int64)] += 1
-        part = TaskContext.get().partitionId() % PARTS
-        yield pa.RecordBatch.from_pylist(
-            [{"part": part, "blob": zlib.compress(table.tobytes(), 1)}], schema=pa.schema([("part", pa.int32()), ("blob", pa.binary())])
-        )
-
-    def merge(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        total = np.zeros(COUNTERS, np.uint32)
-        for row in rows:
-            total += np.frombuffer(zlib.decompress(row["blob"]), np.uint32)
-        return pa.table({"part": [rows[0]["part"]], "blob": [zlib.compress(total.tobytes(), 1)]}, schema=table.schema)
-
-    merged = texts.mapInArrow(count, schema).groupBy("part").applyInArrow(merge, schema)
-    total = np.zeros(COUNTERS, np.uint32)
-    for row in merged.toLocalIterator():
-        total += np.frombuffer(zlib.decompress(row.blob), np.uint32)
-    return total
-
-
 def similar_texts(texts: DataFrame) -> DataFrame:
     """Pairs of an evaluation form and a different training form with a similarity of at least ``SIMILAR``.
 
-    ``texts`` has distinct ``h`` (hash of the form), ``form``, ``train`` and ``held`` (whether any record of the form
-    is in training or in evaluation). Returns ``held_h, train_h``.
+    ``texts`` has distinct ``h`` (hash of the form), ``form``, ``loose``, ``train`` and ``held`` (whether any record of
+    the form is in training or in evaluation). Returns ``held_h, train_h``.
     """
-    order = _count_table(texts.select("form"))
-    sent = texts.sparkSession.sparkContext.broadcast(order)
-    words = ", ".join(f"s{i} bigint" for i in range(WORDS))
-
-    def prefixes(batch: pa.RecordBatch) -> dict[str, list]:
-        table = sent.value
-        out: dict[str, list] = {n: [] for n in ("piece", "h", "n", "at", *(f"s{i}" for i in range(WORDS)))}
-        for h, form in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            hashes = piece_hashes(form)
-            n = len(hashes)
-            if not n:
-                continue
-            rank = np.lexsort((hashes, table[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)]))
-            first = n - (SIMILAR * n + 99) // 100 + 1
-            columns = [hashes[rank[:first]].view(np.int64).tolist(), [h] * first, [n] * first, range(first)]
-            for name, values in zip(out, [*columns, *([word] * first for word in parity_sketch(hashes))], strict=True):
-                out[name].extend(values)
-        return out
-
-    def keys(side: str) -> DataFrame:
-        return map_batches(texts.where(side).select("h", "form"), prefixes, f"piece bigint, h string, n int, at int, {words}")
-
-    need = f"ceil({SIMILAR} * (x.n + y.n) / {100 + SIMILAR})"
-    apart = " + ".join(f"bit_count(x.s{i} ^ y.s{i})" for i in range(WORDS))
-    met = keys("held").alias("x").join(
-        keys("train").alias("y"),
-        F.expr(
-            f"x.piece = y.piece and x.h <> y.h and x.n * {SIMILAR} <= y.n * 100 and y.n * {SIMILAR} <= x.n * 100"
-            f" and 1 + least(x.n - x.at - 1, y.n - y.at - 1) >= {need} and {apart} <= x.n + y.n - 2 * {need}"
-        ),
-    )
-    loose = texts.select("h", "loose", "train", "held")
-    punctuation = loose.where("held").alias("x").join(loose.where("train").alias("y"), F.expr("x.loose = y.loose and x.h <> y.h"))
-    pairs = met.select(F.col("x.h").alias("held_h"), F.col("y.h").alias("train_h"))
-    pairs = pairs.unionByName(punctuation.select(F.col("x.h").alias("held_h"), F.col("y.h").alias("train_h"))).distinct()
-    full = pairs.join(texts.select(F.col("h").alias("held_h"), F.col("form").alias("a")), "held_h")
-    full = full.join(texts.select(F.col("h").alias("train_h"), F.col("form").alias("b")), "train_h").select("held_h", "train_h", "a", "b")
-
-    def compare(batch: pa.RecordBatch) -> dict[str, list]:
-        out: dict[str, list] = {"held_h": [], "train_h": []}
-        for held, train, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            x, y = pieces(a), pieces(b)
-            both = len(x & y)
-            if both and 100 * both >= SIMILAR * (len(x) + len(y) - both):
-                out["held_h"].append(held)
-                out["train_h"].append(train)
-        return out
-
-    return map_batches(full, compare, "held_h string, train_h string")
+    held, train = texts.where("held"), texts.where("train")
+    near = similar_pairs(held, train, count_table(texts.select("form")), similar=SIMILAR)
+    loose = held.alias("x").join(train.alias("y"), F.expr("x.loose = y.loose and x.h <> y.h")).select(F.col("x.h").alias("left_h"), F.col("y.h").alias("right_h"))
+    equal = compared(loose.distinct(), held, train, similar=SIMILAR)
+    return near.unionByName(equal).select(F.col("left_h").alias("held_h"), F.col("right_h").alias("train_h")).distinct()
 
 
 def split_overlaps(entries: DataFrame, *, key: str, text: str, splits: str) -> DataFrame:
