@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from textloom.session import ship
+
 
 def map_batches(
     frame: DataFrame, work: Callable[[pa.RecordBatch], dict[str, list] | pa.RecordBatch | None], schema: str | T.StructType
 ) -> DataFrame:
     """Apply ``work`` to every Arrow batch; it returns columns by name, a finished batch, or nothing."""
+    ship(frame.sparkSession)
     struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(struct)
 

@@ -17,11 +17,11 @@ def journal_resume(spark, sf_dir):
 
 
 def minute_series(spark, sf_dir):
-    """Events by hour and type: count, mean and peak value, and a field of their properties."""
+    """Events by hour and type: count, total and peak value, and a field of their properties."""
     events = load(spark, sf_dir, "events")
     number = F.try_to_number(F.get_json_object("props", "$.k"), F.lit("999999")).cast("bigint")
     rows = events.groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(
-        F.count("*").alias("events"), F.round(F.avg("value"), 3).alias("mean"), F.round(F.max("value"), 3).alias("peak"), F.sum(number).alias("k_sum")
+        F.count("*").alias("events"), F.round(F.sum("value"), 2).alias("total"), F.max("value").alias("peak"), F.sum(number).alias("k_sum")
     )
     return rows.withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:mm"))
 
@@ -58,7 +58,7 @@ QUERIES = {f.__name__: f for f in (journal_resume, minute_series, user_sessions,
 
 SQL = {
     "journal_resume": "with d as (select user_id, max(event_id) as last from events where event_type = 'purchase' group by 1) select user_id, count(*) as pending, min(event_id) as next_event from events left join d using (user_id) where event_type = 'click' and (last is null or event_id > last) group by 1",
-    "minute_series": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as hour, event_type, count(*) as events, round(avg(value), 3) as mean, round(max(value), 3) as peak, sum(try_cast(json_extract_string(props, '$.k') as bigint))::bigint as k_sum from events group by all",
+    "minute_series": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as hour, event_type, count(*) as events, round(sum(value), 2) as total, max(value) as peak, sum(try_cast(json_extract_string(props, '$.k') as bigint))::bigint as k_sum from events group by all",
     "user_sessions": "with g as (select *, ts - lag(ts) over (partition by user_id order by ts, event_id) > interval 1 hour as cut from events), s as (select *, sum(case when cut then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding)::bigint as session from g) select user_id, session, count(*) as events, min(event_id) as first_event from s group by all",
     "first_wins": "select user_id, event_type, min(event_id) as first_event, arg_min(props, event_id) as props, count(*) as seen from events group by all",
     "newest_kept": "with a as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as age from events) select user_id, count(*) filter (age > 3) as removable, max(event_id) filter (age = 3) as oldest_kept from a group by 1",

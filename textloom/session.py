@@ -6,10 +6,33 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers of a session, once.
+
+    Workers do not share the driver's module path. Spark serves the archive from the driver to every executor, so this
+    works whatever folder the driver was started in and needs no ``--py-files``.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="textloom-code-"), "textloom_code.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.join("textloom", os.path.relpath(path, root)))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
 
 
 def build_session(app: str = "textloom", cores: str = "8", **conf: str) -> SparkSession:
@@ -30,7 +53,9 @@ def build_session(app: str = "textloom", cores: str = "8", **conf: str) -> Spark
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     for key, value in {**base, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -101,5 +126,6 @@ def spread(frame: DataFrame) -> DataFrame:
 
 def load(spark: SparkSession, sf_dir: str, *names: str):
     """Read one table, or several as a tuple, from a data folder."""
+    ship(spark)
     frames = tuple(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")) for name in names)
     return frames[0] if len(frames) == 1 else frames
