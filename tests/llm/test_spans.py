@@ -42,6 +42,18 @@ def test_pairs_match_brute_force(spark):
     assert spans.span_pairs(frame.limit(0), key="doc_id", text="text").count() == 0
 
 
+def test_tasks_of_many_batches(spark):
+    rows = corpus()
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = [tuple(r) for r in spans.span_pairs(frame, key="doc_id", text="text").collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 200)
+
+
 def test_shares_match_brute_force(spark):
     rows = [(k, t) for k, t in corpus() if t is None or not t.startswith("abab")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")

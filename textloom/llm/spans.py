@@ -184,8 +184,8 @@ def sketch(texts: DataFrame, span: int, width: int) -> dict[tuple[int, int], byt
                 some = True
                 cell, number = np.unique(_cells(hashes, row, width), return_counts=True)
                 byte, bit = cell >> 3, (1 << (cell & 7)).astype(np.uint8)
-                seen = (once[row, byte] & bit) > 0
-                np.bitwise_or.at(twice[row], byte[seen | (number > 1)], bit[seen | (number > 1)])
+                again = ((once[row, byte] & bit) > 0) | (number > 1)
+                np.bitwise_or.at(twice[row], byte[again], bit[again])
                 np.bitwise_or.at(once[row], byte, bit)
         if some:
             part = TaskContext.get().partitionId() % PARTS
