@@ -145,6 +145,17 @@ def test_greedy_near_duplicates_match_one_pass(spark):
     assert got == want and set(want.values()) >= {"exact", "kept"}
 
 
+def test_long_near_copies_are_found(spark):
+    random.seed(12)
+    texts = ["".join(random.choice("abcdefghij klmnop") for _ in range(n)) for n in (700, 1500, 3000, 6000) for _ in range(5)]
+    copies = [t[:20] + "xyz" + t[20:] for t in texts]
+    frame = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts + copies)], "id long, l string, t string")
+    got = {r.id: r.verdict for r in dedup.greedy_near_duplicates(frame, "id", "l", "t").collect()}
+    assert [got[i] for i in range(20)] == ["kept"] * 20 and [got[i] for i in range(20, 40)].count("near") == 20
+    capped = [dedup.minhash_similarity(*(dedup.one_permutation_minhash(t, most=512) for t in pair)) >= 0.9 for pair in zip(texts, copies, strict=True)]
+    assert sum(capped) < 5  # the parity form loses them
+
+
 def test_quantile_rules(spark):
     import math
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as X
 from textloom.functions.identity import sha
 from textloom.operators.graph import components
+from textloom.session import write_table
 
 
 def identity(text: Column) -> Column:
@@ -92,16 +94,28 @@ def linked_classes(pairs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     return rows.select(F.col("e").alias(key), F.coalesce("component", "e").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
-def one_permutation_minhash(text: str, bins: int = 32, width: int = 5, most: int = 512, key: bytes = b"") -> list[int]:
-    """Least keyed 128-bit hash of evenly spaced shingles in each bin; -1 for an empty bin."""
+@lru_cache(maxsize=1 << 17)
+def _placed(shingle: str, bins: int, key: bytes) -> tuple[int, int]:
+    """Bin and rest of a shingle's keyed 128-bit hash; texts share most of their shingles, so the latest are kept."""
+    rest, bin_ = divmod(int.from_bytes(blake2b(shingle.encode(), digest_size=16, key=key).digest(), "big"), bins)
+    return bin_, rest
+
+
+def one_permutation_minhash(text: str, bins: int = 32, width: int = 5, most: int | None = None, key: bytes = b"") -> list[int]:
+    """Least keyed 128-bit hash of all shingles in each bin; -1 for an empty bin.
+
+    With ``most`` at most so many evenly spaced shingles are hashed, as the reference does for its short segments (512).
+    An insertion moves all those places, so in longer texts near copies are lost.
+    """
     body = " ".join(text.split())
     total = max(0, len(body) - width + 1)
-    step = max(1.0, total / most)
-    places = sorted({int(i * step) for i in range(min(total, most))})
+    if most is None or total <= most:
+        places = range(total)
+    else:
+        places = sorted({int(i * (total / most)) for i in range(most)})
     least = [-1] * bins
-    for at in places:
-        value = int.from_bytes(blake2b(body[at : at + width].encode(), digest_size=16, key=key).digest(), "big")
-        bin_, rest = value % bins, value // bins
+    for shingle in {body[at : at + width] for at in places}:
+        bin_, rest = _placed(shingle, bins, key)
         if least[bin_] < 0 or rest < least[bin_]:
             least[bin_] = rest
     return least
@@ -133,6 +147,7 @@ def greedy_near_duplicates(frame: DataFrame, key: str, block: str, text: str, *,
     )
     signed = signed.withColumn("buckets", buckets)
     firsts = signed.groupBy("b", "exact").agg(F.min("k").alias("k"), F.any_value("sig").alias("sig"), F.any_value("buckets").alias("buckets"))
+    firsts = write_table(firsts, "firsts").frame  # read twice; signatures are the costly part
     edges = firsts.select(F.explode("buckets").alias("r"), "k")
     placed = firsts.join(components(edges, "r", "k"), firsts["k"] == F.col("entity"))
 
