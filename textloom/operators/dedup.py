@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import lru_cache
 from hashlib import blake2b
 
@@ -10,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.functions import text as X
 from textloom.functions.identity import sha
@@ -27,6 +29,12 @@ def near_identity(text: Column) -> Column:
     return sha(F.regexp_replace(F.lower(text), f"[\\p{{P}}\\p{{S}}\\p{{Z}}{X.WHITE}]", ""))
 
 
+@F.pandas_udf(T.StringType())
+def near_form(texts: pd.Series) -> pd.Series:
+    """Composed text, case folded, with single spaces: the form whose trigrams are compared."""
+    return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFC", t).casefold().split()))
+
+
 def collisions(frame: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """For each named key: how many stand more than once, and how many rows those have beyond the first. One shuffle for all keys."""
     pairs = F.array(*(F.struct(F.lit(name).alias("field"), key.alias("key")) for name, key in keys.items()))

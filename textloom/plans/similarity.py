@@ -112,7 +112,7 @@ def greedy_dedup(spark, sf_dir):
 
 
 def contamination_exact(spark, sf_dir):
-    """Entries and documents whose exact or near identity is that of a held-out passage."""
+    """Entries and documents whose exact or near identity is that of a held-out passage, whatever its match mode says."""
     entries, documents, items = load(spark, sf_dir, "text_entries", "documents", "reference_records")
     held = items.select("item_id", "policy", D.identity(F.col("text")).alias("exact"), D.near_identity(F.col("text")).alias("near")).distinct()
     rows = entries.select(F.lit("text_entries").alias("record_table"), F.col("entry_id").alias("record_id"), "text").unionByName(
@@ -123,6 +123,40 @@ def contamination_exact(spark, sf_dir):
     return hits.select("record_table", "record_id", "item_id", "policy", F.when(F.col("exact") == F.col("held"), "exact").otherwise("near").alias("match"))
 
 
+def _form_key():
+    """A key of a form of a language."""
+    return F.md5(F.concat_ws("\x1f", F.coalesce("language", F.lit("")), "form"))
+
+
+def contamination_scan(spark, sf_dir):
+    """Every held-out passage with the entries of its language that hold it, by its match mode; null where none does.
+
+    Every entry of exactly the same text; where there is none and the mode is ``exact-and-near``, the first entry of the
+    form with the highest trigram similarity of 0.82 or more, the last form in order among equals. Passages with fewer
+    than five trigrams are near to none.
+    """
+    mode = F.coalesce("match_mode", F.lit("exact-and-near")).alias("match_mode")
+    items = load(spark, sf_dir, "reference_records").where("text is not null").select("item_id", "reference_id", "policy", mode, "language", X.nfc(F.col("text")).alias("text"))
+    items = write_table(items.distinct().withColumn("form", D.near_form(F.col("text"))).withColumn("h", _form_key()), "items").frame
+    entries = _entries(spark, sf_dir).where("text is not null").select("entry_id", "language", X.nfc(F.col("text")).alias("text"))
+    entries = write_table(spread(entries).withColumn("form", D.near_form(F.col("text"))), "entries").frame
+    exact = write_table(items.join(entries.select("entry_id", "language", "text"), ["language", "text"]).select("item_id", "reference_id", "policy", "entry_id"), "exact").frame
+    rest = items.where((F.col("match_mode") == "exact-and-near") & (F.size(D.trigrams(F.col("form"))) >= 5)).join(exact, ["item_id", "reference_id"], "left_anti")
+    rest = rest.select("item_id", "reference_id", "policy", F.col("language").alias("held_language"), "h", "form")
+    forms = entries.where("form <> ''").groupBy("language", "form").agg(F.min("entry_id").alias("entry_id")).withColumn("h", _form_key())
+    forms = write_table(forms, "forms").frame
+    held = write_table(rest.select("h", "form").distinct(), "held").frame
+    # Pieces are ordered by the passages' own counts: what no passage holds comes first in an entry and meets nothing.
+    pairs = J.similar_pairs(held, forms.select("h", "form"), J.count_table(held.select("form")), similar=82)
+    same = held.join(forms.select("h"), "h").select(F.col("h").alias("left_h"), F.col("h").alias("right_h"), F.lit(1.0).cast("double").alias("similarity"))
+    met = pairs.unionByName(same).join(rest.drop("form").withColumnRenamed("h", "left_h"), "left_h").join(forms.withColumnRenamed("h", "right_h"), "right_h")
+    met = met.where(F.col("language").eqNullSafe(F.col("held_language"))).groupBy("item_id", "reference_id", "policy")
+    near = met.agg(F.max(F.struct("similarity", "form", "entry_id")).alias("best"))
+    found = exact.select("*", F.lit("exact").alias("match"), F.lit(1.0).cast("double").alias("similarity"))
+    found = found.unionByName(near.select("item_id", "reference_id", "policy", "best.entry_id", F.lit("near").alias("match"), F.round("best.similarity", 6).alias("similarity")))
+    return items.select("item_id", "reference_id", "policy").join(found.drop("policy"), ["item_id", "reference_id"], "left")
+
+
 def contamination_sentences(spark, sf_dir):
     """Sentences of documents that equal a sentence of a held-out passage, counted by item."""
     documents, items = load(spark, sf_dir, "documents", "reference_records")
@@ -165,7 +199,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         exact_dedup, near_identity_dedup, dedup_reasons, collision_counts, cross_split_texts, groups_across_splits, text_entry_groups,
-        shingle_jaccard_pairs, band_jaccard_pairs, dedup_components, greedy_dedup, contamination_exact, contamination_sentences, isolation_overlaps, group_components,
+        shingle_jaccard_pairs, band_jaccard_pairs, dedup_components, greedy_dedup, contamination_exact, contamination_scan, contamination_sentences, isolation_overlaps, group_components,
     )
 }
 
