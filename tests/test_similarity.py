@@ -1,3 +1,5 @@
+import hashlib
+import json
 import random
 
 from textloom.plans import similarity
@@ -36,3 +38,25 @@ def test_scan_follows_the_match_mode(spark, tmp_path):
     grams = lambda t: {f"^{t}$"[i : i + 3] for i in range(len(t))}
     a, b = grams(text[1]), grams(near(text[1], 1))
     assert {r.item_id: r.similarity for r in rows if r.match == "near"} == {1: round(len(a & b) / len(a | b), 6), 4: 1.0}
+
+
+def test_tied_groups_share_component_and_split(spark, tmp_path):
+    random.seed(5)
+    words = "harbour court festival budget driver library filter old quiet narrow damp river".split()
+    text = [" ".join(random.choice(words) for _ in range(40)) for _ in range(4)]
+    entries = [
+        entry(1, "eng_Latn", text[0], ["g01", "g02"]), entry(2, "eng_Latn", text[0].upper(), ["g03"]), entry(3, "eng_Latn", text[0] + " gate", ["g04"]),
+        entry(4, "kor_Hang", text[0], ["g05"]), entry(5, "eng_Latn", text[1], ["g06", None]), entry(6, "eng_Latn", None, ["g07", "g08"]), entry(7, "eng_Latn", "", ["g09"]),
+        entry(8, "eng_Latn", " ", ["g10"]), entry(9, "eng_Latn", "aaa", ["g11"]), entry(10, "eng_Latn", "aaaa", ["g12"]), entry(10, "eng_Latn", "aaaa", ["g12"]),
+        entry(11, "eng_Latn", text[2], ["g13"]), entry(12, "eng_Latn", text[2], ["g06"]),
+    ]
+    save(spark, tmp_path, "text_entries", entries, ENTRY)
+    save(spark, tmp_path, "encoded_samples", [("s1", "g01"), ("s2", "g14"), ("s3", "g14"), ("s4", None)], "sample_id string, sample_group_id string")
+    got = {r.sample_group_id: (r.component_id, r.split) for r in similarity.component_splits(spark, str(tmp_path)).collect()}
+    want = {}
+    for members in (["g01", "g02", "g03", "g04"], ["g05"], ["g06", "g13"], ["g07", "g08"], ["g09"], ["g10"], ["g11"], ["g12"], ["g14"]):
+        line = lambda x: (json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":")) + "\n").encode()
+        name = "component-sha256:" + hashlib.sha256(line(members)).hexdigest()
+        place = int(hashlib.sha256(line({"component_id": name, "split_profile_version": "massive-locked-count-hash-v1"})).hexdigest(), 16) % 16521
+        want |= dict.fromkeys(members, (name, "train" if place < 11514 else "dev" if place < 13547 else "test"))
+    assert got == want

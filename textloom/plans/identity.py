@@ -19,7 +19,7 @@ def hash_split_documents(spark, sf_dir):
 
 
 def component_split_mod(spark, sf_dir):
-    """Split of every sample group by its digest modulo 16521."""
+    """Split of every sample group by its own digest modulo 16521; `component_splits` keeps tied groups together."""
     groups = load(spark, sf_dir, "encoded_samples").select("sample_group_id").distinct()
     digest = I.sha(I.canonical_json({"group": F.col("sample_group_id")}))
     return groups.select("sample_group_id", I.hash_mod(digest, 16521).alias("place"), I.split_of(digest).alias("split"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textloom.functions import identity as I
 from textloom.functions import text as X
 from textloom.operators import dedup as D
 from textloom.operators import setjoin as J
@@ -179,11 +180,38 @@ def isolation_overlaps(spark, sf_dir):
 
 
 def group_components(spark, sf_dir):
-    """Sample groups tied by entries that list them together, by component."""
+    """Sample groups tied by entries that list them together, by smallest member; `component_splits` ties them by texts too."""
     rows = _entries(spark, sf_dir).select("entry_id", F.explode("groups").alias("group_id"))
     return components(rows, "entry_id", "group_id").select(F.col("entity").alias("group_id"), F.col("component").alias("component_id"))
 
 
+def component_splits(spark, sf_dir):
+    """Component and split of every sample group: groups tied by one text or by similar texts of a language are split together.
+
+    Ties are an entry's own list, equal near forms, and near forms with a trigram similarity of 0.82 or more (of at least
+    five trigrams each). A component's id is the digest of its sorted members, which meet in one row; the split follows
+    from the id.
+    """
+    entries = spread(_entries(spark, sf_dir)).select("entry_id", "language", D.near_form(F.col("text")).alias("form"), F.explode("groups").alias("g")).where("g is not null")
+    key = F.when(F.col("form") != "", _form_key()).otherwise(F.concat(F.lit("entry:"), F.col("entry_id").cast("string")))
+    rows = write_table(entries.withColumn("h", key), "tied").frame
+    forms = rows.where("form <> ''").groupBy("h").agg(F.any_value("language").alias("language"), F.any_value("form").alias("form"), F.min("g").alias("g"))
+    forms = write_table(forms.where(F.size(D.trigrams(F.col("form"))) >= 5), "forms").frame
+    sides = spread(forms).select("h", "form")
+    pairs = J.similar_pairs(sides, sides, J.count_table(sides.select("form")), similar=82, both=True)
+    one, other = (forms.select(F.col("h").alias(f"{s}_h"), F.col("language").alias(f"{s}_language"), F.col("g").alias(f"{s}_g")) for s in ("left", "right"))
+    near = pairs.join(one, "left_h").join(other, "right_h").where(F.col("left_language").eqNullSafe(F.col("right_language")))
+    # One group of each form is enough: the others are tied to it through the form.
+    near = near.select(F.concat_ws("|", "left_h", "right_h").alias("r"), F.explode(F.array("left_g", "right_g")).alias("g"))
+    lists = rows.select(F.concat(F.lit("entry:"), F.col("entry_id").cast("string")).alias("r"), "g")
+    alone = load(spark, sf_dir, "encoded_samples").where("sample_group_id is not null").select(F.concat(F.lit("group:"), F.col("sample_group_id")).alias("r"), F.col("sample_group_id").alias("g"))
+    placed = components(rows.select(F.col("h").alias("r"), "g").unionByName(lists).unionByName(near).unionByName(alone), "r", "g")
+    whole = placed.groupBy("component").agg(F.array_sort(F.collect_list("entity")).alias("members"))
+    whole = whole.select("members", F.concat(F.lit("component-sha256:"), I.sha(F.concat(F.to_json("members"), F.lit("\n")))).alias("component_id"))
+    digest = I.sha(I.canonical_json({"component_id": F.col("component_id"), "split_profile_version": F.lit("massive-locked-count-hash-v1")}))
+    return whole.withColumn("split", I.split_of(digest)).select(F.explode("members").alias("sample_group_id"), "component_id", "split")
+
+
 _TE = "(select distinct on (entry_id) * from text_entries)"
 _ONCE = "(select distinct on (candidate_id) * from text_candidates)"
 _ID = lambda t: f"sha256(lower({S.collapse(t)}))"
@@ -200,6 +228,7 @@ QUERIES = {
     for f in (
         exact_dedup, near_identity_dedup, dedup_reasons, collision_counts, cross_split_texts, groups_across_splits, text_entry_groups,
         shingle_jaccard_pairs, band_jaccard_pairs, dedup_components, greedy_dedup, contamination_exact, contamination_scan, contamination_sentences, isolation_overlaps, group_components,
+        component_splits,
     )
 }
 
