@@ -8,6 +8,24 @@ from textloom.functions import text as X
 from textloom.session import load
 
 
+#: First and last code points of the alphabet a vocabulary must cover.
+ALPHABET_RANGES = (
+    (0x21, 0x7E), (0xA1, 0xFF), (0x1100, 0x11FF), (0x3000, 0x30FF), (0x3130, 0x318F), (0xA960, 0xA97F), (0xAC00, 0xD7A3), (0xD7B0, 0xD7FF), (0xFF01, 0xFF9F),
+)
+#: Traditional characters that the reference adds to the two national sets.
+TRADITIONAL = (
+    "臺灣香港澳門國學體醫藥衞風雲龍廣東萬與專業叢絲兩嚴喪個豐臨為麗舉麼義烏樂喬習鄉書買亂爭於虧亞產畝親億僅從侖倉儀們價眾優會"
+    "傘偉傳傷倫偽佇佈佔來侶俠係俁倆側偵儉債傾儲兒兌黨蘭關興養獸內岡冊寫軍農馮沖決況凍淨涼減湊凜幾鳳憑凱擊鑿劃劉則剛創刪別剮製"
+    "剎劑勁動務勛勝勞勢勳勵勸勻匭匯區協單賣盧衛卻廠廳歷厲壓厭廁廂廈廚廢歸當錄彙徑復徵德憶應懷態慣慘慶憂戲戶撲執擴掃揚換據擇擔"
+    "擬擁攔攙攝攜擺搖摺敵數齊齋鬥斷無舊時晉暫術樸機殺雜權條楊極樓標樣樹橋檔檢櫃欄歡歐殲殼毀氣漢湯溝滅滬潔淚潛澤濟濤濕濺燈靈災"
+    "爐愛爺牆獨獲環現電畫異疊療瘋癡發盜盞監盤睜瞞矚礦碼磚禮禍禦種稱穀積穩窩窪窮竄競筆筍築範簽簡糧糾紀約紅級紋納純紙紛紡紐線練"
+    "組細終紹經結給絡絕統綠維綱網綜緊緒緣編緩緬縣縱總績織繼續纖罰罵職聯聰肅腦腳脫臉臘艦艙藝節薦蘇處虛號蟲蠶補裝裡複見規覺覽觀"
+    "觸譽計訂認討訓議訊記講許論訴診詞該詳語誤說請諸諾讀課調談謀謂謝證識譜警譯讓貝貞負財貢貧貨販貪貫責貴貸貿費賀賊賓賜賞賠賢賦"
+    "質賴贊趕趙跡踐車軌軒軟轉輪輯輸辦邊遼達遷過運還這進遠違連遲適選遺郵鄧鄭醜釋鐘鋼錢鍋錯鎖鎮鏡鐵鑄長閃閉問閒間聞閩閥閣閱隊陽"
+    "陰陣階際陸陳險隨隱難雞離靜頂項順須預領頭頻題顏額飛飯飲飾餅館馬馳駕駛驚驗髮鬚魚鳥鳴鴨鷹麥黃點齒齡"
+)
+
+
 def _characters(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").where("text is not null")
     chars = F.explode(F.split("text", ""))
@@ -38,7 +56,7 @@ def shared_han(spark, sf_dir):
 
 
 def alphabet_audit(spark, sf_dir):
-    """Hangul syllables and kana of the documents against the alphabet they must be covered by: counts by state."""
+    """Kana of the documents against the kana they must be covered by: counts by state; `alphabet_states` has the whole alphabet."""
     counts = _characters(spark, sf_dir).groupBy("c").agg(F.sum("n").alias("n"))
     code = F.col("id").cast("bigint")
     wanted = spark.range(0x3041, 0x30FF).select(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32").alias("c"))
@@ -46,6 +64,29 @@ def alphabet_audit(spark, sf_dir):
     return both.groupBy("state").agg(F.count("*").alias("characters"), F.sum(F.coalesce("n", F.lit(0))).alias("occurrences"))
 
 
+def must_cover_alphabet() -> set[str]:
+    """The reference's alphabet: printable Latin, Jamo, CJK punctuation, kana, Hangul, full-width forms, the Han of GB 2312 and Shift JIS, common traditional Han."""
+    found = {chr(code) for first, last in ALPHABET_RANGES for code in range(first, last + 1)} | set("▁" + TRADITIONAL)
+    for name in ("gb2312", "shift_jis"):
+        for code in range(1 << 16):
+            try:
+                char = code.to_bytes(2, "big").decode(name)
+            except UnicodeDecodeError:
+                continue
+            if len(char) == 1 and "\u3400" <= char <= "\u9fff":
+                found.add(char)
+    return found
+
+
+def alphabet_states(spark, sf_dir):
+    """Every character of the documents, white space too, or of the whole alphabet: how often it stands, and whether it is used, unused, or outside the alphabet."""
+    docs = load(spark, sf_dir, "documents").where("text is not null").select(F.explode(F.split("text", "")).alias("c")).where("c <> ''")
+    counts = docs.groupBy("c").agg(F.count("*").alias("n"))
+    wanted = spark.createDataFrame([(c,) for c in sorted(must_cover_alphabet())], "c string").withColumn("must", F.lit(True))
+    state = F.when(F.col("must").isNull(), "outside").when(F.col("n").isNull(), "unused").otherwise("used")
+    return counts.join(wanted, "c", "full").select(F.col("c").alias("character"), F.coalesce("n", F.lit(0)).alias("occurrences"), state.alias("state"))
+
+
 def word_counts(spark, sf_dir):
     """English words of the documents in lower case, at least three times, with their counts."""
     docs = load(spark, sf_dir, "documents").where("lang = 'eng_Latn' and text is not null")
@@ -90,7 +131,7 @@ _COVER = r"'^[\x{21}-\x{7E}\x{3000}-\x{30FF}\x{AC00}-\x{D7A3}\x{4E00}-\x{9FA5}\x
 
 QUERIES = {
     f.__name__: f
-    for f in (char_inventory, char_coverage, shared_han, alphabet_audit, word_counts, word_lengths, token_utilisation, fertility, distinct_text_keys)
+    for f in (char_inventory, char_coverage, shared_han, alphabet_audit, alphabet_states, word_counts, word_lengths, token_utilisation, fertility, distinct_text_keys)
 }
 
 SQL = {
