@@ -1,6 +1,10 @@
+import random
+import re
+from re import _parser
+
 import pytest
 
-from textloom.llm.residue import line_evidence, residue_evidence
+from textloom.llm.residue import _matchers, line_evidence, residue_evidence
 
 
 @pytest.mark.parametrize(
@@ -41,3 +45,47 @@ def test_recurrent_navigation_is_subtracted_but_notices_are_not(spark):
     got = {r.candidate_id: r.kinds for r in residue_evidence(frame, key="candidate_id", text="text", host="source_id", recurrent=5).collect()}
     assert got == {10: ["weak"], **{20 + i: ["script"] for i in range(6)}}
     assert residue_evidence(frame.limit(0), key="candidate_id", text="text", host="source_id").count() == 0
+
+
+def samples(items):
+    """Strings of a parsed pattern: every alternative, optional parts left out and taken."""
+    out = [""]
+    for kind, value in items:
+        name = str(kind)
+        if name == "LITERAL":
+            more = [chr(value)]
+        elif name == "NOT_LITERAL":
+            more = [" "]
+        elif name == "IN":
+            flat = [(str(a), b) for a, b in value]
+            more = [" "] if flat[0][0] == "NEGATE" else [chr(b) if a == "LITERAL" else chr(b[0]) if a == "RANGE" else "0" for a, b in flat]
+        elif name == "BRANCH":
+            more = [x for branch in value[1] for x in samples(branch)]
+        elif name == "SUBPATTERN":
+            more = samples(value[3])
+        elif name == "MAX_REPEAT":
+            more = [x * value[0] for x in samples(value[2])] + (samples(value[2]) if value[0] == 0 else [])
+        else:
+            assert name in ("AT", "ASSERT", "ASSERT_NOT"), name
+            more = [""]
+        more = list(dict.fromkeys(more))
+        if len(out) * len(more) > 60_000:
+            out = random.sample(out, min(len(out), 2000))
+        out = [a + b for a in out for b in more]
+    return out
+
+
+@pytest.mark.parametrize("kind", [0, 1, 2])
+def test_every_alternative_holds_a_cue(kind):
+    random.seed(7)
+    cues, kinds = _matchers()
+    pattern = kinds[kind][1]
+    branches = list(_parser.parse(pattern.pattern, re.VERBOSE))[0][1][1]
+    for branch in branches:
+        found = [x for x in samples(branch) if pattern.search(x)]
+        assert found and [x for x in found if not next(cues.iter(x), None)] == []
+
+
+@pytest.mark.parametrize("text", ["Site temporarily down", "Page currently overloaded", "The link you have tried was deleted", "访问量大", "瀏覽量多"])
+def test_messages_behind_new_cues(text):
+    assert line_evidence(text) == "error"

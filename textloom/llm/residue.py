@@ -104,12 +104,12 @@ _CUES = (
     "script スクリプト 스크립트 脚本 腳本 指令碼 not found forbidden unauthorized gateway server error bad request service unavailable "
     "エラー 오류 错误 錯誤 出错 出錯"
 ).split() + [
-    "too many requests", "gone", "on this server", "on this site", "looking for", "requested", "you tried", "followed", "access denied", "access is denied",
+    "too many requests", "gone", "on this server", "on this site", "looking for", "requested", "tried", "followed", "access denied", "access is denied",
     "have permission", "have access", "have authori", "database", "uncaught", "syntax", "undefined", "traceback", "stack trace", "exception",
-    "segmentation", "session", "sign in again", "log in again", "is temporarily", "is currently", "temporarily unavailable", "maintenance",
+    "segmentation", "session", "sign in again", "log in again", "temporarily", "currently", "maintenance",
     "went wrong", "experiencing", "お探し", "見つかりません", "存在しません", "移動または", "データベース", "アクセスが", "権限", "セッション", "再度ログイン", "もう一度ログイン",
     "現在", "ただいま", "찾을 수", "존재하지", "데이터베이스", "권한", "서비스를", "세션이", "다시 로그인", "접속자", "점검 중", "不存在", "未找到", "找不到", "删除", "刪除",
-    "无法", "無法", "数据库", "資料庫", "权限", "權限", "拒绝访问", "拒絕存取", "过期", "過期", "逾時", "超时", "失效", "重新登", "繁忙", "忙碌", "不可用", "过大", "过多", "人数", "人數",
+    "无法", "無法", "数据库", "資料庫", "权限", "權限", "拒绝访问", "拒絕存取", "过期", "過期", "逾時", "超时", "失效", "重新登", "繁忙", "忙碌", "不可用", "过大", "过多", "人数", "人數", "访问量", "瀏覽量",
     "ipsum", "dolor sit", "consectetur", "dummy", "placeholder", "filler", "sample", "here", "replace this", "coming soon", "to be added", "to be supplied",
     "to be written", "to be announced", "ダミー", "サンプル", "ここに", "入力してください", "더미", "샘플", "예시", "임시", "들어갈", "하세요", "待补充", "待補充", "待填", "待完善",
     "即将推出", "即將推出", "示例", "范例", "範例", "样例", "示範", "占位", "佔位", "这里", "這裡", "此处", "此處",
