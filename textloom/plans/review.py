@@ -103,7 +103,7 @@ def input_ids(spark, sf_dir):
 
 
 def marginal_examples(spark, sf_dir):
-    """The first character outside the language's scripts of every document, with ten characters to each side."""
+    """The first Cyrillic character, arrow or emoji of Japanese and Korean documents, with ten characters to each side; `foreign_examples` has all languages and scripts."""
     docs = load(spark, sf_dir, "documents").where("text is not null and lang in ('jpn_Jpan', 'kor_Hang')")
     odd = r"[\x{400}-\x{4FF}\x{2190}-\x{21FF}\x{1F300}-\x{1FAFF}]"
     # The length of what stands before it: positions of matches count UTF-16 units, lengths count code points.
@@ -111,6 +111,23 @@ def marginal_examples(spark, sf_dir):
     return docs.where(F.rlike("text", F.lit(odd))).withColumn("spot", at).select("doc_id", "lang", "spot", F.expr("substring(text, greatest(spot - 10, 1), 21)").alias("context"))
 
 
+def foreign_examples(spark, sf_dir):
+    """The first letter or pictorial symbol outside the language's scripts of every document, with ten characters to each side.
+
+    Languages are those of the script table. Digits, punctuation, white space, combining marks, modifier letters and the
+    signs of ASCII and Latin-1 are shared by all scripts and foreign to none.
+    """
+    docs = load(spark, sf_dir, "documents").where("text is not null")
+    # Letters without those of the language, and symbols beyond Latin-1: arrows, shapes, emoji.
+    classes = {tag: rf"[\p{{L}}\p{{So}}\x{{2190}}-\x{{21FF}}\x{{1F300}}-\x{{1FAFF}}&&[^\p{{Lm}}\x{{0}}-\x{{40}}\x{{5B}}-\x{{60}}\x{{7B}}-\x{{BF}}{''.join(X.SCRIPTS[s] for s in names)}]]" for tag, names in X.EXPECTED.items()}
+    before, found = F.lit(None).cast("string"), F.lit(False)
+    for tag, odd in classes.items():
+        before = F.when(F.col("lang") == tag, F.regexp_extract("text", rf"(?s)^(.*?){odd}", 1)).otherwise(before)
+        found = F.when(F.col("lang") == tag, F.rlike("text", F.lit(odd))).otherwise(found)
+    rows = docs.where(found).withColumn("spot", F.length(before) + 1)
+    return rows.select("doc_id", "lang", "spot", F.expr("substring(text, greatest(spot - 10, 1), 21)").alias("context"))
+
+
 _AB = "(select distinct on (id) * from hymt2_decode_ab)"
 _BATCH = f"b as (select *, ((row_number() over (partition by route order by id) - 1) // 12)::int as batch, {S.token_estimate('source_text')} as tokens from {_AB})"
 _BODY = S.quoted(PROMPT).replace("{target}", "' || target_language || '").replace("{text}", "' || source_text || '")
@@ -119,7 +136,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         prompts, request_payloads, batch_plan, decision_contract, final_verdicts, run_contracts, prefix_property, checkpoint_gaps,
-        blind_queue, training_rows, input_ids, marginal_examples,
+        blind_queue, training_rows, input_ids, marginal_examples, foreign_examples,
     )
 }
 
