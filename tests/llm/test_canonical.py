@@ -32,6 +32,45 @@ def test_repair_by_script():
     assert repair("соurt", {"other"}) == "соurt"
 
 
+def test_repair_goes_both_ways():
+    assert skeleton("приpода Mocквa") == "природа Москва"
+    assert skeleton("λόγoς") == "λόγος"
+    assert skeleton("Это моя cтpана") == "Это моя страна"
+    assert suspects("Жwords") == []  # sure letters of both scripts
+
+
+def test_repair_of_kana_and_han():
+    assert skeleton("港ロ起重機 昨日のタ方") == "港口起重機 昨日の夕方"
+    assert skeleton("力レンダーとフィル夕ーとデ一タ、夕ービン") == "カレンダーとフィルターとデータ、タービン"
+    for plain in ("入力データ", "二週間", "カード", "すべてのページ", "口座"):
+        assert skeleton(plain) == plain
+    assert repair("港ロ起重機", {"港口"}) == "港口起重機"
+    assert repair("3カ月", set()) == "3カ月"
+
+
+def test_vocabulary_counts_records_not_rows(spark):
+    def forms(rows):
+        frame = spark.createDataFrame(rows, "id long, text string")
+        return {r.id: r.canonical for r in canonical_text(frame, "text", key=["id"]).collect()}
+
+    assert forms([(1, "zqxvcоde"), (1, "zqxvcоde")]) == {1: "zqxvcоde"}  # one record, delivered twice
+    assert forms([(1, "zqxvcоde"), (2, "zqxvсode")]) == {1: "zqxvcode", 2: "zqxvcode"}
+    assert forms([(1, "Mocквa"), (2, "Москва")])[1] == "Москва"
+    assert forms([(1, "港ロ起重機"), (2, "港口")])[1] == "港口起重機"
+    assert forms([(1, "3カ月"), (2, "3カ月"), (3, "力")])[1] == "3カ月"
+
+
+def test_many_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        rows = [(i, f"the соurt {i // 2}" if i % 2 else f"the court {i // 2}") for i in range(120)]
+        frame = spark.createDataFrame(rows, "id long, text string").selectExpr("'a' as t", "id", "text").coalesce(1)
+        found = same_look_pairs(canonical_text(frame, "text", key=["t", "id"]), table="t", key="id").collect()
+        assert sorted((r.left_id, r.right_id) for r in found) == [(i, i + 1) for i in range(0, 120, 2)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_pairs(spark):
     rows = [
         ("a", 1, "the соurt"), ("a", 2, "the court"), ("a", 2, "the court"), ("a", 3, "the court"), ("a", 4, "The court"),
