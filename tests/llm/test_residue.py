@@ -15,7 +15,8 @@ from textloom.llm.residue import _matchers, line_evidence, residue_evidence
         ("Please enable JavaScript to view the page.", "script"), ("使用本站需要开启脚本功能。", "script"), ("자바스크립트를 켜 주세요", "script"),
         ("404 Not Found", "error"), ("Traceback (most recent call last): File", "error"), ("会话已过期，请重新登录", "error"),
         ("お探しのページは見つかりませんでした。", "error"), ("Lorem ipsum dolor sit amet, consectetur", "filler"), ("內容待補充。", "filler"),
-        ("Ｅｒrоr establishing a database connection", "error"), ("Loading...", "weak"),
+        ("Ｅｒrоr establishing a database connection", "error"), ("Loading...", "notice"), ("新しい$order_id$を病院まで", "placeholder"), ("提交至__DATE__，内洛皮", "placeholder"),
+        ("{{ " + "customer.address.line_one | default_value " * 4 + "}}", "placeholder"), ("요청하신 페이지 /" + "a" * 60 + " 를 찾을 수 없습니다", "error"),
     ],
 )
 def test_evidence(text, kind):
@@ -37,13 +38,17 @@ def test_no_evidence(text):
     assert line_evidence(text) is None
 
 
-def test_recurrent_navigation_is_subtracted_but_notices_are_not(spark):
+def test_recurrent_lines_are_subtracted_unless_they_are_the_record(spark):
     rows = [(i, "Loading...\nA sentence about harbours.", "host") for i in range(6)]
     rows += [(10, "Loading...", "other"), (10, "Loading...", "other"), (11, None, "host"), (12, "", None), (13, "x " * 100_000, None)]
     rows += [(20 + i, "Please enable JavaScript.", "host") for i in range(6)]
+    rows += [(30 + i, "Please switch on JavaScript.\nA sentence about harbours.", "host") for i in range(6)]
+    rows += [(40, "Please turn on JavaScript.\nA sentence about harbours.", "host"), (40, "Please turn on JavaScript.\nA sentence about harbours.", "host")]
     frame = spark.createDataFrame(rows, "candidate_id long, text string, source_id string").selectExpr("*", "1 as kind", "2 as h", "3 as k")
     got = {r.candidate_id: r.kinds for r in residue_evidence(frame, key="candidate_id", text="text", host="source_id", recurrent=5).collect()}
-    assert got == {10: ["weak"], **{20 + i: ["script"] for i in range(6)}}
+    assert got == {10: ["notice"], 40: ["script"], **{20 + i: ["script"] for i in range(6)}}
+    rare = residue_evidence(frame, key="candidate_id", text="text", host="source_id", recurrent=5, common=0.9)  # on too few of the host's records
+    assert {r.candidate_id for r in rare.collect()} >= {*range(6), *range(30, 36)}
     assert residue_evidence(frame.limit(0), key="candidate_id", text="text", host="source_id").count() == 0
 
 

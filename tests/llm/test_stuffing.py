@@ -1,6 +1,9 @@
+import random
+
+import numpy as np
 import pytest
 
-from textloom.llm.stuffing import SHARE, stuffed_share, stuffing
+from textloom.llm.stuffing import SHARE, autocorrelation, gap_variation, stuffed_share, stuffing
 
 STUFFED = [
     "buy kitchen, free shipping kitchen, buy kitchen, top 10 kitchen, best kitchen, near me kitchen, sale kitchen",
@@ -28,6 +31,18 @@ def test_stuffed(text):
     assert stuffed_share(text)[0] > SHARE
 
 
+def test_even_repetition_is_flagged_and_chance_is_not():
+    rng = random.Random(5)
+    filler = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(600)]
+    even = [t for i in range(12) for t in ("lantern", *filler[12 * i : 12 * i + 11])]
+    assert stuffed_share(" ".join(even))[0] > SHARE
+    at = sorted(rng.sample(range(132), 12))
+    chance = [("lantern" if i in at else filler[i]) for i in range(132)]
+    assert stuffed_share(" ".join(chance))[0] < SHARE
+    assert gap_variation([[0, 10, 20, 30]]) == 0 and gap_variation([[0, 5]]) == float("inf")
+    assert autocorrelation(np.array([1, 2, 3] * 5)) == 1.0 and autocorrelation(np.arange(50)) == 0.0
+
+
 @pytest.mark.parametrize("text", PROSE)
 def test_prose(text):
     assert stuffed_share(text)[0] <= 0.2

@@ -1,16 +1,18 @@
 """Template residue and error-page text.
 
-Lines are counted by host in normalised form. A line that carries evidence of an unfilled placeholder, of filler, of an
-error message or of a demand to switch on scripts is looked for in the residual: what is left of a record once the
-lines recurrent on its host are subtracted. Evidence that can stand nowhere but in residue ("strong") counts wherever
-it is, since a notice a host shows on every page is still shown in place of content; evidence that is also ordinary
-navigation ("weak", such as a lone "Loading...") counts only on a line that is not recurrent.
+Lines are counted by host in normalised form, and those recurrent there - in at least ``recurrent`` records and a share
+``common`` of the host's - are its boilerplate: navigation, footers, the notice a host puts on every page. Evidence of an
+unfilled placeholder, of filler, of an error message or of a demand to switch on scripts is looked for in the residual,
+what is left of a record once its boilerplate lines are subtracted. Where nothing but lines with evidence stands in a
+record, they are shown in place of content and are no boilerplate there. Nothing is looked for in a line without
+evidence, so only lines with evidence are counted.
 """
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +41,7 @@ ERRORS = r"""
 (?<!returned\ )(?<!status\ )(?<!with\ )(?<!\ an\ )(?<!\ the\ )(?<!\ a\ )\b[45]\d\d\b[\ :,.\-]{0,3}(?:error[\ :\-]{0,3})?(?:not\ found|forbidden|unauthorized|internal\ server\ error|bad\ gateway|bad\ request|service\ unavailable|gateway\ time-?out|too\ many\ requests|gone\b)
 |^\s*(?:internal\ server\ error|bad\ gateway|gateway\ time-?out|page\ not\ found|not\ found\b)
 |(?:was|were|is|could)\ not\ (?:be\ )?found\ on\ this\ (?:server|site)
-|(?:page|url|file|document|link)\ (?:that\ )?(?:you|we)(?:'re|\ are|\ have|\ were)?\ (?:looking\ for|requested|tried|followed)\b[^.!?]{0,60}(?:moved|no\ longer|not\ exist|n't\ exist|not\ be\ found|not\ found|n't\ be\ found|unavailable|deleted)
+|(?:page|url|file|document|link)\ (?:that\ )?(?:you|we)(?:'re|\ are|\ have|\ were)?\ (?:looking\ for|requested|tried|followed)\b[^.!?]*(?:moved|no\ longer|not\ exist|n't\ exist|not\ be\ found|not\ found|n't\ be\ found|unavailable|deleted)
 |access\ denied\b|(?:do\ not|don't)\ have\ (?:permission|access|authori[sz]ation)\ to\ (?:access|view|see|open)
 |error\ establishing\ a\ database\ connection|could\ not\ connect\ to\ (?:the\ )?database|database\ connection\ (?:failed|error)
 |fatal\ error:|uncaught\ (?:exception|typeerror|error|referenceerror)|parse\ error:\ syntax\ error|syntax\ error,\ unexpected|undefined\ (?:index|variable|offset)
@@ -47,13 +49,13 @@ ERRORS = r"""
 |your\ (?:login\ )?session\ (?:has\ )?(?:expired|timed\ out)|session\ (?:has\ )?(?:expired|timed\ out)[.,;:!]?\ please|please\ (?:sign|log)\ in\ again\b
 |(?:site|service|server|page)(?:\ is)?\ (?:temporarily|currently)\ (?:unavailable|down|overloaded)|(?:site|service|server|page)\ is\ (?:currently\ )?under\ maintenance
 |^\W*something\ went\ wrong|an?\ (?:unexpected|unknown|internal)\ error\ (?:has\ )?occurred
-|お探しのページ|(?:ページ|ファイル|url)[^。]{0,40}(?:見つかりません|存在しません|は移動または削除)
+|お探しのページ|(?:ページ|ファイル|url)[^。]*(?:見つかりません|存在しません|は移動または削除)
 |(?:サーバー?|内部|システム)(?:内部)?エラーが?(?:発生|です)|データベース(?:に|への)接続(?:できません|に失敗|エラー)
 |アクセスが集中|(?:表示|閲覧|アクセス)する権限がありません|アクセスが拒否|セッションの?(?:有効)?期限が?切れ|セッションが(?:切れ|タイムアウト|失効)|再度ログイン|もう一度ログイン
 |(?:現在|ただいま)[^。]{0,20}(?:ご利用いただけません|利用できません|メンテナンス中)
-|페이지[^.]{0,40}찾을\ 수\ 없|페이지가\ 존재하지\ 않|데이터베이스\ ?(?:에\ )?(?:연결|접속)(?:에)?\ ?(?:오류|실패|할\ 수\ 없)
+|페이지[^.]*찾을\ 수\ 없|페이지가\ 존재하지\ 않|데이터베이스\ ?(?:에\ )?(?:연결|접속)(?:에)?\ ?(?:오류|실패|할\ 수\ 없)
 |(?:접근|열람|액세스)\ ?권한이\ 없|서비스를\ (?:일시적으로|현재)\ 이용할\ 수\ 없|세션이\ (?:만료|종료)|다시\ 로그인|(?:내부\ )?서버\ (?:내부\ )?오류|접속자가\ 많아|점검\ 중입니다
-|(?:访问|瀏覽|浏览|查看|请求|請求|查找|尋找|存取)的(?:页面|頁面|网页|網頁|文件|檔案)[^。]{0,60}(?:不存在|找不到|已被?删除|已被?刪除|无法|無法)
+|(?:访问|瀏覽|浏览|查看|请求|請求|查找|尋找|存取)的(?:页面|頁面|网页|網頁|文件|檔案)[^。]*(?:不存在|找不到|已被?删除|已被?刪除|无法|無法)
 |(?:页面|頁面|网页|網頁)(?:不存在|未找到|找不到)|找不到(?:该|該|此)?(?:页面|頁面|网页|網頁)
 |(?:数据库|資料庫)(?:连接|連線|連接)(?:失败|失敗|错误|錯誤|出错|出錯)|(?:没有|沒有|无|無)(?:权限|權限)(?:访问|瀏覽|浏览|查看|檢視|存取)|拒绝访问|拒絕存取
 |(?:会话|會話|工作階段|登录|登入)(?:已|已经|已經)?(?:过期|過期|逾時|超时|失效)|请重新登录|請重新登入
@@ -79,14 +81,15 @@ LATIN_FILLER = frozenset(
     "tempor ullamco velit veniam voluptate do ut et in ad ex ea eu id qui".split()
 )
 _IDENT = r"[A-Za-z_][\w.\-]*"
+_ASCII = r"[A-Za-z0-9_]"
 _FIELD = r"(?:名|名称|名稱|氏名|姓名|称号|标题|標題|題名|見出し|日期|日付|日時|内容|內容|価格|价格|價格|金额|金額|住所|地址|电话|電話|数量|數量|番号|编号|編號|城市|公司|会社|企業|商品|产品|產品|部署|部门|部門|이름|성명|제목|날짜|내용|가격|주소|전화|수량|번호|도시|회사명?|상품명?)"
 _FILL = r"(?:输入|輸入|插入|填写|填寫|填入|添加|新增|挿入|入力|記入|追加|입력|기입|삽입|작성|추가)"
 PLACEHOLDER = re.compile(
     rf"""
-    \{{\{{[^{{}}\n]{{1,60}}\}}\}} | \{{%[^\n%]{{1,80}}%\}} | <%[^\n%]{{1,80}}%> | <\?(?:php|=)[^\n]{{1,80}}?\?>
-    | [$\#]\{{\s*[\w.\-\[\]]{{1,60}}\s*\}} | \{{\s*(?:{_IDENT}|\d{{1,2}})\s*\}} | @@\s*{_IDENT}\s*@@ | (?<![\w])__[A-Za-z][\w.\-]*__(?![\w])
-    | \[\[\s*{_IDENT}\s*\]\] | <<\s*{_IDENT}\s*>> | %\({_IDENT}\)[sd] | (?<![\w%])%[A-Za-z_][\w.\-]*%(?![\w%]) | (?<![\w$])\$[A-Za-z_][\w.\-]*\$(?![\w$])
-    | [\[<(](?:please\s+)?(?:insert|place|enter|type|add|put|your|todo|tbd|tba|fixme)\b[^\[\]<>()\n]{{0,40}}[\])>](?!\()
+    \{{\{{[^{{}}\n]+\}}\}} | \{{%[^\n%]+%\}} | <%[^\n%]+%> | <\?(?:php|=)[^\n?]+\?>
+    | [$\#]\{{\s*[\w.\-\[\]]+\s*\}} | \{{\s*(?:{_IDENT}|\d{{1,2}})\s*\}} | @@\s*{_IDENT}\s*@@ | (?<!{_ASCII})__[A-Za-z][A-Za-z0-9_.\-]*__(?!{_ASCII})
+    | \[\[\s*{_IDENT}\s*\]\] | <<\s*{_IDENT}\s*>> | %\({_IDENT}\)[sd] | (?<!{_ASCII})(?<!%)%[A-Za-z_][A-Za-z0-9_.\-]*%(?!{_ASCII})(?!%) | (?<!{_ASCII})(?<!\$)\$[A-Za-z_][A-Za-z0-9_.\-]*\$(?!{_ASCII})(?!\$)
+    | [\[<(](?:please\s+)?(?:insert|place|enter|type|add|put|your|todo|tbd|tba|fixme)\b[^\[\]<>()\n]*[\])>](?!\()
     | [\[<(][^\[\]<>()\n]{{1,40}}\s+here[\])>](?!\()
     | [\[<【][^\[\]<>\n【】]{{0,24}}{_FILL}[^\[\]<>\n【】]{{0,16}}[\]>】](?!\()
     | \([^()\n]{{0,12}}{_FILL}[^()\n]{{0,8}}\)
@@ -94,8 +97,8 @@ PLACEHOLDER = re.compile(
     """,
     re.VERBOSE | re.IGNORECASE,
 )
-# Whole lines that are a notice on one page and navigation on another.
-WEAK = re.compile(
+# Whole lines that are a notice in place of content.
+NOTICE = re.compile(
     r"(?:page |file )?not found[.!]*|loading[ .…]*|please wait[ .…]*|coming soon[ .!]*|under construction[.!]*|tbd|n/a|untitled|no title"
     r"|読み込み中[ .…。]*|準備中(?:です)?[。.]*|로딩 ?중[ .…]*|준비 ?중(?:입니다)?[ .]*|加载中[ .…。]*|載入中[ .…。]*|敬请期待[。.]*|敬請期待[。.]*"
 )
@@ -147,7 +150,7 @@ def _unquoted(line: str) -> str:
 
 
 def line_evidence(line: str) -> str | None:
-    """The kind of residue a line shows: placeholder, script, error, filler, weak - or None."""
+    """The kind of residue a line shows: placeholder, script, error, filler, notice - or None."""
     form = _unquoted(skeleton(line))
     if PLACEHOLDER.search(form):
         return "placeholder"
@@ -161,26 +164,26 @@ def line_evidence(line: str) -> str | None:
             return "filler"
     elif _latin_filler(low):
         return "filler"
-    if len(low) < 40 and WEAK.fullmatch(_MARKUP.sub(" ", low).strip()):
-        return "weak"
+    if NOTICE.fullmatch(_MARKUP.sub(" ", low).strip()):
+        return "notice"
     return None
 
 
 _BREAK = re.compile("\r\n|[\n\r\x85\u2028\u2029]")
-_LINE = r"\r\n|[\n\r\x{85}\x{2028}\x{2029}]"
 
 
-def _normal_line(line):
-    return F.md5(F.regexp_replace(F.regexp_replace(F.lower(F.trim(line)), r"[0-9]+", "0"), r"\s+", " "))
+def normal_line(line: str) -> str:
+    """Digest of a line without letter case, with single spaces and one digit in place of any number."""
+    return blake2b(re.sub(r"[0-9]+", "0", " ".join(line.lower().split())).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
-def residue_evidence(frame: DataFrame, *, key: str, text: str, host: str, recurrent: int = 20) -> DataFrame:
+def residue_evidence(frame: DataFrame, *, key: str, text: str, host: str, recurrent: int = 20, common: float = 0.01) -> DataFrame:
     """One row per record that shows residue: ``key`` and the sorted distinct ``kinds`` of its evidence.
 
-    ``recurrent`` is the number of distinct records of one host from which a normalised line counts as boilerplate.
-    Line counts are aggregated per partition before the shuffle, so a host that holds a third of all rows adds only
-    one partial count per line and partition; lines of records without evidence never travel with their text. The texts
-    are scanned once: the few lines with evidence are kept as a table in the shared folder.
+    A normalised line beside others is boilerplate of a host if at least ``recurrent`` distinct records of the host, and a share
+    ``common`` of them, hold it; whatever evidence it carries, it is subtracted. The texts are scanned once, in one narrow
+    pass; only lines with evidence leave it, as digests, so a host that holds a third of all rows adds one small row for
+    each of them and never its texts. Records are counted by host with partial counts before the shuffle.
     Null and empty texts give no row. A record delivered twice counts once. An empty table gives no rows. A null host
     is a host of its own.
     """
@@ -188,23 +191,19 @@ def residue_evidence(frame: DataFrame, *, key: str, text: str, host: str, recurr
 
     def scan(batch: pa.RecordBatch) -> dict[str, list]:
         keys, texts, hosts = (c.to_pylist() for c in batch.columns)
-        out: dict[str, list] = {"k": [], "h": [], "line": [], "kind": []}
+        out: dict[str, list] = {"k": [], "h": [], "n": [], "kind": [], "beside": []}
         for k, x, h in zip(keys, texts, hosts, strict=True):
-            for line in dict.fromkeys(_BREAK.split(x)) if x else ():
-                if line and (kind := line_evidence(line)):
-                    for name, value in (("k", k), ("h", h), ("line", line), ("kind", kind)):
-                        out[name].append(value)
+            lines = [line for line in dict.fromkeys(_BREAK.split(x)) if line and not line.isspace()] if x else []
+            shown = [(line, kind) for line in lines if (kind := line_evidence(line))]
+            for line, kind in shown:
+                for name, value in zip(out, (k, h, normal_line(line), kind, len(shown) < len(lines)), strict=True):
+                    out[name].append(value)
         return out
 
     kinds = frame.schema[key].dataType.simpleString()
-    found = write_table(map_batches(rows, scan, f"k {kinds}, h string, line string, kind string"), "evidence").frame
-    strong = found.where("kind <> 'weak'").select("k", "kind")
-    weak = found.where("kind = 'weak'").select("k", "h", "kind", _normal_line(F.col("line")).alias("n"))
-    lines = rows.select("k", "h", F.explode(F.split("x", _LINE)).alias("line"))
-    counted = lines.select("k", "h", _normal_line(F.col("line")).alias("n")).distinct().groupBy("h", "n").count().where(F.col("count") >= recurrent)
-    residual = weak.join(counted, ["h", "n"], "left_anti").select("k", "kind")
-    return (
-        strong.unionByName(residual)
-        .groupBy(F.col("k").alias(key))
-        .agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
-    )
+    found = write_table(map_batches(rows, scan, f"k {kinds}, h string, n string, kind string, beside boolean"), "evidence").frame
+    counted = found.groupBy("h", "n").agg(F.count_distinct("k").alias("held")).where(F.col("held") >= recurrent)
+    hosts = rows.groupBy("h").agg(F.count_distinct("k").alias("records"))
+    boilerplate = counted.join(hosts, "h").where(F.col("held") >= common * F.col("records")).select("h", "n")
+    residual = found.where("not beside").unionByName(found.where("beside").join(boilerplate, ["h", "n"], "left_anti"))
+    return residual.groupBy(F.col("k").alias(key)).agg(F.array_sort(F.collect_set("kind")).alias("kinds"))

@@ -2,10 +2,10 @@
 
 A text is read as a sequence of terms with their positions. Four signals mark stretches of it:
 
-* recurrence: a content term that comes back at short gaps. Gaps between occurrences of a term inside a lag window are
-  collected; a chain of such gaps is regular if it is long and its term is no function word. The positional
-  autocorrelation of the stretch - the share of positions whose term stands again one to ``LAG`` positions later -
-  must be high, which a noun that happens to recur in prose does not reach;
+* recurrence: a content term that comes back at short or even gaps. The gaps of a term are divided by their mean: where
+  terms come back by chance their coefficient of variation is about one, where somebody repeats them on purpose it is
+  far lower. Besides, the positional autocorrelation of the stretch - for each lag the share of positions whose term
+  stands again just so many positions later - must be high in some window of neighbouring lags;
 * links: bare addresses, Markdown links, and anchor-and-address items;
 * labels: hashtags, and ``label: value`` items whose labels recur;
 * nouns: long lists of short distinct items without any function word.
@@ -16,8 +16,10 @@ A text is stuffed if the marked stretches hold more than half of its visible cha
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
+from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,12 +28,16 @@ from textloom.functions.arrow import map_batches
 from textloom.llm.canonical import skeleton
 from textloom.llm.residue import LATIN_FILLER
 
-#: Lags in terms over which a term may come back to count as regular repetition.
-LAG = 8
-#: Least number of occurrences in a chain of short gaps.
-CHAIN = 4
-#: Least autocorrelation of a marked stretch.
-AUTOCORRELATION = 0.15
+#: Lags in terms over which a term may come back to start a stretch, and those of an evenly repeated term.
+LAG, FAR = 8, 24
+#: Least number of occurrences in a chain of short gaps, and in one of even gaps.
+CHAIN, EVEN = 4, 6
+#: Neighbouring lags taken together, and the least autocorrelation of a stretch in some such window.
+LAGS, AUTOCORRELATION = 3, 0.15
+#: Least share of the occurrences of an evenly repeated term that come back within one such window.
+RETURN = 0.5
+#: Largest variation of the gaps of a stretch, and of the gaps of one evenly repeated term.
+VARIATION, EVENNESS = 0.75, 0.35
 #: Least number of items in a list of distinct nouns.
 ITEMS = 8
 #: Share of the visible characters from which on a text is stuffed.
@@ -69,7 +75,7 @@ def _function(word: str) -> bool:
 
 
 def _visible(text: str) -> int:
-    return sum(not c.isspace() for c in text)
+    return len("".join(text.split()))
 
 
 def stuffed_share(text: str) -> tuple[float, dict[str, int]]:
@@ -140,8 +146,20 @@ def stuffed_share(text: str) -> tuple[float, dict[str, int]]:
         if p is not None and (not chain or (p - chain[-1] <= LAG - 2 and ended[words[p]] == ended[words[chain[-1]]])):
             chain.append(p)
             continue
-        _close(chain, words, terms, repeats, mark)
+        _close(chain, words, terms, mark)
         chain = [p] if p is not None else []
+    # A term that comes back evenly, though at longer gaps.
+    for form, at in places.items():
+        if len(at) < EVEN or _function(form):
+            continue
+        chain = []
+        for p in [*at, None]:
+            if p is not None and (not chain or (p - chain[-1] <= FAR and ended[words[p]] == ended[words[chain[-1]]])):
+                chain.append(p)
+                continue
+            if len(chain) >= EVEN and gap_variation([chain]) <= EVENNESS:
+                _close(chain, words, terms, mark, even=True)
+            chain = [p] if p is not None else []
     # Lists of short items without function words; every fourth item may break the rule.
     run: list[list[int]] = []
     item: list[int] = []
@@ -183,17 +201,47 @@ def stuffed_share(text: str) -> tuple[float, dict[str, int]]:
     return covered / total, dict(signals)
 
 
-def _close(chain: list[int], words: list[int], terms: list, repeats: list[bool], mark) -> None:
-    """Mark the stretch of a chain if it is regular and not prose."""
+def gap_variation(places: Iterable[list[int]]) -> float:
+    """Coefficient of variation of recurrence gaps, each divided by the mean of its term's; about one where terms fall by chance."""
+    gaps = [np.diff(at) / np.mean(np.diff(at)) for at in places if len(at) >= 3]
+    return float(np.std(np.concatenate(gaps))) if gaps else np.inf
+
+
+def autocorrelation(terms: np.ndarray, at: np.ndarray | None = None) -> float:
+    """The highest sum over ``LAGS`` neighbouring lags, up to ``FAR``, of the share of positions whose term stands again that many positions later.
+
+    ``at`` restricts the positions to those of one term.
+    """
+    start = np.arange(len(terms)) if at is None else at
+    lags = np.arange(1, FAR + LAGS)
+    later = start[None, :] + lags[:, None]
+    inside = later < len(terms)
+    same = inside & (terms[np.minimum(later, len(terms) - 1)] == terms[start][None, :])
+    share = same.sum(axis=1) / np.maximum(inside.sum(axis=1), 1)
+    return float(np.convolve(share, np.ones(LAGS), "valid").max())
+
+
+def _close(chain: list[int], words: list[int], terms: list, mark, even: bool = False) -> None:
+    """Mark the stretch of a chain if it is unnaturally regular and not prose; ``even`` for the chain of one term."""
     if len(chain) < CHAIN:
         return
-    stretch = range(chain[0], chain[-1] + 1)
-    forms = [terms[words[p]][1] for p in stretch]
-    most = max(Counter(forms[p - chain[0]] for p in chain).values())
-    following = sum(any(forms[i] == forms[j] for j in range(i + 1, min(i + 1 + LAG, len(forms)))) for i in range(len(forms)))
-    functional = sum(_function(f) for f in forms)
-    if most < CHAIN or following < AUTOCORRELATION * len(forms) or functional > 0.25 * len(forms):
+    forms = [terms[words[p]][1] for p in range(chain[0], chain[-1] + 1)]
+    at: dict[str, list[int]] = defaultdict(list)
+    for i, form in enumerate(forms):
+        at[form].append(i)
+    functional = sum(len(x) for form, x in at.items() if _function(form))
+    if max(len(at[terms[words[p]][1]]) for p in chain) < CHAIN or functional > 0.25 * len(forms):
         return
+    if not even:
+        numbers = {form: i for i, form in enumerate(at)}
+        if autocorrelation(np.array([numbers[f] for f in forms])) < AUTOCORRELATION:
+            return
+        if gap_variation(x for form, x in at.items() if not _function(form)) > VARIATION:
+            return
+    else:
+        own = np.array([f == forms[0] for f in forms])
+        if autocorrelation(own, np.flatnonzero(own)) < RETURN:
+            return
     lead = 0
     while lead < 2 and chain[0] - lead - 1 >= 0:  # the qualifier before the first occurrence
         p = chain[0] - lead - 1
