@@ -13,6 +13,7 @@ STUFFED = [
     "Brand: XL, Size: 38, Colour: permit, Tag: filter, Brand: 9, Size: cable, Tag: alarm, SKU: 20",
     "www.a1.example | https://b2.example/x | http://c3.example/?q=z&id=4 | d4.example/filter",
     "[a](http://x.example) / battery » www.y.example / [b](z.example/hut)",
+    "請求書 | アラーム 請求書 | 請求書 裁判所 | 裁判所 | アラーム 請求書 | アラーム 請求書 裁判所",
     "valve, harbour crane, festival, library, budget, dictionary, engine, passenger, court, permit",
 ]
 PROSE = [

@@ -51,7 +51,7 @@ FUNCTION_WORDS = frozenset(
     "any some more most other such because although though before after during between against about beside".split()
 )
 # Characters and endings that carry a sentence in writing without spaces or with attached particles.
-CHINESE_FUNCTION = re.compile(r"[的了着著把被是与與而且也都就在和因所以及对對从從这這那将將]")
+CHINESE_FUNCTION = re.compile(r"[的了着著把被是與与而且也都就在和对對从從这這那将將]|因[为為]|所以|以及")
 JAPANESE_FUNCTION = re.compile(r"[はがをにでとへもや]|から|まで|ので|です|ます|した|する|ない")
 KOREAN_FUNCTION = re.compile(r"(?:은|는|을|를|에|에서|에게|으로|로|와|과|의|다|요|고|며|까지|부터|만|지만|려고|했다|한다)$")
 
