@@ -24,6 +24,23 @@ def test_defects(source, answer, sound, kind):
     assert defect(source, answer, "eng_Latn", "zho_Hans", sound) == kind
 
 
+@pytest.mark.parametrize("answer", ["I refuse to do this for you.", "Translating such material is against my guidelines.", "I'd rather not translate that one.", "この文章の翻訳はお断りいたします。", "이 요청은 거절하겠습니다.", "我拒绝翻译这样的内容。", "恕我無法完成。"])
+def test_refusals_outside_the_templates(answer):
+    assert defect(S, answer, "eng_Latn", "zho_Hans", B) == "refusal"
+    assert defect(S, answer, "eng_Latn", "zho_Hans", None) == "refusal"
+    assert defect("He said: I refuse to do this, that is against my policy.", answer, "eng_Latn", "zho_Hans", answer) in (None, "wrong_language")
+
+
+def test_copies_with_something_added():
+    more = S + " That is all there is to say about the matter at hand."
+    assert defect(S, more, "eng_Latn", "eng_Latn", "A sound rendering in other words altogether.") == "source_copy"
+    assert defect(S, more, "eng_Latn", "zho_Hans", B) == "source_copy"
+    assert defect("The old bridge", "The old bridge!!", "eng_Latn", "kor_Hang", "오래된 다리") == "source_copy"
+    assert defect("The old bridge", "The old bridge, then", "eng_Latn", "kor_Hang", "오래된 다리") == "source_copy"
+    assert defect(S, S + " " + B, "eng_Latn", "zho_Hans", B) is None or defect(S, S + " " + B, "eng_Latn", "zho_Hans", B) == "wrong_language"  # holds the sound answer
+    assert defect("QX-19 7072", "QX-19 7072", "eng_Latn", "zho_Hans", "QX-19 7072") is None
+
+
 def test_written_forms_of_chinese():
     assert defect("北京大学在山上", "北京大学在山上", "zho_Hans", "zho_Hant", "北京大學在山上") == "source_copy"
     assert defect("山上有人", "山上有人", "zho_Hans", "zho_Hant", "山上有人") is None

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
@@ -10,14 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.arrow import map_batches
+from textloom.functions.text import chinese_forms
 from textloom.llm.canonical import skeleton
 
 #: A response repeats its prompt if the longest common subsequence covers this share of both.
 COPY_LCS = 0.97
-#: Shingles of this many characters; a copy contains this share of the prompt's.
-SHINGLE, COPY_CONTAINMENT = 4, 0.9
-#: A sentence is a refusal if this share of its shingles stands in one refusal template.
-REFUSAL_CONTAINMENT = 0.6
+#: Shingles of this many characters, and of this many in writing without spaces; a copy contains this share of the prompt's.
+SHINGLE, SHORT, COPY_CONTAINMENT = 4, 2, 0.9
+#: A sentence follows a refusal template if this share of its shingles stands in it, and a head if it holds this share of the head's.
+REFUSAL_CONTAINMENT, HEAD_CONTAINMENT = 0.6, 0.85
 #: A response that follows the sound answer so closely is a rendering of it, whatever it says.
 RENDERING_LCS = 0.6
 #: A response is cut off if it follows the sound answer this closely but ends before this share of it.
@@ -58,6 +60,71 @@ ai로서 해당 내용은 처리할 수 없습니다.
 作為人工智慧，我不便處理這類內容。
 作為一個語言模型，我無法完成這個請求。
 """.strip().splitlines()
+# Heads of refusals, one a line; what is declined may follow, or stand before, in any words.
+HEADS = """
+i refuse to
+i must refuse
+i would rather not
+i'd rather not
+i decline to
+i must decline
+i have to decline
+i am not comfortable
+i'm not comfortable
+i do not feel comfortable
+i am not allowed to
+i'm not allowed to
+i'm afraid i cannot
+i'm afraid i can't
+is against my guidelines
+is against my policy
+goes against my guidelines
+violates my guidelines
+my guidelines do not allow
+i will not be translating
+お断りします
+お断りいたします
+お断りさせていただきます
+お断りせざるを得ません
+応じられません
+応じかねます
+お応えいたしかねます
+対応いたしかねます
+ガイドラインに反します
+ガイドラインに違反します
+方針に反します
+差し控えさせていただきます
+ご遠慮させていただきます
+거절하겠습니다
+거부하겠습니다
+거절합니다
+거부합니다
+응할 수 없습니다
+응해 드릴 수 없습니다
+지침에 어긋납니다
+지침에 위배됩니다
+정책에 위배됩니다
+번역하지 않겠습니다
+我拒绝翻译
+我拒绝这样做
+我拒绝执行
+恕我不能
+恕我无法
+恕难从命
+违反了我的准则
+违反我的准则
+不符合我的准则
+我不愿意翻译
+我拒絕翻譯
+我拒絕這樣做
+我拒絕執行
+恕我無法
+恕難從命
+違反了我的準則
+違反我的準則
+不符合我的準則
+我不願意翻譯
+""".strip().splitlines()
 # Words that can only speak of the task itself.
 TASK = re.compile(
     r"(?:can't|cannot|can not|unable to|won't be able to|not able to|decline to|must refuse to) (?:\w+ ){0,3}?(?:translat\w+|process this|fulfil\w* (?:this|that|your) request|(?:help|assist) (?:you )?with (?:this|that|your) request)"
@@ -68,7 +135,7 @@ TASK = re.compile(
 )
 # Words that decline something; a source may use them too.
 DECLINE = re.compile(
-    r"sorry|unfortunately|cannot|can't|can not|unable to|won't be able|not able to|decline|申し訳|できません|できかね|いたしかね|お断り|죄송|수 없습니다|수 없어|어렵습니다|유감|抱歉|对不起|對不起|很遗憾|很遺憾|无法|無法|不能|不便"
+    r"sorry|unfortunately|refus|rather not|not comfortable|not allowed|guideline|policy|afraid|cannot|can't|can not|unable to|won't be able|not able to|decline|申し訳|できません|できかね|いたしかね|お断り|죄송|수 없습니다|수 없어|어렵습니다|유감|応じ|反します|ガイドライン|控え|遠慮|거절|거부|응할|지침|정책|않겠|拒绝|拒絕|恕|违反|違反|准则|準則|不愿|不願|抱歉|对不起|對不起|很遗憾|很遺憾|无法|無法|不能|不便"
 )
 # Labels that stand before an answer.
 LABEL = re.compile(
@@ -82,19 +149,8 @@ _CLOSED = re.compile(r"[.!?。！？…:：;\"'”’」』）)\]】]\s*$")
 
 @lru_cache(maxsize=1)
 def _varieties() -> tuple[frozenset[str], frozenset[str]]:
-    """Han characters of one written form only, by rule: those that just one of the two national character sets holds."""
-
-    def has(char: str, codec: str) -> bool:
-        try:
-            char.encode(codec)
-            return True
-        except UnicodeEncodeError:
-            return False
-
-    han = [chr(c) for c in range(0x4E00, 0x9FA6)]
-    mainland = {c for c in han if has(c, "gb2312")}
-    island = {c for c in han if has(c, "big5")}
-    return frozenset(mainland - island), frozenset(island - mainland)
+    """Han characters of the simplified and of the traditional form only."""
+    return tuple(map(frozenset, chinese_forms()))
 
 
 def letters(text: str) -> str:
@@ -115,27 +171,65 @@ def lcs(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-def _shingles(text: str) -> set[str]:
-    return {text[i : i + SHINGLE] for i in range(max(1, len(text) - SHINGLE + 1))}
+def _shingles(text: str, size: int = SHINGLE) -> set[str]:
+    return {text[i : i + size] for i in range(max(1, len(text) - size + 1))}
+
+
+def _plain(text: str) -> str:
+    return "".join(c for c in text if c.isalpha())
+
+
+def _sized(text: str) -> int:
+    return SHINGLE if text.isascii() else SHORT
 
 
 @lru_cache(maxsize=1)
-def _templates() -> list[set[str]]:
-    return [_shingles(letters(t)) for t in REFUSALS]
+def _templates() -> tuple[dict[str, list[int]], dict[str, list[int]], list[int]]:
+    """Which templates and which heads hold a shingle, and how many shingles a head has."""
+    whole: dict[str, list[int]] = {}
+    for i, template in enumerate(REFUSALS):
+        for x in _shingles(_plain(template)):
+            whole.setdefault(x, []).append(i)
+    heads: dict[str, list[int]] = {}
+    sizes = []
+    for i, head in enumerate(HEADS):
+        mine = _shingles(_plain(head), _sized(_plain(head)))
+        sizes.append(len(mine))
+        for x in mine:
+            heads.setdefault(x, []).append(i)
+    return whole, heads, sizes
+
+
+def _aligned(sentence: str) -> str | None:
+    """``template`` if most of a sentence's shingles stand in one refusal template, ``head`` if it holds the head of a refusal."""
+    whole, heads, sizes = _templates()
+    hits = Counter(i for x in _shingles(sentence) for i in whole.get(x, ()))
+    have = max(1, len(sentence) - SHINGLE + 1)
+    if have >= 3 and hits and max(hits.values()) >= REFUSAL_CONTAINMENT * len(_shingles(sentence)):
+        return "template"
+    for size in (SHINGLE, SHORT):
+        hits = Counter(i for x in _shingles(sentence, size) for i in heads.get(x, ()))
+        if any(n >= HEAD_CONTAINMENT * sizes[i] and _plain_head(i, size) for i, n in hits.items()):
+            return "head"
+    return None
+
+
+@lru_cache(maxsize=1024)
+def _plain_head(i: int, size: int) -> bool:
+    return _sized(_plain(HEADS[i])) == size
 
 
 def refuses(answer: str) -> str | None:
-    """``task`` if the answer declines the task in so many words, ``template`` if a sentence follows a refusal template."""
+    """How an answer declines: ``template`` or ``head`` if a sentence aligns with one, ``task`` if it names the task in so many words.
+
+    Sentences are aligned with the templates and heads by shingle containment first; only what aligns with none is asked
+    for the words that can speak of nothing but the task.
+    """
     low = skeleton(answer).lower().replace("’", "'")
+    found = {_aligned(plain) for sentence in _SENTENCE.findall(low) if (plain := _plain(sentence))}
     if TASK.search(low):
         return "task"
-    if not DECLINE.search(low):
-        return None
-    for sentence in _SENTENCE.findall(low):
-        have = _shingles("".join(c for c in sentence if c.isalnum() and not c.isdigit()))
-        if len(have) >= 3 and any(len(have & t) >= REFUSAL_CONTAINMENT * len(have) for t in _templates()):
-            return "template"
-    return None
+    return "template" if "template" in found else "head" if "head" in found else None
 
 
 def written_in(text: str, language: str) -> bool:
@@ -192,18 +286,14 @@ def defect(source: str | None, answer: str | None, source_language: str, target_
     core = letters(body) or a
     if b and core == b and core != s:
         return None if written_in(body, target_language) or not written_in(sound, target_language) else "wrong_language"
-    rendering = lcs(core, b) / max(len(core), len(b)) if b else 0.0
     if kind := refuses(answer):
-        declines = bool(DECLINE.search((source or "").lower()))
-        if b and rendering < RENDERING_LCS or not b and (kind == "task" or not declines):
+        declines = bool(DECLINE.search((source or "").lower().replace("’", "'")))
+        if kind == "head" and declines:  # a source that declines something may be rendered so
+            pass
+        elif b and lcs(core, b) < RENDERING_LCS * max(len(core), len(b)) or not b and (kind == "task" or not declines):
             return "refusal"
-    if s and (core == s or a == s) and b != s and not _agrees(source, source_language, target_language):
+    if s and b != s and not _agrees(source, source_language, target_language) and (core == s or a == s or _repeats(s, core, b, source_language, target_language)):
         return "source_copy"
-    chinese = {source_language, target_language} == {"zho_Hans", "zho_Hant"}
-    if s and b != s and not chinese and len(s) >= 20 and abs(len(core) - len(s)) <= 0.05 * len(s):
-        ours = _shingles(s)
-        if len(ours & _shingles(core)) >= COPY_CONTAINMENT * len(ours) and lcs(core, s) >= COPY_LCS * max(len(core), len(s)):
-            return "source_copy"
     if not written_in(body, target_language) and core != b:
         return "wrong_language"
     if b and len(core) < COMPLETE * len(b):
@@ -214,6 +304,23 @@ def defect(source: str | None, answer: str | None, source_language: str, target_
     return None
 
 
+def _repeats(s: str, core: str, b: str, source_language: str, target_language: str) -> bool:
+    """Whether an answer holds its prompt nearly whole, with little changed or with anything added to it.
+
+    The answer must contain the prompt's shingles and, in order, its letters. It is no copy if the sound answer holds the
+    prompt as well, or if it holds the sound answer besides. The two written forms of Chinese share too much for this.
+    """
+    if {source_language, target_language} == {"zho_Hans", "zho_Hant"} or sum(c.isalpha() for c in s) < SHINGLE or len(core) < COPY_LCS * len(s):
+        return False
+    size = _sized(s)
+    ours = _shingles(s, size)
+    if len(ours & _shingles(core, size)) < COPY_CONTAINMENT * len(ours) or lcs(core, s) < COPY_LCS * len(s):
+        return False
+    if not b:
+        return True
+    return len(ours & _shingles(b, size)) < COPY_CONTAINMENT * len(ours) and lcs(core, b) < FOLLOWS_LCS * len(b)
+
+
 def defects(frame: DataFrame, *, key: str, source: str, answer: str, source_language: str, target_language: str, sound: str) -> DataFrame:
     """One row per distinct record with its ``defect_type``; sound pairs have none and give no row.
 
