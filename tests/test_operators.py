@@ -209,3 +209,18 @@ def test_first_of_a_near_identity_wins(spark):
     frame = spark.createDataFrame(rows, "id long, near string, exact string")
     got = {r.id: r.duplicate for r in select.exact_or_near_first(frame, "near", "exact", "id").collect()}
     assert got == {1: None, 2: "exact_duplicate", 3: "near_duplicate", 5: None}
+
+
+def test_merge_rounds_has_bounded_fan_in(spark):
+    from textloom.operators.merge import merge_rounds
+
+    def add(blobs):
+        assert len(blobs) <= 3
+        return str(sum(map(int, blobs))).encode()
+
+    rows = spark.createDataFrame([(k, p, str(p).encode()) for k in range(2) for p in range(40) if p % 3 or k], "k int, part int, blob binary")
+    got = {r.k: int(r.blob) for r in merge_rounds(rows, ["k"], add, 40, fan=3).collect()}
+    assert got == {0: sum(p for p in range(40) if p % 3), 1: sum(range(40))}
+    whole = merge_rounds(rows.where("k = 1").select("part", "blob"), [], add, 40, fan=3).collect()
+    assert [int(r.blob) for r in whole] == [sum(range(40))]
+    assert merge_rounds(rows.limit(0), ["k"], add, 1).count() == 0

@@ -25,3 +25,21 @@ def test_workers_find_the_package_from_any_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", SCRIPT], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "workers found the package" in done.stdout, done.stderr[-2000:]
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    from textloom.session import shared_dir
+
+    class Conf(dict):
+        get = dict.get
+
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session())
+    Session.conf["spark.checkpoint.dir"] = "hdfs:///shared/"
+    assert shared_dir(Session()) == "hdfs:///shared"

@@ -34,3 +34,9 @@ def map_batches(
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return frame.mapInArrow(run, struct)
+
+
+def map_stream(frame: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """Apply ``work`` to the stream of a partition's Arrow batches, for work that keeps a state from batch to batch."""
+    ship(frame.sparkSession)
+    return frame.mapInArrow(work, T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.functions.arrow import map_stream
 from textloom.session import write_table
 
 
@@ -115,7 +116,7 @@ def _fold(frame: DataFrame, group: str, order: Sequence[str], value: str, start:
                 out.append(said)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*names, mark])
 
-    return sorted_rows.mapInArrow(run, schema)
+    return map_stream(sorted_rows, run, schema)
 
 
 def greedy_fill(frame: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:

@@ -15,16 +15,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from textloom.functions.arrow import map_batches
+from textloom.functions.arrow import map_batches, map_stream
+from textloom.operators.merge import merge_rounds, partitions
 
 #: Counters of the table that orders the pieces.
 COUNTERS = 1 << 20
 #: 64-bit words of the parity sketch of a set.
 WORDS = 8
-#: Partial tables merged in a first round.
-PARTS = 32
 
 
 def pieces(form: str) -> set[str]:
@@ -52,27 +50,26 @@ def parity_sketch(hashes: np.ndarray) -> list[int]:
 
 
 def count_table(texts: DataFrame) -> np.ndarray:
-    """Counts of hashed pieces over all texts of the one column, added up per partition and then over partitions."""
-    schema = T.StructType.fromDDL("part int, blob binary")
+    """Counts of hashed pieces over all texts of the one column, added up per partition and then in rounds of bounded fan-in.
+
+    What reaches the driver is one table of ``COUNTERS`` numbers, whatever the corpus holds.
+    """
 
     def count(batches):
         table = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
             for form in batch.column(0).to_pylist():
                 table[(piece_hashes(form) & np.uint64(COUNTERS - 1)).astype(np.int64)] += 1
-        part = TaskContext.get().partitionId() % PARTS
-        yield pa.RecordBatch.from_pylist(
-            [{"part": part, "blob": zlib.compress(table.tobytes(), 1)}], schema=pa.schema([("part", pa.int32()), ("blob", pa.binary())])
-        )
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "blob": pa.array([zlib.compress(table.tobytes(), 1)], pa.binary())})
 
-    def merge(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+    def merge(blobs: list[bytes]) -> bytes:
         total = np.zeros(COUNTERS, np.uint32)
-        for row in rows:
-            total += np.frombuffer(zlib.decompress(row["blob"]), np.uint32)
-        return pa.table({"part": [rows[0]["part"]], "blob": [zlib.compress(total.tobytes(), 1)]}, schema=table.schema)
+        for blob in blobs:
+            total += np.frombuffer(zlib.decompress(blob), np.uint32)
+        return zlib.compress(total.tobytes(), 1)
 
-    merged = texts.mapInArrow(count, schema).groupBy("part").applyInArrow(merge, schema)
+    merged = merge_rounds(map_stream(texts, count, "part int, blob binary"), [], merge, partitions(texts))
     total = np.zeros(COUNTERS, np.uint32)
     for row in merged.toLocalIterator():
         total += np.frombuffer(zlib.decompress(row.blob), np.uint32)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -62,11 +63,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
     It is what the cluster names in ``spark.checkpoint.dir``; a folder of our own is used only where that is
-    unset, which is the case in local tests.
+    unset and the session is local. A cluster that names none is refused: no other machine would see a local folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="textloom-")
