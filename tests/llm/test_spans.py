@@ -68,3 +68,32 @@ def test_shares_match_brute_force(spark):
             if len(holders[t[i : i + 200]]) > 1:
                 marked.update(range(i, i + 200))
         assert got[k] == (len(t or ""), len(marked))
+
+
+def test_sketch_never_underestimates(spark, monkeypatch):
+    random.seed(4)
+    values = [random.getrandbits(64) - (1 << 63) for _ in range(3000)]
+    rows = [(v, i) for i, v in enumerate(values)] + [(v, -1) for v in values[:500]]
+    random.shuffle(rows)
+    frame = spark.createDataFrame([(v, str(i).encode(), 0) for v, i in rows], "window long, same binary, place int").repartition(5)
+    for slices in (1, 7):
+        bits = {r.slice: np.array(r.bits, np.int64).view(np.uint8) for r in spans.sketch(frame, slices).collect()}
+        flat = {k: np.unpackbits(v, bitorder="little") for k, v in bits.items()}
+        hashes = np.array(values, np.int64).view(np.uint64)
+        cells = spans._cells(hashes).astype(np.int64)
+        again = [all(flat[s][c] for c in cells[:, i]) for i, s in enumerate(spans._slices(hashes, slices).tolist())]
+        assert all(again[:500]) and sum(again[500:]) < 50
+    monkeypatch.setattr(spans, "PER_SLICE", 400)
+    kept = {r.window for r in spans.repeated_windows(frame).collect()}
+    assert kept == set(values[:500])
+
+
+def test_a_template_in_many_texts_is_one_class(spark):
+    random.seed(8)
+    body = "".join(random.choice("abcdefgh ") for _ in range(700))
+    rows = [(i, f"{i:09d}" * 30 + body + f"{i:09d}" * 30) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    classes, members = spans.window_classes(frame, key="doc_id", text="text", span=200)
+    inner = classes.where("several").count()
+    assert inner >= 3 and members.count() >= 40 * inner
+    assert spans.span_pairs(frame, key="doc_id", text="text").count() == 40 * 39 // 2

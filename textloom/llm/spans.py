@@ -2,11 +2,13 @@
 
 Every stretch of ``span`` characters is represented by windows of ``GRAM`` characters: of the rolling hashes of
 ``span - GRAM + 1`` neighbouring windows the least is selected, so two texts that share a stretch of at least ``span``
-characters select the same window inside it. A first pass over the texts counts the selected windows in count-min
-sketches, one per partition, which are merged; counters stop at two, all the filter asks for, so they never
-underestimate "more than once". A second pass keeps only windows the merged sketch estimates as repeated - none that is
-repeated gets lost - with the characters around them, groups those exactly, and compares the surroundings of each two
-records character by character.
+characters select the same window inside it. A first pass over the texts keeps the selected windows - hash, text and
+place - as a table. Count-min sketches of its partitions are merged: a window's slice of the sketch is named by the high
+bits of its hash, its counters in the slice by the low bits; counters stop at two, all the filter asks for, so they
+never underestimate "more than once". The merged sketch is a table of slices, as many as the windows need, and never
+passes the driver. A second pass joins windows with their slice and keeps those estimated as repeated - none that is
+repeated gets lost; these are grouped exactly, and the surroundings of those that two texts hold are compared
+character by character.
 """
 
 from __future__ import annotations
@@ -16,22 +18,19 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from textloom.functions.arrow import map_batches
+from textloom.functions.arrow import map_batches, map_stream
+from textloom.operators.merge import merge_rounds, partitions
 from textloom.session import write_table
 
 #: Characters of a window.
 GRAM = 64
-#: Rows of the sketch; every window has one counter in each.
-DEPTH = 2
-#: Counters per expected window, and the bounds of a row's width. Two bits a counter: a row has at most 64 MB.
-ROOM, LEAST, MOST = 4, 1 << 16, 1 << 28
-#: Pieces in which sketches are merged, and parts merged in a first round.
-SLICES, PARTS = 16, 32
+#: Counters of each of the two rows of a slice, as a power of two, and windows expected in a slice: four counters a window.
+CELLS, PER_SLICE = 20, 1 << 18
+#: Windows of a partition that are counted at once.
+HELD = 1 << 22
 #: Characters hashed at once.
 CHUNK = 1 << 20
 
@@ -135,128 +134,152 @@ def select_windows(texts: list[str], span: int) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(numbers), np.concatenate(places), np.concatenate(hashes)
 
 
-def _cells(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
-    salt = np.uint64((row + 1) * 0xD6E8FEB86659FD93 % (1 << 64))
-    return (_mix(hashes + salt) & np.uint64(width - 1)).astype(np.int64)
+def _slices(hashes: np.ndarray, slices: int) -> np.ndarray:
+    return (((hashes >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)).astype(np.int64)
 
 
-def _pack(once: np.ndarray, twice: np.ndarray) -> bytes:
-    return zlib.compress(once.tobytes() + twice.tobytes(), 1)
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    """The two counters of each window inside its slice: one in either row."""
+    mask = np.uint64((1 << CELLS) - 1)
+    return np.stack([hashes & mask, ((hashes >> np.uint64(CELLS)) & mask) + (mask + np.uint64(1))]).astype(np.uint32)
+
+
+def _pack(cells: np.ndarray, again: np.ndarray) -> bytes:
+    """Counters that are not zero, as sorted numbers with a last bit for "twice or more"."""
+    return zlib.compress(((cells.astype(np.uint32) << np.uint32(1)) | again).astype(np.uint32).tobytes(), 1)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(zlib.decompress(blob), np.uint8)
-    return both[: len(both) // 2].copy(), both[len(both) // 2 :].copy()
+    marked = np.frombuffer(zlib.decompress(blob), np.uint32)
+    return marked >> np.uint32(1), (marked & np.uint32(1)).astype(bool)
 
 
 def merge_blobs(blobs: list[bytes]) -> bytes:
-    """Sum of count-min slices whose counters stop at two: the bits of "once or more" and of "twice or more"."""
-    once, twice = _unpack(blobs[0])
-    for blob in blobs[1:]:
-        more, again = _unpack(blob)
-        twice |= again | (once & more)
-        once |= more
-    return _pack(once, twice)
-
-
-def _unseen(batch: pa.RecordBatch, seen: set[str]) -> tuple[list[str], list[str]]:
-    """Digests and texts of a batch of which the task has seen no copy; copies share nothing that their first does not."""
-    fresh: dict[str, str] = {}
-    for digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        if digest not in seen:
-            seen.add(digest)
-            fresh[digest] = text
-    return list(fresh), list(fresh.values())
-
-
-def sketch(texts: DataFrame, span: int, width: int) -> dict[tuple[int, int], bytes]:
-    """The merged count-min sketch of all selected windows of ``texts`` (digest, text), by row and slice."""
-    schema = T.StructType.fromDDL("row int, slice int, part int, blob binary")
-    cells = width // SLICES
+    """Sum of count-min slices whose counters stop at two."""
+    count = np.zeros(2 << CELLS, np.uint8)
+    for blob in blobs:
+        cells, again = _unpack(blob)
+        count[cells] = np.minimum(count[cells] + 1 + again, 2)
+    cells = np.flatnonzero(count)
+    return _pack(cells, count[cells] > 1)
+
+
+def sketch(windows: DataFrame, slices: int) -> DataFrame:
+    """The merged count-min sketch of the ``window`` column: ``slice`` and ``bits``, its counters of two as bits of 64-bit words."""
 
     def count(batches):
-        once = np.zeros((DEPTH, width // 8), np.uint8)
-        twice = np.zeros((DEPTH, width // 8), np.uint8)
-        some, seen = False, set()
+        part = TaskContext.get().partitionId()
+        held: list[np.ndarray] = []
+
+        def flush():
+            hashes = np.concatenate(held)
+            held.clear()
+            order = np.argsort(_slices(hashes, slices), kind="stable")
+            hashes = hashes[order]
+            names, starts = np.unique(_slices(hashes, slices), return_index=True)
+            blobs = []
+            for low, high in zip(starts, [*starts[1:], len(hashes)], strict=True):
+                cells, number = np.unique(_cells(hashes[low:high]), return_counts=True)
+                blobs.append(_pack(cells, number > 1))
+            return pa.RecordBatch.from_pydict({"slice": pa.array(names, pa.int32()), "part": pa.array([part] * len(names), pa.int32()), "blob": pa.array(blobs, pa.binary())})
+
         for batch in batches:
-            _, _, hashes = select_windows(_unseen(batch, seen)[1], span)
-            for row in range(DEPTH if len(hashes) else 0):
-                some = True
-                cell, number = np.unique(_cells(hashes, row, width), return_counts=True)
-                byte, bit = cell >> 3, (1 << (cell & 7)).astype(np.uint8)
-                again = ((once[row, byte] & bit) > 0) | (number > 1)
-                np.bitwise_or.at(twice[row], byte[again], bit[again])
-                np.bitwise_or.at(once[row], byte, bit)
-        if some:
-            part = TaskContext.get().partitionId() % PARTS
-            out = [(r, s, part, _pack(once[r, s * cells // 8 : (s + 1) * cells // 8], twice[r, s * cells // 8 : (s + 1) * cells // 8])) for r in range(DEPTH) for s in range(SLICES)]
-            yield pa.RecordBatch.from_pylist(
-                [dict(zip(("row", "slice", "part", "blob"), x, strict=True)) for x in out],
-                schema=pa.schema([("row", pa.int32()), ("slice", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())]),
-            )
-
-    def merge(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        merged = {"row": [rows[0]["row"]], "slice": [rows[0]["slice"]], "part": [rows[0]["part"]], "blob": [merge_blobs([r["blob"] for r in rows])]}
-        return pa.table(merged, schema=table.schema)
-
-    parts = texts.mapInArrow(count, schema)
-    parts = parts.groupBy("row", "slice", "part").applyInArrow(merge, schema)
-    whole = parts.groupBy("row", "slice").applyInArrow(merge, schema)
-    return {(r["row"], r["slice"]): bytes(r["blob"]) for r in whole.collect()}
-
-
-def repeated_windows(documents: DataFrame, *, key: str, text: str, span: int) -> DataFrame:
-    """Selected windows that stand in more than one record or place, with their surroundings.
-
-    Returns ``window`` (its hash), ``same`` (digest of the whole text, so exact copies are one), ``place`` (of the
-    window), ``around`` (up to ``span - GRAM`` characters to each side, window included) and ``before`` (how many of
-    them stand before it).
+            held.append(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            if sum(map(len, held)) >= HELD:
+                yield flush()
+        if sum(map(len, held)):
+            yield flush()
+
+    def dense(batch: pa.RecordBatch) -> dict[str, list]:
+        words = []
+        for blob in batch.column(1).to_pylist():
+            cells, again = _unpack(blob)
+            bits = np.zeros(2 << CELLS, np.uint8)
+            bits[cells[again]] = 1
+            words.append(np.packbits(bits, bitorder="little").view(np.int64))
+        return {"slice": batch.column(0), "bits": words}
+
+    parts = map_stream(windows.select("window"), count, "slice int, part int, blob binary")
+    merged = merge_rounds(parts, ["slice"], merge_blobs, partitions(windows)).select("slice", "blob")
+    return map_batches(merged, dense, "slice int, bits array<bigint>")
+
+
+def _set(bits: str, cell: Column) -> Column:
+    return F.getbit(F.get(F.col(bits), F.shiftright(cell, 6).cast("int")), cell.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def selected_windows(texts: DataFrame, span: int) -> DataFrame:
+    """Selected windows of ``texts`` (``same``, the digest of a text, and ``x``, the text): ``window, same, place``.
+
+    A task reads each text once, however many copies of it there are; copies share nothing that their first does not.
     """
-    usable = documents.where(F.length(text) >= span)
-    total = usable.agg(F.sum(F.length(text))).first()[0] or 0
-    width = LEAST
-    while width < min(MOST, ROOM * total * 2 // (span - GRAM)):
-        width *= 2
-    rows = usable.select(F.md5(text).alias("same"), F.col(text).alias("x"))
-    merged = sketch(rows, span, width)
-    side = span - GRAM
-    state: list[np.ndarray] = []
-    cells = width // SLICES
-    blank = zlib.compress(bytes(2 * (cells // 8)), 1)
-
-    def twice() -> np.ndarray:
-        if not state:
-            rows = [np.concatenate([_unpack(merged.get((r, s), blank))[1] for s in range(SLICES)]) for r in range(DEPTH)]
-            state.append(np.stack(rows))
-        return state[0]
-
-    def keep(names: list[str], texts: list[str]) -> dict[str, list]:
-        number, place, hashes = select_windows(texts, span)
-        table = twice()
-        good = np.ones(len(hashes), bool)
-        for row in range(DEPTH):
-            cell = _cells(hashes, row, width)
-            good &= (table[row, cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0
-        number, place, hashes = number[good].tolist(), place[good].tolist(), hashes[good].view(np.int64).tolist()
-        return {
-            "window": hashes,
-            "same": [names[n] for n in number],
-            "place": place,
-            "around": [texts[n][max(0, p - side) : p + GRAM + side] for n, p in zip(number, place, strict=True)],
-            "before": [min(p, side) for p in place],
-        }
-
-    schema = T.StructType.fromDDL("window bigint, same string, place int, around string, before int")
-    arrow = to_arrow_schema(schema)
 
     def run(batches):
-        seen: set[str] = set()
+        seen: set[bytes] = set()
         for batch in batches:
-            columns = keep(*_unseen(batch, seen))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
+            fresh: dict[bytes, str] = {}
+            for digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if digest not in seen:
+                    seen.add(digest)
+                    fresh[digest] = text
+            names = list(fresh)
+            number, place, hashes = select_windows(list(fresh.values()), span)
+            same = pa.array(names, pa.binary()).take(pa.array(number, pa.int64()))
+            yield pa.RecordBatch.from_pydict({"window": pa.array(hashes.view(np.int64), pa.int64()), "same": same, "place": pa.array(place, pa.int32())})
+
+    return map_stream(texts.select("same", "x"), run, "window bigint, same binary, place int")
 
-    return rows.mapInArrow(run, schema)
+
+def repeated_windows(windows: DataFrame) -> DataFrame:
+    """Those of ``windows`` (``window, same, place``) that two different texts hold; each text and place once.
+
+    First the filter: a join with the merged sketch by slice, which keeps all windows that stand more than once and few
+    others. Then the exact count. A slice holds as many windows as any other, save for windows that very many texts
+    repeat, whose partition adaptive execution splits.
+    """
+    slices = max(1, -(-windows.count() // PER_SLICE))
+    bits = write_table(sketch(windows, slices), "sketch").frame
+    name = F.shiftrightunsigned(F.shiftrightunsigned("window", 32) * slices, 32).cast("int")
+    low = F.col("window").bitwiseAND(F.lit((1 << CELLS) - 1))
+    high = F.shiftrightunsigned("window", CELLS).bitwiseAND(F.lit((1 << CELLS) - 1)) + F.lit(1 << CELLS)
+    kept = windows.withColumn("slice", name).join(bits, "slice").where(_set("bits", low) & _set("bits", high)).select("window", "same", "place")
+    kept = write_table(kept, "kept").frame
+    many = kept.groupBy("window").agg(F.min("same").alias("a"), F.max("same").alias("b")).where("a <> b").select("window")
+    return kept.join(many, "window", "left_semi").distinct()
+
+
+def window_classes(documents: DataFrame, *, key: str, text: str, span: int) -> tuple[DataFrame, DataFrame]:
+    """Repeated windows with their surroundings, as classes and their members.
+
+    A member is a place of a window in a text: ``window, class, same, place``. Places with the same surroundings - up to
+    ``span - GRAM`` characters to each side - are one class: ``window, class, around, before`` and ``several``, whether
+    different texts are in it. However many texts hold a template, its class is compared with the others once.
+    """
+    rows = documents.where(F.length(text) >= span).select(F.col(key).alias("k"), F.unhex(F.md5(text)).alias("same"), F.col(text).alias("x"))
+    windows = write_table(selected_windows(rows, span), "windows").frame
+    repeated = write_table(repeated_windows(windows), "repeated").frame
+    # The text of each digest that is asked for is read from one of its copies, by its key: copies do not travel.
+    wanted = repeated.groupBy("same").agg(F.collect_list(F.struct("window", "place")).alias("at"))
+    first = rows.select("k", "same").groupBy("same").agg(F.min("k").alias("k"))
+    wanted = wanted.join(first, "same")
+    side = span - GRAM
+
+    def cut(batch: pa.RecordBatch) -> dict[str, list]:
+        out: dict[str, list] = {n: [] for n in ("window", "same", "place", "around", "before")}
+        for digest, body, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for spot in at:
+                place = spot["place"]
+                for name, value in zip(out, (spot["window"], digest, place, body[max(0, place - side) : place + GRAM + side], min(place, side)), strict=True):
+                    out[name].append(value)
+        return out
+
+    held = wanted.join(rows, ["k", "same"]).select("same", "x", "at")
+    around = map_batches(held, cut, "window bigint, same binary, place int, around string, before int")
+    around = write_table(around.withColumn("class", F.unhex(F.md5(F.concat_ws("|", "before", "around")))), "around").frame
+    classes = around.groupBy("window", "class").agg(
+        F.any_value("around").alias("around"), F.any_value("before").alias("before"), (F.min("same") < F.max("same")).alias("several")
+    )
+    return write_table(classes, "classes").frame, around.select("window", "class", "same", "place").distinct()
 
 
 def _common(a: str, b: str) -> int:
@@ -273,53 +296,53 @@ def _common(a: str, b: str) -> int:
     return low
 
 
-def shared_spans(documents: DataFrame, *, key: str, text: str, span: int = 200) -> DataFrame:
-    """Stretches of at least ``span`` code points that two different texts share, as far as seen around a window.
+def shared_stretches(classes: DataFrame, span: int) -> DataFrame:
+    """Stretches of at least ``span`` characters around a window that two of its classes share: ``window, left, right, ahead, size``.
 
-    Returns ``left, right`` (digests of the texts, ``left < right``), ``left_start, right_start, size``. Null texts and
-    those shorter than ``span`` share nothing. Exact copies are one text here; a text that holds a stretch twice gives
-    a row for each place. An empty table gives no rows.
-
-    Windows are first reduced to one row per text and place, so copies - even a third of all rows - meet as one. Only
-    repeated windows are written and shuffled, once. The join is on the window's hash and keeps each pair of texts once; adaptive
-    execution splits a hot window's partition.
+    ``ahead`` of the characters stand before the window. A class that several texts share is paired with itself.
     """
-    windows = write_table(repeated_windows(documents, key=key, text=text, span=span), "windows").frame
-    many = windows.groupBy("window").agg(F.min("same").alias("a"), F.max("same").alias("b")).where("a <> b").select("window")
-    # One row per text and place: the surroundings follow from those, so any copy's will do.
-    shared = windows.join(many, "window", "left_semi").groupBy("window", "same", "place")
-    shared = write_table(shared.agg(F.any_value("around").alias("around"), F.any_value("before").alias("before")), "shared").frame
-    left, right = shared.alias("x"), shared.alias("y")
-    met = left.join(right, F.expr("x.window = y.window and x.same < y.same")).select(
-        F.col("x.same").alias("left"), F.col("y.same").alias("right"),
-        F.col("x.place").alias("p"), F.col("y.place").alias("q"),
-        F.col("x.around").alias("a"), F.col("y.around").alias("b"),
-        F.col("x.before").alias("m"), F.col("y.before").alias("n"),
+    left, right = classes.alias("x"), classes.alias("y")
+    met = left.join(right, F.expr("x.window = y.window and x.class < y.class")).select(
+        F.col("x.window").alias("window"), F.col("x.class").alias("left"), F.col("y.class").alias("right"),
+        F.col("x.around").alias("a"), F.col("y.around").alias("b"), F.col("x.before").alias("m"), F.col("y.before").alias("n"),
     )
 
     def compare(batch: pa.RecordBatch) -> dict[str, list]:
-        out: dict[str, list] = {n: [] for n in ("left", "right", "left_start", "right_start", "size")}
-        for lhs, rhs, p, q, a, b, m, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        out: dict[str, list] = {n: [] for n in ("window", "left", "right", "ahead", "size")}
+        for window, lhs, rhs, a, b, m, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             after = _common(a[m:], b[n:])
             if after < GRAM:
                 continue
             ahead = _common(a[:m][::-1], b[:n][::-1])
             if ahead + after >= span:
-                for name, value in zip(out, (lhs, rhs, p - ahead, q - ahead, ahead + after), strict=True):
+                for name, value in zip(out, (window, lhs, rhs, ahead, ahead + after), strict=True):
                     out[name].append(value)
         return out
 
-    return map_batches(met, compare, "left string, right string, left_start int, right_start int, size int").distinct()
+    across = map_batches(met, compare, "window bigint, left binary, right binary, ahead int, size int")
+    own = classes.where(F.col("several") & (F.length("around") >= span))
+    within = own.select("window", F.col("class").alias("left"), F.col("class").alias("right"), F.col("before").alias("ahead"), F.length("around").alias("size"))
+    return across.unionByName(within)
 
 
 def span_pairs(documents: DataFrame, *, key: str, text: str, span: int = 200) -> DataFrame:
-    """Pairs of different records that share a stretch of at least ``span`` code points, smaller key first."""
-    members = documents.where(F.length(text) >= span).select(F.col(key).alias("k"), F.md5(text).alias("same")).distinct()
-    texts = shared_spans(documents, key=key, text=text, span=span).select("left", "right").distinct()
-    across = texts.join(members.select(F.col("k").alias("i"), F.col("same").alias("left")), "left")
-    across = across.join(members.select(F.col("k").alias("j"), F.col("same").alias("right")), "right").select("i", "j")
-    copied = members.groupBy("same").count().where(F.col("count") > 1).select("same")
-    copies = members.join(copied, "same", "left_semi")
+    """Pairs of different records that share a stretch of at least ``span`` code points, smaller key first.
+
+    Null texts and those shorter than ``span`` share nothing; a record delivered twice counts once; an empty table gives
+    no pairs. Classes of surroundings are compared, not records; the records of two classes that share a stretch are put
+    back at the end, and so are exact copies.
+    """
+    classes, members = window_classes(documents, key=key, text=text, span=span)
+    members = write_table(members, "members").frame
+    found = shared_stretches(classes, span).select("window", "left", "right").distinct()
+    lhs = members.select("window", F.col("class").alias("left"), F.col("same").alias("a")).distinct()
+    rhs = members.select("window", F.col("class").alias("right"), F.col("same").alias("b")).distinct()
+    texts = found.join(lhs, ["window", "left"]).join(rhs, ["window", "right"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    records = documents.where(F.length(text) >= span).select(F.col(key).alias("k"), F.unhex(F.md5(text)).alias("same")).distinct()
+    across = texts.join(records.select(F.col("k").alias("i"), F.col("same").alias("a")), "a")
+    across = across.join(records.select(F.col("k").alias("j"), F.col("same").alias("b")), "b").select("i", "j")
+    copied = records.groupBy("same").count().where(F.col("count") > 1).select("same")
+    copies = records.join(copied, "same", "left_semi")
     within = copies.select(F.col("k").alias("i"), "same").join(copies.select(F.col("k").alias("j"), "same"), "same").where("i < j")
     pairs = across.unionByName(within.select("i", "j")).where("i <> j")
     return pairs.select(F.least("i", "j").alias(f"left_{key}"), F.greatest("i", "j").alias(f"right_{key}")).distinct()
@@ -328,13 +351,15 @@ def span_pairs(documents: DataFrame, *, key: str, text: str, span: int = 200) ->
 def shared_shares(documents: DataFrame, *, key: str, text: str, span: int = 200) -> DataFrame:
     """For every record how many of its code points stand, in stretches of at least ``span``, in another record too.
 
-    Returns the key, ``characters``, ``shared`` and ``share``; null and empty texts have 0 of 0 and a null share. The
+    Returns the key, ``characters``, ``shared`` and ``share``; null and empty texts have 0 of 0 and a null share. A class
+    of surroundings has few different stretches, however many texts are in it, and only those meet its members. The
     stretches of a text are merged per text from distinct rows, whose number is bounded by the text's own length and
     not by the number of records it shares them with.
     """
-    found = shared_spans(documents, key=key, text=text, span=span)
-    pieces = found.select(F.col("left").alias("same"), F.col("left_start").alias("a"), (F.col("left_start") + F.col("size")).alias("b"))
-    pieces = pieces.unionByName(found.select(F.col("right").alias("same"), F.col("right_start").alias("a"), (F.col("right_start") + F.col("size")).alias("b")))
+    classes, members = window_classes(documents, key=key, text=text, span=span)
+    found = write_table(shared_stretches(classes, span), "stretches").frame
+    ends = found.select("window", F.col("left").alias("class"), "ahead", "size").unionByName(found.select("window", F.col("right").alias("class"), "ahead", "size")).distinct()
+    pieces = ends.join(members, ["window", "class"]).select("same", (F.col("place") - F.col("ahead")).alias("a"), (F.col("place") - F.col("ahead") + F.col("size")).alias("b"))
     pieces = pieces.groupBy("same", "a").agg(F.max("b").alias("b"))
     merged = pieces.groupBy("same").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("s"))
     covered = merged.select(
@@ -344,7 +369,7 @@ def shared_shares(documents: DataFrame, *, key: str, text: str, span: int = 200)
             " 'sum', acc.sum + greatest(0, x.b - greatest(acc.end, x.a))), acc -> acc.sum)"
         ).alias("part"),
     )
-    rows = documents.select(F.col(key).alias("k"), F.coalesce(F.length(text), F.lit(0)).alias("characters"), F.md5(text).alias("same")).distinct()
+    rows = documents.select(F.col(key).alias("k"), F.coalesce(F.length(text), F.lit(0)).alias("characters"), F.unhex(F.md5(text)).alias("same")).distinct()
     copies = rows.where(F.col("characters") >= span).groupBy("same").agg(F.count("*").alias("copies"))
     joined = rows.join(copies, "same", "left").join(covered, "same", "left")
     shared = F.when(F.col("copies") > 1, F.col("characters")).otherwise(F.coalesce("part", F.lit(0)))
