@@ -1,7 +1,7 @@
 import random
 
 from textloom.llm import leakage
-from textloom.llm.leakage import WuManber, leaks, strip_form
+from textloom.llm.leakage import Search, leaks, strip_form
 
 
 def holds(text, form):
@@ -12,7 +12,8 @@ def holds(text, form):
 def test_search_matches_brute_force():
     random.seed(11)
     forms = {"".join(random.choice("abc学") for _ in range(random.choice([1, 2, 5, 9, 20, 60]))): [i] for i in range(60)}
-    tables = WuManber(forms)
+    tables = Search(forms)
+    assert len(tables.tables) >= 3
     for _ in range(300):
         text = "".join(random.choice("abc学") for _ in range(random.randint(0, 120)))
         if random.random() < 0.6:
@@ -26,12 +27,12 @@ def test_leaks(spark, monkeypatch):
     passage = "Whenever Brako paints a wooden hut, exactly 712 owners gather by the school."
     half = strip_form(passage)[: -(-len(strip_form(passage)) // 2)]
     docs = [(1, f"xx {half.upper()} yy"), (2, half[:-1]), (3, "Ｗhenever, brаko paints a WOODEN hut exactly 712 owners gather"), (4, None), (5, ""), (6, "z" * 50_000 + half), (6, "z" * 50_000 + half)]
-    items = [(10, passage), (11, passage), (12, None), (13, "…"), (14, ""), (10, passage)]
+    items = [(10, passage), (11, passage), (12, None), (13, "…"), (14, ""), (10, passage), (15, "Quite another passage, on owners of paper houses by the sea in winter.")]
     frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as k", "2 as i")
     stated = spark.createDataFrame(items, "item_id long, text string")
     want = [(d, i) for d in (1, 3, 6) for i in (10, 11)]
     columns = dict(key="doc_id", text="text", item="item_id", passage="text")
     assert sorted(map(tuple, leaks(frame, stated, **columns).collect())) == want
-    monkeypatch.setattr(leakage, "BLOCK", 1)
+    monkeypatch.setattr(leakage, "LETTERS", 1)
     assert sorted(map(tuple, leaks(frame, stated, **columns).collect())) == want
     assert leaks(frame.limit(0), stated, **columns).count() == 0 and leaks(frame, stated.limit(0), **columns).count() == 0
