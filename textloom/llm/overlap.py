@@ -1,8 +1,9 @@
 """Same or near-same records across splits.
 
-Records are brought to a canonical form and hashed; evaluation hashes are joined with training hashes. For near-same
-records the hash join alone finds nothing, so texts - one per distinct form - also meet by the hash of their letters and
-digits, and in an exact similarity join over their rarest pieces, which loses no pair.
+Records are brought to a canonical form and hashed without letter case, punctuation and white space; the hashes of
+evaluation records are joined with those of training records, and the matches are counted by split and source. Texts
+that differ in a letter have different hashes: forms, one for each distinct text, therefore also meet in an exact
+similarity join over their rarest pieces, which loses no pair, and are labelled apart.
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ from pyspark.sql import functions as F
 from textloom.functions.arrow import map_batches
 from textloom.llm.canonical import skeleton
 from textloom.llm.splits import split_name
-from textloom.operators.setjoin import compared, count_table, parity_sketch, piece_hashes, pieces, similar_pairs
+from textloom.operators.setjoin import count_table, parity_sketch, piece_hashes, pieces, similar_pairs
 from textloom.session import write_table
 
-__all__ = ["overlap_form", "loose_hash", "pieces", "piece_hashes", "parity_sketch", "similar_texts", "split_overlaps", "overlap_report"]
+__all__ = ["overlap_form", "loose_hash", "pieces", "piece_hashes", "parity_sketch", "matched_texts", "split_overlaps", "overlap_report"]
 
 #: Least similarity, in hundredths.
 SIMILAR = 82
+#: Kinds of match.
+KINDS = ("same", "loose", "near")
 
 
 def overlap_form(text: str) -> str:
@@ -31,27 +34,32 @@ def overlap_form(text: str) -> str:
 
 
 def loose_hash(form: str) -> str:
-    """Hash of the letters and digits alone."""
-    return blake2b("".join(c for c in form if c.isalnum()).encode(), digest_size=16).hexdigest()
+    """Hash of the letters and digits alone; of the form itself if there are none."""
+    return blake2b(("".join(c for c in form if c.isalnum()) or form).encode(), digest_size=16).hexdigest()
 
 
-def similar_texts(texts: DataFrame) -> DataFrame:
-    """Pairs of an evaluation form and a different training form with a similarity of at least ``SIMILAR``.
+def matched_texts(texts: DataFrame) -> DataFrame:
+    """Evaluation and training forms that match: ``held_h, train_h, match, similar``.
 
     ``texts`` has distinct ``h`` (hash of the form), ``form``, ``loose``, ``train`` and ``held`` (whether any record of
-    the form is in training or in evaluation). Returns ``held_h, train_h``.
+    the form is in training or in evaluation). ``match`` is ``same`` for one form, ``loose`` for forms with the same
+    letters and digits, ``near`` for the others; ``similar`` says whether the similarity is at least ``SIMILAR``, which
+    short forms with the same letters need not reach.
     """
     held, train = texts.where("held"), texts.where("train")
+    equal = held.select(F.col("h").alias("held_h"), "loose").join(train.select(F.col("h").alias("train_h"), "loose"), "loose")
     near = similar_pairs(held, train, count_table(texts.select("form")), similar=SIMILAR)
-    loose = held.alias("x").join(train.alias("y"), F.expr("x.loose = y.loose and x.h <> y.h")).select(F.col("x.h").alias("left_h"), F.col("y.h").alias("right_h"))
-    equal = compared(loose.distinct(), held, train, similar=SIMILAR)
-    return near.unionByName(equal).select(F.col("left_h").alias("held_h"), F.col("right_h").alias("train_h")).distinct()
+    ends = equal.select("held_h", "train_h", F.lit(True).alias("hashed"), (F.col("held_h") == F.col("train_h")).alias("similar"))
+    ends = ends.unionByName(near.select(F.col("left_h").alias("held_h"), F.col("right_h").alias("train_h"), F.lit(False).alias("hashed"), F.lit(True).alias("similar")))
+    both = ends.groupBy("held_h", "train_h").agg(F.bool_or("hashed").alias("hashed"), F.bool_or("similar").alias("similar"))
+    kind = F.when(F.col("held_h") == F.col("train_h"), "same").when(F.col("hashed"), "loose").otherwise("near")
+    return both.select("held_h", "train_h", kind.alias("match"), "similar")
 
 
 def split_overlaps(entries: DataFrame, *, key: str, text: str, splits: str) -> DataFrame:
     """Pairs of a training and an evaluation record whose texts are the same or nearly so, smaller key first.
 
-    Null and empty texts overlap with nothing; a record that lists both sides is paired with itself; redelivered rows
+    Returns ``left_id, right_id, match, similar`` (see ``matched_texts``). Null and empty texts overlap with nothing; a record that lists both sides is paired with itself; redelivered rows
     count once; an empty table gives no pairs. Records with one form meet as one text: only forms are compared, and
     the copies of a form are put back at the end.
     """
@@ -84,28 +92,30 @@ def split_overlaps(entries: DataFrame, *, key: str, text: str, splits: str) -> D
         ),
         "forms",
     ).frame
-    both = texts.where("train and held").select(F.col("h").alias("held_h"), F.col("h").alias("train_h"))
-    matched = similar_texts(texts).unionByName(both)
+    matched = matched_texts(texts)
     slim = records.select("k", "h", "train", "held").distinct()
     held = slim.where("held").select(F.col("k").alias("i"), F.col("h").alias("held_h"), F.col("train").alias("both"))
     train = slim.where("train").select(F.col("k").alias("j"), F.col("h").alias("train_h"))
     pairs = matched.join(held, "held_h").join(train, "train_h").where("i <> j or both")
-    return pairs.select(F.least("i", "j").alias("left_id"), F.greatest("i", "j").alias("right_id")).distinct()
+    pairs = pairs.groupBy(F.least("i", "j").alias("left_id"), F.greatest("i", "j").alias("right_id"))
+    return pairs.agg(F.max("match").alias("match"), F.bool_or("similar").alias("similar"))
 
 
 def overlap_report(pairs: DataFrame, entries: DataFrame, *, key: str, splits: str, source: str, groups: str, samples: DataFrame) -> DataFrame:
     """Overlapping entries by split, by source of the entry, and by source of its sample groups.
 
     Returns ``side`` (entry or group), ``split, source, entries, pairs``: the distinct entries of a split and source that
-    overlap, and the pair ends they make up.
+    overlap, and the pair ends they make up, of which ``same``, ``loose`` and ``near`` by the kind of match.
     """
-    ends = pairs.select(F.col("left_id").alias("k")).unionAll(pairs.where("left_id <> right_id").select(F.col("right_id").alias("k")))
-    ends = ends.groupBy("k").agg(F.count("*").alias("pairs"))
+    count = [F.count("*").alias("pairs"), *(F.count_if(F.col("match") == kind).alias(kind) for kind in KINDS)]
+    ends = pairs.select(F.col("left_id").alias("k"), "match").unionAll(pairs.where("left_id <> right_id").select(F.col("right_id").alias("k"), "match"))
+    ends = ends.groupBy("k").agg(*count)
     once = entries.select(F.col(key).alias("k"), F.col(source).alias("source"), F.col(splits).alias("s"), F.col(groups).alias("g")).dropDuplicates(["k"])
     hit = ends.join(once, "k").withColumn("split", F.explode(F.array_distinct(F.transform(F.coalesce("s", F.array()), split_name))))
-    own = hit.groupBy("split", "source").agg(F.count("*").alias("entries"), F.sum("pairs").alias("pairs"))
+    total = [F.count("*").alias("entries"), *(F.sum(name).alias(name) for name in ("pairs", *KINDS))]
+    own = hit.groupBy("split", "source").agg(*total)
     of = samples.select(F.col("sample_group_id").alias("group"), F.col("source_id").alias("source")).distinct()
-    through = hit.select("k", "pairs", "split", F.explode("g").alias("group")).join(of, "group").select("k", "pairs", "split", "source").distinct()
-    through = through.groupBy("split", "source").agg(F.count("*").alias("entries"), F.sum("pairs").alias("pairs"))
-    columns = ["side", "split", "source", "entries", "pairs"]
+    through = hit.select("k", "pairs", *KINDS, "split", F.explode("g").alias("group")).join(of, "group").drop("group").distinct()
+    through = through.groupBy("split", "source").agg(*total)
+    columns = ["side", "split", "source", "entries", "pairs", *KINDS]
     return own.withColumn("side", F.lit("entry")).select(columns).unionByName(through.withColumn("side", F.lit("group")).select(columns))

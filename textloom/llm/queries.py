@@ -129,15 +129,20 @@ def p4_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _against_manifest(spark, sf_dir, p4_found(spark, sf_dir), "template_residue")
 
 
+def p5_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a training and an evaluation entry whose texts match, by kind of match."""
+    return overlap.split_overlaps(load(spark, sf_dir, "text_entries"), key="entry_id", text="normalized", splits="splits")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a training and an evaluation entry that are the same or nearly so."""
-    return overlap.split_overlaps(load(spark, sf_dir, "text_entries"), key="entry_id", text="normalized", splits="splits")
+    return p5_matches(spark, sf_dir).where("similar").select("left_id", "right_id")
 
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping entries by split and source of the entries and of their sample groups."""
+    """Matching entries by split and source of the entries and of their sample groups."""
     entries, samples = load(spark, sf_dir, "text_entries", "encoded_samples")
-    found = write_table(p5_found(spark, sf_dir), "overlaps").frame
+    found = write_table(p5_matches(spark, sf_dir), "overlaps").frame
     return overlap.overlap_report(found, entries, key="entry_id", splits="splits", source="source_id", groups="groups", samples=samples)
 
 
@@ -209,5 +214,5 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = "p1_found p1_splits p1_shares p2_totals p2_records p3_found p3_forms p4_found p4_manifest p5_found p5_report p6_found p6_shares p6_manifest p7_found p7_routes p8_ids p9_found p9_items p10_found p10_shares".split()
+    names = "p1_found p1_splits p1_shares p2_totals p2_records p3_found p3_forms p4_found p4_manifest p5_found p5_matches p5_report p6_found p6_shares p6_manifest p7_found p7_routes p8_ids p9_found p9_items p10_found p10_shares".split()
     return {name: globals()[name] for name in names}
