@@ -1,6 +1,6 @@
 import random
 
-from textloom.llm.splits import assign_splits, crossing_keys, key_components
+from textloom.llm.splits import assign_splits, crossing_keys, key_components, split_shares
 
 
 def union_find(edges):
@@ -59,3 +59,25 @@ def test_assignment_meets_shares_and_is_stable(spark):
         whole = sum(n for (s, x), n in labels.items() if x == label)
         assert abs(labels["test", label] / whole - 0.1) < 0.05
     assert given == {r.component: r.split for r in assign_splits(labelled.repartition(3), targets).collect()}
+
+
+def test_labels_are_balanced_even_where_components_mix_them(spark):
+    random.seed(12)
+    rows = []
+    for i in range(4000):
+        for label in random.sample(["x", "y", "z", None, "rare"], k=random.choice([1, 2, 3])):
+            if label != "rare" or random.random() < 0.05:
+                rows.append((f"c{i}", label, random.choice([1, 2, 7])))
+    rows += [("g1", "x", 300), ("g1", "y", 20), ("g2", "z", 250), ("g3", None, 200)]
+    labelled = spark.createDataFrame(rows, "component string, label string, records long")
+    targets = spark.createDataFrame([("train", 0.7), ("dev", 0.2), ("test", 0.1)], "split string, share double")
+    given = assign_splits(labelled, targets)
+    assert given.count() == len({c for c, _, _ in rows})
+    shares = split_shares(labelled, given, targets).collect()
+    assert len(shares) == 3 * 6 and sum(r.records for r in shares if r.whole) == sum(n for _, _, n in rows)
+    assert max(abs(r.deviation) for r in shares if r.whole) < 0.005
+    assert max(abs(r.deviation) for r in shares if r.label in ("x", "y", "z")) < 0.01
+    assert max(abs(r.deviation) for r in shares if r.label == "rare") < 0.04
+    assert assign_splits(labelled.limit(0), targets).count() == 0
+    few = assign_splits(labelled.where("component in ('c1', 'c2', 'g1')"), targets)
+    assert few.count() == 3

@@ -13,7 +13,7 @@ def brute(pieces, fallback, text):
     best = [(-math.inf, 0)] * (len(text) + 1)
     best[0] = (0.0, 0)
     for i in range(len(text)):
-        for j in range(i + 1, len(text) + 1):
+        for j in range(i + 1, min(len(text), i + T.DEPTH) + 1):
             if text[i:j] in pieces:
                 best[j] = max(best[j], (best[i][0] + pieces[text[i:j]], best[i][1] + 1), key=lambda x: x[0])
         if text[i] not in pieces:
@@ -31,10 +31,28 @@ def test_viterbi_matches_brute_force():
         assert T.count_pieces(trie, -10.0, texts).tolist() == [brute(pieces, -10.0, t) for t in texts]
 
 
+def test_long_segments_are_not_cut():
+    random.seed(6)
+    pieces = {"".join(random.choice("abc") for _ in range(random.randint(2, 5))): -random.uniform(1, 9) for _ in range(40)} | {"a": -3.0, "b": -4.0}
+    trie = T.DoubleArrayTrie(pieces)
+    texts = ["".join(random.choice("abcé🙂") for _ in range(n)) for n in (T.STEP, T.STEP + 1, 300, 1500, 70_000)] + ["abc"]
+    assert T.count_pieces(trie, -10.0, texts).tolist() == [brute(pieces, -10.0, t) for t in texts]
+    trie, fallback = T.vocabulary(MODEL)
+    run = "unbroken" * 100
+    whole = dict.fromkeys([run[i:j] for i in range(8) for j in range(i + 1, i + 17)])
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    plain = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
+    ranked = sorted(plain, key=lambda i: (model.get_score(i) < -1e6, -model.get_score(i)))
+    scores = {model.id_to_piece(i): s for i, s in zip(ranked, T.zipf_scores(len(ranked)), strict=True) if model.id_to_piece(i) in whole}
+    assert T.count_pieces(trie, fallback, [run]).tolist() == [brute(scores, fallback, run)]
+
+
 def test_segments_keep_every_character():
     assert T.segments("ab  cd机场12") == ["▁ab", "▁▁cd", "机场", "1", "2"]
     long = "字" * 1000
-    assert "".join(T.segments(long)) == "▁" + long and max(map(len, T.segments(long))) <= T.SEGMENT
+    assert "".join(T.segments(long)) == "▁" + long and len(T.segments(long)) == 1
 
 
 def test_close_to_the_tokenizer(spark):

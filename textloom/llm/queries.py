@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.llm import canonical, encoding, leakage, overlap, pairs, residue, spans, splits, stuffing, tokens
@@ -19,9 +18,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.crossing_keys(locales.select("alignment_key", "split"), tied)
 
 
-def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every locale record and encoded sample with its component and the split it is given."""
-    locales, samples, targets = load(spark, sf_dir, "locale_records", "encoded_samples", "split_targets")
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every locale record and encoded sample once, with its component and its label: ``record_table, record_id, component, label``."""
+    locales, samples = load(spark, sf_dir, "locale_records", "encoded_samples")
     tied = samples.select(F.col("sample_group_id").alias("g"), splits.blank_free("provenance.alignment_key").alias("alignment_key"))
     of_key = splits.key_components(tied, group="g", key="alignment_key")
     of_group = tied.join(of_key, "alignment_key").where("g is not null").groupBy("g").agg(F.min("component_key").alias("group_component"))
@@ -45,19 +44,21 @@ def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("group_component", "component_key", "alignment_key", F.concat_ws("|", F.lit("group"), F.coalesce("g", "sample_id"))).alias("component"),
         "label",
     )
-    rows = write_table(left.unionByName(right), "records").frame
+    return write_table(left.unionByName(right), "records").frame
+
+
+def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every locale record and encoded sample with its component and the split it is given."""
+    rows, targets = _records(spark, sf_dir), load(spark, sf_dir, "split_targets")
     sizes = rows.groupBy("component", "label").agg(F.count("*").alias("records"))
     return rows.join(splits.assign_splits(sizes, targets), "component").select("record_table", "record_id", F.col("component").alias("component_key"), "split")
 
 
 def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records, components and shares of each split against its target."""
-    targets = load(spark, sf_dir, "split_targets")
-    rows = p1_splits(spark, sf_dir).groupBy("split").agg(F.count("*").alias("records"), F.count_distinct("component_key").alias("components"))
-    total = F.sum("records").over(W.partitionBy(F.lit(1)))
-    return rows.join(targets.select("split", F.col("share").alias("target")), "split", "left").select(
-        "split", "records", "components", (F.col("records") / total).alias("share"), "target"
-    )
+    """Records of each split and label, with their share against the target."""
+    rows, targets = _records(spark, sf_dir), load(spark, sf_dir, "split_targets")
+    sizes = write_table(rows.groupBy("component", "label").agg(F.count("*").alias("records")), "sizes").frame
+    return splits.split_shares(sizes, splits.assign_splits(sizes, targets), targets)
 
 
 def _name(column: str):

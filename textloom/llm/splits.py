@@ -1,21 +1,23 @@
 """Splits that keep related records together.
 
 Records and entities (alignment keys, sample groups) form a bipartite graph; minimum-label propagation gives every key
-the smallest key of its component. Components, not records, are then given a split: a bounded number of giants by
-greedy balance, the rest by position inside their stratum, so every label meets the wanted shares in every split.
+the smallest key of its component. Components, not records, are then given a split: greedily from large to small, each
+where it lowers the deviation of the splits' label counts from their targets most. A bounded number of giants goes
+first; what they leave open is shared out to cells of bounded size, which are filled in parallel by the same rule.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.operators.graph import components
+from textloom.session import write_table
 
 #: A component with this share of all records or more is a giant; there can be no more than 1 / GIANT of them.
 GIANT = 0.005
-#: Components of a stratum that are ordered in one task.
+#: Components of a cell, on average.
 CELL = 20_000
 
 
@@ -52,52 +54,92 @@ def crossing_keys(locales: DataFrame, samples: DataFrame) -> DataFrame:
     return rows.join(bad.select("component_key"), "component_key", "left_semi").select("alignment_key", "component_key")
 
 
+class Greedy:
+    """Components placed one after another, each where it lowers the squared deviation from the targets most.
+
+    ``open`` holds what each split still wants of each label. Taking ``n`` of a label where ``w`` are wanted changes
+    the squared deviation by ``n * n - 2 * n * w``; deviations count relative to the label's total, so rare labels are
+    kept as well as frequent ones.
+    """
+
+    def __init__(self, names: list[str], wanted: dict[tuple[str, str | None], float], totals: dict[str | None, float]):
+        self.names, self.open = names, dict(wanted)
+        self.weight = {label: 1 / max(total, 1e-9) for label, total in totals.items()}
+
+    def place(self, counts: dict[str | None, int]) -> str:
+        def cost(name: str) -> float:
+            return sum((n * n - 2 * n * self.open.get((name, label), 0.0)) * self.weight.get(label, 1.0) for label, n in counts.items())
+
+        name = min(self.names, key=lambda x: (cost(x), self.names.index(x)))
+        for label, n in counts.items():
+            self.open[name, label] = self.open.get((name, label), 0.0) - n
+        return name
+
+
 def assign_splits(labelled: DataFrame, targets: DataFrame) -> DataFrame:
-    """Give every component a split in about the shares of ``targets``.
+    """Give every component a split so that each split has its share of ``targets`` of every label, as nearly as whole components allow.
 
     ``labelled`` has ``component, label, records`` (how many records of a label a component has); ``targets`` has
-    ``split, share``. A component's stratum is its most frequent label with its size class. Giants are placed first,
-    each where most room is left; their number is bounded by 1 / ``GIANT``, so they may pass through the driver. The
-    others are dealt by stratum: in cells of bounded size, in the order of a hash, each takes the split its middle falls
-    into on the line of the shares that the giants have left open. No task holds more than a cell.
+    ``split, share``. Giants are placed first, with all their labels; their number is bounded by 1 / ``GIANT``, so they
+    may pass the driver, as do the totals of the labels, a small set such as languages. The other components are dealt to cells by a hash; a cell takes
+    of what is still open of a label the part that it holds of the label, and places its components from large to small.
+    No task holds more than a cell.
 
-    Returns ``component, split``. Null components have no row; equal hashes are ordered by the component itself.
+    Returns ``component, split``. Null components have no row; a null label is a label; equal sizes are taken in the
+    order of a hash, then of the component itself; an empty table gives no rows.
     """
+    kind = labelled.schema["component"].dataType.simpleString()
     sums = labelled.where("component is not null").groupBy("component", "label").agg(F.sum("records").alias("records"))
-    parts = sums.groupBy("component").agg(
-        F.sum("records").alias("size"), F.max_by("label", F.struct("records", "label")).alias("label")
-    )
+    sums = write_table(sums, "labelled").frame
     wanted = [(r.split, float(r.share)) for r in targets.select(split_name("split").alias("split"), "share").orderBy(F.desc("share"), "split").collect()]
     if not wanted:
         raise ValueError("no split targets")
-    whole = sum(share for _, share in wanted)
-    total, count = parts.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    room = {name: share / whole * total for name, share in wanted}
-    giants = parts.where(F.col("size") >= GIANT * total).orderBy(F.desc("size"), "component").collect() if total > 1 / GIANT else []
-    placed = []
-    for giant in giants:
-        name = max(room, key=lambda n: (room[n], n))
-        room[name] -= giant.size
-        placed.append((giant.component, name))
-    open_room = {name: max(0.0, left) for name, left in room.items()}
-    scale = sum(open_room.values()) or 1.0
-    bounds, edge = [], 0.0
-    for name, _ in wanted:
-        edge += open_room[name] / scale
-        bounds.append((name, edge))
+    names, whole = [name for name, _ in wanted], sum(share for _, share in wanted)
+    sizes = sums.groupBy("component").agg(F.sum("records").alias("size"))
+    total, count = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    labels = {r.label: r.records for r in sums.groupBy("label").agg(F.sum("records").alias("records")).collect()}
+    first = Greedy(names, {(n, label): share / whole * r for n, share in wanted for label, r in labels.items()}, labels)
+    big = sizes.where(F.col("size") >= GIANT * total)
+    giants: dict = {}
+    for r in sums.join(F.broadcast(big), "component").collect():
+        giants.setdefault((-r.size, r.component), {})[r.label] = r.records
+    placed = [(component, first.place(counts)) for (_, component), counts in sorted(giants.items())]
     spark = labelled.sparkSession
-    done = spark.createDataFrame(placed, f"component {parts.schema['component'].dataType.simpleString()}, split string")
-    rest = parts.join(F.broadcast(done.select("component")), "component", "left_anti")
+    done = spark.createDataFrame(placed, f"component {kind}, split string")
+    left = {label: max(1e-9, sum(max(0.0, first.open[n, label]) for n in names)) for label in labels}
+    share = {(n, label): max(0.0, first.open[n, label]) / left[label] for n in names for label in labels}
+    rest = sums.join(F.broadcast(done.select("component")), "component", "left_anti")
     cells = max(1, -(-int(count) // CELL))
-    rest = rest.withColumn("rank", F.xxhash64("component")).withColumn("cell", F.pmod("rank", F.lit(cells)))
-    rest = rest.withColumn("class", F.floor(F.log2("size")))
-    line = W.partitionBy("label", "class", "cell").orderBy("rank", "component")
-    before = F.sum("size").over(line.rowsBetween(W.unboundedPreceding, 0)) - F.col("size") / 2
-    # The first cell members must not all fall to the first split: each cell starts at its own point of the line.
-    shift = F.pmod(F.xxhash64("label", "class", "cell"), F.lit(10_000)) / 10_000
-    where = before / F.sum("size").over(W.partitionBy("label", "class", "cell")) + shift
-    rest = rest.withColumn("at", where - F.floor(where))
-    pick = F.lit(bounds[-1][0])
-    for name, edge in reversed(bounds[:-1]):
-        pick = F.when(F.col("at") < edge, F.lit(name)).otherwise(pick)
-    return rest.select("component", pick.alias("split")).unionByName(done)
+    rest = rest.withColumn("rank", F.xxhash64("component")).withColumn("cell", F.pmod(F.xxhash64("rank"), F.lit(cells)))
+
+    def fill(table: pa.Table) -> pa.Table:
+        counts: dict = {}
+        totals: dict = {}
+        for component, label, records, rank in zip(*(table.column(n).to_pylist() for n in ("component", "label", "records", "rank")), strict=True):
+            counts.setdefault((rank, component), {})[label] = records
+            totals[label] = totals.get(label, 0) + records
+        order = sorted(counts, key=lambda x: (-sum(counts[x].values()), x))
+        own = Greedy(names, {(n, label): share[n, label] * r for n in names for label, r in totals.items()}, totals)
+        given = [own.place(counts[x]) for x in order]
+        return pa.table({"component": pa.array([c for _, c in order], table.schema.field("component").type), "split": pa.array(given, pa.string())})
+
+    dealt = rest.groupBy("cell").applyInArrow(fill, f"component {kind}, split string")
+    return dealt.unionByName(done)
+
+
+def split_shares(labelled: DataFrame, given: DataFrame, targets: DataFrame) -> DataFrame:
+    """How near the splits come to their targets: ``split, label, records, share, target, deviation``.
+
+    ``share`` is the split's part of the label's records; a row with a null label and ``whole`` true is about all records.
+    """
+    rows = labelled.where("component is not null").join(given, "component")
+    sums = rows.groupBy("split", "label").agg(F.sum("records").alias("records"))
+    all_ = sums.groupBy("split").agg(F.sum("records").alias("records")).select("split", F.lit(None).cast("string").alias("label"), "records", F.lit(True).alias("whole"))
+    both = sums.withColumn("whole", F.lit(False)).unionByName(all_)
+    total = both.groupBy(F.col("label").alias("of"), F.col("whole").alias("all")).agg(F.sum("records").alias("total"))
+    joined = both.join(total, F.col("label").eqNullSafe(F.col("of")) & (F.col("whole") == F.col("all")))
+    wanted = targets.select(split_name("split").alias("split"), F.col("share").alias("wanted"))
+    scale = wanted.agg(F.sum("wanted").alias("scale"))
+    wanted = wanted.crossJoin(F.broadcast(scale)).select("split", (F.col("wanted") / F.col("scale")).alias("target"))  # one row beside few
+    part = F.col("records") / F.col("total")
+    return joined.join(wanted, "split", "left").select("split", "label", "whole", "records", part.alias("share"), "target", (part - F.col("target")).alias("deviation"))

@@ -3,7 +3,7 @@
 The vocabulary is a double-array trie over characters. Texts are cut into normalised segments (white space becomes the
 word mark, runs of one script stay together); equal segments of a batch are measured once. All segments of a batch walk
 the trie together: one array step per depth finds every piece that starts at any position. Count-only Viterbi then runs
-over all segments in step, position by position, and keeps for each end only the best score and its number of pieces.
+over all segments in step, position by position - a long segment by itself - and keeps for each end only the best score and its number of pieces.
 
 The public vocabularies at hand carry merge ranks and no unigram scores. Scores are therefore those of Zipf's law over
 the ranks, log p = -log(rank + 1) - log(sum of 1 / rank), which needs no training and no counts of the corpus.
@@ -25,8 +25,8 @@ from textloom.llm.encoding import TOKENIZERS
 
 #: The mark that takes the place of white space.
 MARK = "▁"
-#: Characters after which a longer segment is cut; no piece is nearly as long.
-SEGMENT = 192
+#: Segments of up to this many characters are walked in step; longer ones one by one.
+STEP = 64
 #: Longest piece.
 DEPTH = 16
 _SPLIT = r"\s*(?:\p{Latin}+|\p{Han}+|\p{Hangul}+|[\p{Hiragana}\p{Katakana}ー]+|\p{N}|\p{L}+|[^\s\p{L}\p{N}]+)|\s+"
@@ -50,7 +50,7 @@ class DoubleArrayTrie:
         size = 4 * sum(map(len, pieces)) + 4 * self.kinds + 64
         self.base = np.zeros(size, np.int32)
         self.check = np.full(size, -1, np.int32)
-        self.score = np.full(size, -np.inf, np.float32)
+        self.score = np.full(size, -np.inf)
         taken = np.zeros(size, bool)
         taken[0] = True
         self.check[0] = 0
@@ -101,7 +101,7 @@ class DoubleArrayTrie:
             sizes.append(np.full(int(ends.sum()), depth, np.int64))
             scores.append(value[ends])
         if not starts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         return np.concatenate(starts), np.concatenate(sizes), np.concatenate(scores)
 
 
@@ -139,17 +139,56 @@ def segments(text: str) -> list[str]:
         if x[0].isspace():
             bare = x.lstrip()
             x = MARK * (len(x) - len(bare)) + bare
-        out.append(x) if len(x) <= SEGMENT else out.extend(x[i : i + SEGMENT] for i in range(0, len(x), SEGMENT))
+        out.append(x)
     return out
 
 
 def count_pieces(trie: DoubleArrayTrie, fallback: float, parts: list[str]) -> np.ndarray:
-    """Number of pieces on the best path of each segment."""
-    if not parts:
-        return np.zeros(0, np.int64)
+    """Number of pieces on the best path of each segment, however long it is."""
+    sizes = np.array([len(p) for p in parts], np.int64)
+    out = np.zeros(len(parts), np.int64)
+    short = np.flatnonzero(sizes <= STEP)
+    if len(short):
+        out[short] = _in_step(trie, fallback, [parts[i] for i in short])
+    for i in np.flatnonzero(sizes > STEP):
+        out[i] = _alone(trie, fallback, parts[i])
+    return out
+
+
+def _points(trie: DoubleArrayTrie, text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _alone(trie: DoubleArrayTrie, fallback: float, part: str) -> int:
+    """The same for one long segment: piece lengths and scores by position, then one step a character."""
+    points = _points(trie, part)
+    best = [-math.inf] * (len(points) + 1)
+    count = [0] * (len(points) + 1)
+    best[0] = 0.0
+    for low in range(0, len(points), 1 << 16):  # edges of a stretch at a time; a piece may reach beyond it
+        high = min(len(points), low + (1 << 16))
+        codes = trie.codes[points[low : min(len(points), high + DEPTH)]]
+        start, width, score = trie.edges(codes, len(codes) - np.arange(len(codes)))
+        order = np.argsort(start, kind="stable")
+        start, width, score = start[order].tolist(), width[order].tolist(), score[order].astype(np.float64).tolist()
+        bounds = np.searchsorted(start, np.arange(high - low + 1)).tolist()
+        bytes_ = (1 + (points[low:high] > 0x7F) + (points[low:high] > 0x7FF) + (points[low:high] > 0xFFFF)).tolist()
+        for i in range(high - low):
+            at, here, n, single = low + i, best[low + i], count[low + i], False
+            for e in range(bounds[i], bounds[i + 1]):
+                single |= width[e] == 1
+                to = at + width[e]
+                if here + score[e] > best[to]:
+                    best[to], count[to] = here + score[e], n + 1
+            if not single and here + fallback * bytes_[i] > best[at + 1]:
+                best[at + 1], count[at + 1] = here + fallback * bytes_[i], n + bytes_[i]
+    return count[-1]
+
+
+def _in_step(trie: DoubleArrayTrie, fallback: float, parts: list[str]) -> np.ndarray:
     size = np.array([len(p) for p in parts])
     begin = np.concatenate([[0], np.cumsum(size)])[:-1]
-    points = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
+    points = _points(trie, "".join(parts))
     owner = np.repeat(np.arange(len(parts)), size)
     place = np.arange(len(points)) - begin[owner]
     start, width, score = trie.edges(trie.codes[points], size[owner] - place)
@@ -159,7 +198,7 @@ def count_pieces(trie: DoubleArrayTrie, fallback: float, parts: list[str]) -> np
     lone = np.flatnonzero(alone)
     spend = 1 + (points[lone] > 0x7F) + (points[lone] > 0x7FF) + (points[lone] > 0xFFFF)
     cost = np.concatenate([np.ones(len(start), np.int64), spend])
-    score = np.concatenate([score, (fallback * spend).astype(np.float32)])
+    score = np.concatenate([score, fallback * spend])
     start = np.concatenate([start, lone])
     width = np.concatenate([width, np.ones(len(lone), np.int64)])
     order = np.argsort(place[start], kind="stable")
@@ -168,7 +207,7 @@ def count_pieces(trie: DoubleArrayTrie, fallback: float, parts: list[str]) -> np
     # One node more than characters in each segment: node = position + number of the segment.
     source = start + owner[start]
     target = source + width
-    best = np.full(len(points) + len(parts), -np.inf, np.float32)
+    best = np.full(len(points) + len(parts), -np.inf)
     count = np.zeros(len(best), np.int64)
     best[begin + np.arange(len(parts))] = 0
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
