@@ -60,3 +60,42 @@ def test_tied_groups_share_component_and_split(spark, tmp_path):
         place = int(hashlib.sha256(line({"component_id": name, "split_profile_version": "massive-locked-count-hash-v1"})).hexdigest(), 16) % 16521
         want |= dict.fromkeys(members, (name, "train" if place < 11514 else "dev" if place < 13547 else "test"))
     assert got == want
+
+
+def test_pieces_of_many_texts_at_once():
+    import numpy as np
+    import pyarrow as pa
+
+    from textloom.operators import setjoin as S
+
+    texts = ["", "a", "ab", "abcabcabc", "学生学生 x", "z" * 50]
+    owner, hashes = S.batch_pieces(texts)
+    for i, text in enumerate(texts):
+        mine = hashes[owner == i]
+        assert len(mine) == len(S.pieces(text)) and np.array_equal(mine, S.piece_hashes(text))
+        assert S.parity_sketches(owner, hashes, len(texts))[i].tolist() == S.parity_sketch(mine)
+    batch = pa.RecordBatch.from_pydict({"x": ["y" * S.CHARACTERS, *(["t"] * (S.TEXTS + 5)), "u" * (S.CHARACTERS + 9), "v"]})
+    assert [p.num_rows for p in S._parts(batch, 0)] == [1, S.TEXTS, 5, 1, 1]
+
+
+def test_similarity_join_over_many_batches(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from textloom.operators import setjoin as S
+
+    random.seed(3)
+    texts = list(dict.fromkeys("".join(random.choice("abc ") for _ in range(random.randint(0, 30))) for _ in range(150)))
+    texts += [t + "c" for t in texts if t and t + "c" not in texts]
+    frame = spark.createDataFrame([(t,) for t in dict.fromkeys(texts)], "form string").coalesce(1).withColumn("h", F.md5("form"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        found = S.similar_pairs(frame, frame, S.count_table(frame.select("form")), similar=82, both=True)
+        names = {r.h: r.form for r in frame.collect()}
+        got = {frozenset((names[r.left_h], names[r.right_h])) for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    kept = [(t, S.pieces(t)) for t in dict.fromkeys(texts)]
+    want = {frozenset((a, b)) for i, (a, x) in enumerate(kept) for b, y in kept[i + 1 :] if x & y and 100 * len(x & y) >= 82 * len(x | y)}
+    assert got == want and want

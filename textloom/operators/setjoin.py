@@ -9,6 +9,7 @@ parity sketch of each set rule out most candidates inside the equi-join on the p
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from textloom.operators.merge import merge_rounds, partitions
 
 #: Counters of the table that orders the pieces.
 COUNTERS = 1 << 20
+#: Texts, and their characters, whose pieces are taken at once.
+TEXTS, CHARACTERS = 2048, 1 << 21
 #: 64-bit words of the parity sketch of a set.
 WORDS = 8
 
@@ -31,22 +34,57 @@ def pieces(form: str) -> set[str]:
     return {marked[i : i + 3] for i in range(len(marked) - 2)}
 
 
-def piece_hashes(form: str) -> np.ndarray:
-    """Distinct hashes of the pieces."""
-    codes = np.frombuffer(f"^{form}$".encode("utf-32-le"), np.uint32).astype(np.uint64)
-    if len(codes) < 3:
-        return np.zeros(0, np.uint64)
-    packed = (codes[:-2] << np.uint64(42)) | (codes[1:-1] << np.uint64(21)) | codes[2:]
-    packed = np.unique(packed)
+def _mixed(packed: np.ndarray) -> np.ndarray:
     packed = (packed ^ (packed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     packed = (packed ^ (packed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return packed ^ (packed >> np.uint64(31))
 
 
+def piece_hashes(form: str) -> np.ndarray:
+    """Distinct hashes of the pieces of one text."""
+    return batch_pieces([form])[1]
+
+
+def batch_pieces(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of the pieces of many texts at once, with the number of the text each belongs to, in its order."""
+    sizes = np.array([len(f) + 2 for f in forms])
+    codes = np.frombuffer("".join(f"^{f}$" for f in forms).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(forms)), sizes)
+    inside = np.flatnonzero(owner[:-2] == owner[2:])
+    packed = (codes[inside] << np.uint64(42)) | (codes[inside + 1] << np.uint64(21)) | codes[inside + 2]
+    owner, hashes = owner[inside], _mixed(packed)
+    order = np.lexsort((hashes, owner))
+    owner, hashes = owner[order], hashes[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
+    return owner[fresh], hashes[fresh]
+
+
+def _parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most ``TEXTS`` texts and, save for a single longer text, ``CHARACTERS`` characters."""
+    ends = np.cumsum([len(x) for x in batch.column(column).to_pylist()])
+    low = 0
+    while low < batch.num_rows:
+        start = ends[low - 1] if low else 0
+        high = max(low + 1, min(low + TEXTS, int(np.searchsorted(ends, start + CHARACTERS, side="right"))))
+        yield batch.slice(low, high - low)
+        low = high
+
+
+def parity_sketches(owner: np.ndarray, hashes: np.ndarray, count: int) -> np.ndarray:
+    """For each of ``count`` texts the parity of the number of its pieces in each of ``64 * WORDS`` cells, as words.
+
+    Two sketches differ in no more cells than their sets differ in pieces.
+    """
+    cells = 64 * WORDS
+    place = (hashes >> np.uint64(20)).astype(np.int64) % cells + owner * cells
+    bits = np.bincount(place, minlength=count * cells).astype(np.uint8) & 1
+    return np.packbits(bits.reshape(count, cells), axis=1).view(np.int64)
+
+
 def parity_sketch(hashes: np.ndarray) -> list[int]:
-    """Parity of the number of pieces in each of ``64 * WORDS`` cells; two sketches differ in no more cells than their sets in pieces."""
-    bits = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+    """The sketch of one text."""
+    return parity_sketches(np.zeros(len(hashes), np.int64), hashes, 1)[0].tolist()
 
 
 def count_table(texts: DataFrame) -> np.ndarray:
@@ -58,10 +96,11 @@ def count_table(texts: DataFrame) -> np.ndarray:
     def count(batches):
         table = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
-            for form in batch.column(0).to_pylist():
-                table[(piece_hashes(form) & np.uint64(COUNTERS - 1)).astype(np.int64)] += 1
-        part = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "blob": pa.array([zlib.compress(table.tobytes(), 1)], pa.binary())})
+            for part in _parts(batch, 0):
+                _, hashes = batch_pieces(part.column(0).to_pylist())
+                np.add.at(table, (hashes & np.uint64(COUNTERS - 1)).astype(np.int64), np.uint32(1))
+        number = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_pydict({"part": pa.array([number], pa.int32()), "blob": pa.array([zlib.compress(table.tobytes(), 1)], pa.binary())})
 
     def merge(blobs: list[bytes]) -> bytes:
         total = np.zeros(COUNTERS, np.uint32)
@@ -88,23 +127,23 @@ def similar_pairs(left: DataFrame, right: DataFrame, order: np.ndarray, *, simil
     words = ", ".join(f"s{i} bigint" for i in range(WORDS))
     kind = left.schema["h"].dataType.simpleString()
 
-    def prefixes(batch: pa.RecordBatch) -> dict[str, list]:
-        table = sent.value
-        out: dict[str, list] = {n: [] for n in ("piece", "h", "n", "at", *(f"s{i}" for i in range(WORDS)))}
-        for h, form in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            hashes = piece_hashes(form)
-            n = len(hashes)
-            if not n:
-                continue
-            rank = np.lexsort((hashes, table[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)]))
-            first = n - (similar * n + 99) // 100 + 1
-            columns = [hashes[rank[:first]].view(np.int64).tolist(), [h] * first, [n] * first, range(first)]
-            for name, values in zip(out, [*columns, *([word] * first for word in parity_sketch(hashes))], strict=True):
-                out[name].extend(values)
-        return out
+    def prefixes(batches):
+        for whole in batches:
+            for batch in _parts(whole, 1):
+                owner, hashes = batch_pieces(batch.column(1).to_pylist())
+                words_ = parity_sketches(owner, hashes, batch.num_rows)
+                counts = sent.value[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                order = np.lexsort((hashes, counts, owner))
+                owner, hashes = owner[order], hashes[order]
+                size = np.bincount(owner, minlength=batch.num_rows)
+                at = np.arange(len(owner)) - (np.cumsum(size) - size)[owner]
+                keep = at < (size - (similar * size + 99) // 100 + 1)[owner]
+                owner, hashes, at = owner[keep], hashes[keep], at[keep]
+                arrays = [pa.array(hashes.view(np.int64)), batch.column(0).take(pa.array(owner)), pa.array(size[owner], pa.int32()), pa.array(at, pa.int32())]
+                yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(words_[owner, i]) for i in range(WORDS))], names=["piece", "h", "n", "at", *(f"s{i}" for i in range(WORDS))])
 
     def keys(side: DataFrame) -> DataFrame:
-        return map_batches(side.select("h", "form"), prefixes, f"piece bigint, h {kind}, n int, at int, {words}")
+        return map_stream(side.select("h", "form"), prefixes, f"piece bigint, h {kind}, n int, at int, {words}")
 
     need = f"ceil({similar} * (x.n + y.n) / {100 + similar})"
     apart = " + ".join(f"bit_count(x.s{i} ^ y.s{i})" for i in range(WORDS))
