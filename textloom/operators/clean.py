@@ -103,11 +103,11 @@ def quality_decision(
     return F.struct(reason.isNull().alias("accepted"), reason.alias("reason"), F.length(text).alias("characters"), tokens.alias("tokens"))
 
 
-def output_reasons(source: Column, target: Column, language: Column, finish: Column, *, low: float = 0.15, high: float = 6.0, backreferences: bool = True) -> Column:
+def output_reasons(source: Column, target: Column, language: Column, finish: Column, *, low: float = 0.15, high: float = 6.0) -> Column:
     """All reasons to reject a generated answer, in order; an empty array if it is kept.
 
     ``target`` is composed and has single spaces. A copy is excused where the source reads the same in the target's
-    written form of Chinese. Repeated segments need a backreference, which can be left out.
+    written form of Chinese.
     """
     text = F.coalesce(target, F.lit(""))
     squeeze = lambda c: F.lower(F.regexp_replace(c, f"[{X.WHITE}]", ""))
@@ -117,9 +117,7 @@ def output_reasons(source: Column, target: Column, language: Column, finish: Col
     neutral = F.when(language == "zho_Hant", X.simplified_count(source) == 0).when(language == "zho_Hans", X.traditional_count(source) == 0)
     same = chinese & F.coalesce(neutral, F.lit(False))
     ratio = X.compact_length(text) / F.greatest(X.compact_length(source), F.lit(4))
-    repeated = F.rlike(text, F.lit(r"([^\s])\1{11,}"))
-    if backreferences:
-        repeated = repeated | F.rlike(text, F.lit(r"(.{4,}?)\1{2,}"))
+    repeated = F.rlike(text, F.lit(r"([^\s])\1{11,}")) | F.rlike(text, F.lit(r"(.{4,}?)\1{2,}"))
     checks = [
         ("empty_output", text == ""),
         ("prompt_echo", sum((F.when(F.contains(F.lower(text), F.lit(m)), 1).otherwise(0) for m in X.PROMPT_ECHO), F.lit(0)) > 0),

@@ -9,10 +9,10 @@ from textloom.operators import clean
 from textloom.plans import sqltext as S
 from textloom.session import load, spread
 
-NATIVE = X.CleaningRules(backreferences=False)
+RULES = X.CleaningRules()
 
 
-def _segments(spark, sf_dir, rules=NATIVE):
+def _segments(spark, sf_dir, rules=RULES):
     docs = spread(load(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
     return clean.with_reason(clean.line_segments(docs, "text"), "lang", rules).drop("text")
 
@@ -25,12 +25,6 @@ def clean_reason_counts(spark, sf_dir):
     )
 
 
-def clean_reason_counts_full(spark, sf_dir):
-    """The same with the rule for mechanical repetition, which needs backreferences."""
-    rows = _segments(spark, sf_dir, X.CleaningRules())
-    return rows.groupBy("lang", F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("segments"))
-
-
 def clean_first_reason(spark, sf_dir):
     """Every document with its kept and rejected segments and the reason of the first rejected one."""
     rows = _segments(spark, sf_dir)
@@ -44,7 +38,7 @@ def clean_first_reason(spark, sf_dir):
 def bounded_segment_counts(spark, sf_dir):
     """Segments cut to both caps, with entities resolved, by language and reason."""
     docs = spread(load(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
-    rows = clean.with_reason(clean.bounded_segments(docs, "text", most=400, most_bytes=800), "lang", X.CleaningRules())
+    rows = clean.with_reason(clean.bounded_segments(docs, "text"), "lang", RULES)
     return rows.groupBy("lang", F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("segments"))
 
 
@@ -118,17 +112,8 @@ def prose_sentences(spark, sf_dir):
 
 def output_filter(spark, sf_dir):
     """Reasons to reject generated answers by route, one row per reason."""
-    return _outputs(spark, sf_dir, False)
-
-
-def output_filter_full(spark, sf_dir):
-    """The same with repeated segments."""
-    return _outputs(spark, sf_dir, True)
-
-
-def _outputs(spark, sf_dir, backreferences):
     rows = load(spark, sf_dir, "hymt2_decode_ab").dropDuplicates(["id"]).withColumn("answer", X.collapse(X.nfc("challenger_translation")))
-    reasons = clean.output_reasons(F.col("source_text"), F.col("answer"), F.col("target_language"), F.col("challenger_finish_reason"), backreferences=backreferences)
+    reasons = clean.output_reasons(F.col("source_text"), F.col("answer"), F.col("target_language"), F.col("challenger_finish_reason"))
     rows = rows.select("id", "route", F.explode_outer(F.when(F.size(reasons) > 0, reasons)).alias("reason"))
     return rows.groupBy("route", F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("records"))
 
@@ -177,18 +162,24 @@ _MARKDOWN = (
 )
 
 _T = "segment"
+
+
+def reason_sql() -> str:
+    """The reason of ``segment`` in ``lang``, beside its ``flat`` form."""
+    least = " ".join(f"when '{k}' then {v}" for k, v in X.LEAST_RATIO.items())
+    return f"""coalesce({S.clean_reason(_T, RULES)},
+    case when {S.script_ratio(_T, "lang")} < (case lang {least} end) then 'script_mismatch'
+         when lang in ('zho_Hans', 'zho_Hant') and {S.simplified(_T)} + {S.traditional(_T)} >= 4
+          and (case lang when 'zho_Hans' then {S.simplified(_T)} else {S.traditional(_T)} end) / ({S.simplified(_T)} + {S.traditional(_T)}) < 0.20 then 'chinese_variant_mismatch' end)"""
+
+
 _LINES = f"""
 lines as (
   select doc_id, lang, source, unnest(parts) as raw, unnest(range(0, len(parts))) as position
   from (select *, case when text is null then [null] else regexp_split_to_array(text, {S.quoted(X.BREAK)}) end as parts from documents)
-), segments as (select doc_id, lang, source, position, {S.collapse("raw")} as segment from lines),
-reasoned as (
-  select *, coalesce({S.clean_reason(_T, NATIVE)},
-    case when {S.script_ratio(_T, "lang")} < (case lang {" ".join(f"when '{k}' then {v}" for k, v in X.LEAST_RATIO.items())} end) then 'script_mismatch'
-         when lang in ('zho_Hans', 'zho_Hant') and {S.simplified(_T)} + {S.traditional(_T)} >= 4
-          and (case lang when 'zho_Hans' then {S.simplified(_T)} else {S.traditional(_T)} end) / ({S.simplified(_T)} + {S.traditional(_T)}) < 0.20 then 'chinese_variant_mismatch' end) as reason
-  from segments
-)
+), cut as (select doc_id, lang, source, position, {S.collapse("raw")} as segment from lines),
+segments as (select *, {S.flat("segment")} as flat from cut),
+reasoned as (select *, {reason_sql()} as reason from segments)
 """
 _ONCE = "(select distinct on (candidate_id) * from text_candidates)"
 _AB = "(select distinct on (id) * from hymt2_decode_ab)"
@@ -220,7 +211,7 @@ def _output_sql() -> str:
         ("extra_explanation", f"regexp_matches({t}, {S.quoted(X.EXPLANATION)})"),
         ("source_copy", f"{squeeze(s)} <> '' and {squeeze(s)} = {squeeze(t)} and not ({S.script(s, 'han')} > 0 and {other} = 0 and (case {tag} when 'zho_Hant' then {S.simplified(s)} = 0 when 'zho_Hans' then {S.traditional(s)} = 0 else false end))"),
         ("truncated", "coalesce(challenger_finish_reason = 'length', false)"),
-        ("abnormal_repetition", run),
+        ("abnormal_repetition", f"{run} or {S.periodic(t, 4, '1000000', 3)}"),
         ("placeholder_mismatch", f"{holders(s)} <> {holders(t)}"),
         ("wrong_script_dominance", S.dominated(t, tag)),
         ("traditional_output_for_simplified_target", f"{tag} = 'zho_Hans' and {S.traditional(t)} > 0 and {S.simplified(t)} = 0"),
@@ -245,8 +236,8 @@ for _pattern, _new in _MARKDOWN:
 QUERIES = {
     f.__name__: f
     for f in (
-        clean_reason_counts, clean_reason_counts_full, clean_first_reason, bounded_segment_counts, script_counts, script_ratio, chinese_variant,
-        character_shares, token_estimates, utterance_reasons, candidate_decisions, prose_sentences, output_filter, output_filter_full,
+        clean_reason_counts, clean_first_reason, bounded_segment_counts, script_counts, script_ratio, chinese_variant,
+        character_shares, token_estimates, utterance_reasons, candidate_decisions, prose_sentences, output_filter,
         answer_consistency, character_classes, markdown_prose,
     )
 }

@@ -80,15 +80,30 @@ def run(t: str, least: int) -> str:
     return f"len(list_filter(list_distinct(string_split({t}, '')), lambda c: c <> '' and contains({t}, repeat(c, {least})))) > 0"
 
 
+def flat(t: str) -> str:
+    return f"regexp_replace({t}, {quoted(X.WORDLIKE)}, '_', 'g')"
+
+
+def periodic(t: str, least: int, most: str, times: int) -> str:
+    """Whether a part of ``least`` to ``most`` characters stands ``times`` in a row; written without a backreference.
+
+    For a period p that is so if (times - 1) * p characters in a row equal the one p places on.
+    """
+    chars = f"string_split({t}, '')"
+    same = f"array_to_string(list_transform(list_zip({chars}[:-p-1], {chars}[p+1:]), lambda z: case when z[1] = z[2] then '1' else '0' end), '')"
+    return f"len(list_filter(range({least}, least({most}, length({t}) // {times}) + 1), lambda p: contains({same}, repeat('1', ({times - 1} * p)::int)))) > 0"
+
+
 def clean_reason(t: str, rules: X.CleaningRules) -> str:
-    """The cascade without its backreference rule."""
+    """The cascade, on ``t`` and its flat form in column ``flat``."""
     bare = strip(t, f"[{X.WHITE}]")
     numeric = f"(length({bare}) - length({strip(bare, '[\\p{N}\\p{P}\\p{S}]')}))"
     visible = f"length({strip(t, '[\\p{Cc}\\p{Cf}\\p{Co}\\p{Cs}]')})"
     tokens = f"regexp_split_to_array({t}, {quoted(f'[{X.WHITE}]+')})"
     ascii_count = count("x", r"\x{0}-\x{7F}")
     long = f"len(list_filter({tokens}, lambda x: length(x) > {rules.token_characters} and {ascii_count} >= {rules.token_ascii_share} * length(x))) > 0"
-    keyword = f"len(regexp_extract_all({t}, {quoted(rules.keyword)}))"
+    bounded, others = X.keyword_parts(rules.keyword)
+    keyword = f"len(regexp_extract_all(flat, {quoted(bounded)})) + len(regexp_extract_all({t}, {quoted(others)}))"
     checks = [
         ("missing_text", f"{t} is null"),
         ("empty", f"length({t}) = 0"),
@@ -100,10 +115,12 @@ def clean_reason(t: str, rules: X.CleaningRules) -> str:
         ("html_residue", f"regexp_matches({t}, {quoted(X.HTML)})"),
         ("template_residue", f"regexp_matches({t}, {quoted(rules.template)})"),
         ("mojibake", f"regexp_matches({t}, {quoted(X.MOJIBAKE)})"),
-        ("encoded_blob", f"regexp_matches({t}, {quoted(X.BLOB)})"),
+        ("encoded_blob", f"regexp_matches(flat, {quoted(X.BLOB)})"),
+        ("mechanical_repetition", f"{run(t, rules.run)} or {periodic(t, 2, '32', 5)}"),
         ("numeric_symbol_dominance", f"{numeric} > {rules.numeric_share} * length({bare})"),
-        ("url_email_dominance", f"{matched(t, f'{X.URL}|{X.EMAIL}')} > {rules.address_share} * length({t})"),
+        ("url_email_dominance", f"{matched('flat', X.ADDRESS)} > {rules.address_share} * length({t})"),
         ("long_mechanical_token", long),
         ("keyword_stuffing", f"{keyword} > {rules.keyword_most}"),
+        ("keyword_stuffing", f"len(regexp_extract_all({t}, {quoted(rules.spam)})) > {rules.spam_most}"),
     ]
     return "case " + " ".join(f"when {found} then '{name}'" for name, found in checks) + " end"
