@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -168,14 +169,28 @@ def test_quantile_rules(spark):
 
 
 def test_scores(spark):
-    pairs = [("the quiet harbour", "the quiet harbour"), ("港口很旧。", "港口很旧了。"), ("", "something"), ("abc", "xyz")]
+    pairs = [("the quiet harbour, in 1.5 km", "the quiet harbour in 1.5 km."), ("港口很旧。", "港口很旧了。"), ("", "something"), ("abc", "xyz"), ("a &amp; b", "")]
     frame = spark.createDataFrame([("r", a, b) for a, b in pairs] + [("n", None, None)], "g string, a string, b string")
-    got = {r.g: (r.bleu, r.chrf) for r in summary.corpus_scores(frame, "g", "a", "b").collect()}
-    assert got["r"] == pytest.approx(summary.scores_of(pairs)) and got["n"] == (0.0, 0.0)
+    for tokens, order in (("13a", 0), ("char", 2), ("char", 0)):
+        got = {r.g: (r.bleu, r.chrf) for r in summary.corpus_scores(frame, "g", "a", "b", tokens=tokens, word_order=order).collect()}
+        assert got["r"] == pytest.approx(summary.scores_of(pairs, tokens, order)) and got["n"] == (0.0, 0.0)
     same = spark.createDataFrame([("r", a, a) for a, _ in pairs], "g string, a string, b string")
     assert summary.corpus_scores(same, "g", "a", "b").first().bleu == pytest.approx(100)
 
 
+def test_published_score_definitions():
+    assert summary.bleu_tokens("It's 1,000.5 (ca. 3-4) &quot;x&quot;, ok-ay.", "13a") == ["It's", "1,000.5", "(", "ca", ".", "3", "-", "4", ")", '"', "x", '"', ",", "ok-ay", "."]
+    assert summary.word_pieces('"Well," he said...') == ['"Well,', '"', "he", "said..", "."]
+    # One match of four words, none of longer n-grams: precisions 25, 100 / (2 * 3), 100 / (4 * 2), 100 / (8 * 1).
+    bleu, _ = summary.scores_of([("a x y z", "a b c d")])
+    assert bleu == pytest.approx((25 * (100 / 6) * (100 / 8) * (100 / 8)) ** 0.25)
+    assert summary.scores_of([("a", "a b")])[0] == pytest.approx(100 * math.exp(-1))  # effective order and brevity
+    # chrF averages precisions and recalls over the orders before it joins them.
+    _, chrf = summary.scores_of([("ab", "abc")])
+    p, r = (1 + 1) / 2, (2 / 3 + 1 / 2) / 2
+    assert chrf == pytest.approx(100 * 5 * p * r / (4 * p + r))
+
+
 def test_gates_and_assertions(spark):
     frame = spark.createDataFrame([("a", 1.0), ("b", 0.2), ("c", None)], "k string, v double")
     checks = {"high": F.col("v") >= 0.5}

@@ -172,8 +172,17 @@ def best_arm(spark, sf_dir):
 
 
 def translation_scores(spark, sf_dir):
-    """Corpus BLEU and chrF of the challenger against the baseline, by route."""
-    rows = M.corpus_scores(_answers(spark, sf_dir), "route", "challenger_translation", "baseline_translation")
+    """Corpus BLEU over 13a tokens and chrF of the challenger against the baseline, by route."""
+    return _scores(spark, sf_dir, "13a", 0)
+
+
+def translation_scores_char(spark, sf_dir):
+    """Corpus BLEU over characters and chrF++ of the challenger against the baseline, by route."""
+    return _scores(spark, sf_dir, "char", 2)
+
+
+def _scores(spark, sf_dir, tokens, word_order):
+    rows = M.corpus_scores(_answers(spark, sf_dir), "route", "challenger_translation", "baseline_translation", tokens=tokens, word_order=word_order)
     return rows.select("route", "records", F.round("bleu", 6).alias("bleu"), F.round("chrf", 6).alias("chrf"))
 
 
@@ -184,6 +193,45 @@ def replay_consistency(spark, sf_dir):
 
 
 _AB = "(select distinct on (id) * from hymt2_decode_ab)"
+
+
+def _scores_sql(tokens: str, word_order: int) -> str:
+    """N-grams of both sides unnested and counted, the smaller counts summed; the scores over the sums."""
+    text = "replace(replace(replace(t, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' ')"
+    for name, char in M.ENTITIES:
+        text = f"replace({text}, {S.quoted(name)}, {S.quoted(char)})"
+    text = f"' ' || {text} || ' '"
+    for pattern, new in M.TOKEN_RULES:
+        text = f"regexp_replace({text}, {S.quoted(pattern)}, {S.quoted(new)}, 'g')"
+    white = S.quoted(f"[{X.WHITE}]+")
+    words = lambda t: f"list_filter(regexp_split_to_array({t}, {white}), lambda w: w <> '')"
+    chars = f"list_filter(string_split(regexp_replace(t, {white}, '', 'g'), ''), lambda c: c <> '')"
+    marks = S.quoted("[!-/:-@\\[-`{-~]")
+    piece = f"case when length(w) > 1 and regexp_matches(right(w, 1), {marks}) then [left(w, -1), right(w, 1)] when length(w) > 1 and regexp_matches(left(w, 1), {marks}) then [left(w, 1), substr(w, 2)] else [w] end"
+    kinds = [("b", words(text) if tokens == "13a" else chars, M.ORDERS), ("c", chars, M.CHARACTER_ORDER), ("w", f"flatten(list_transform({words('t')}, lambda w: {piece}))", word_order)]
+    unions = " union all ".join(f"select id, route, side, '{k}' as kind, {items} as x, unnest(range(1, {order + 1})) as n from texts" for k, items, order in kinds if order)
+    orders = [("b", n) for n in range(1, M.ORDERS + 1)], [(k, n) for k, _, order in kinds[1:] for n in range(1, order + 1)]
+    pick = lambda k, n, what: f"coalesce(max({what}) filter (kind = '{k}' and n = {n}), 0)"
+    wide = ", ".join(f"{pick(k, n, w)} as {k}{n}{w[0]}" for k, n in [*orders[0], *orders[1]] for w in ("match", "hyp", "ref"))
+    live = [" and ".join(f"b{m}h > 0" for m in range(1, n + 1)) for n in range(1, M.ORDERS + 1)]
+    zeros = [" + ".join(f"(b{m}m = 0)::int" for m in range(1, n + 1)) for n in range(1, M.ORDERS + 1)]
+    logs = " + ".join(f"case when {live[n - 1]} then ln(case when b{n}m > 0 then 100.0 * b{n}m / b{n}h else 100.0 / (power(2, {zeros[n - 1]}) * b{n}h) end) else 0 end" for n in range(1, M.ORDERS + 1))
+    used = " + ".join(f"({x})::int" for x in live)
+    bleu = f"case when {' + '.join(f'b{n}m' for n in range(1, M.ORDERS + 1))} > 0 then (case when b1h >= b1r then 1.0 else exp(1 - b1r / b1h) end) * exp(({logs}) / ({used})) else 0 end"
+    both = [f"({k}{n}h > 0 and {k}{n}r > 0)" for k, n in orders[1]]
+    mean = lambda side: f"(({' + '.join(f'case when {b} then {k}{n}m / {k}{n}{side} else 0 end' for b, (k, n) in zip(both, orders[1], strict=True))}) / greatest({' + '.join(f'{b}::int' for b in both)}, 1))"
+    return f"""
+with texts as (select id, route, 'h' as side, coalesce(challenger_translation, '') as t from {_AB} union all select id, route, 'r', coalesce(baseline_translation, '') from {_AB}),
+items as ({unions}),
+grams as (select id, route, side, kind, n, array_to_string(x[i:i + n - 1], chr(31)) as g from (select *, unnest(range(1, len(x) - n + 2)) as i from items)),
+counted as (select id, route, kind, n, g, count(*) filter (side = 'h') as a, count(*) filter (side = 'r') as b from grams group by all),
+pairs as (select id, route, kind, n, sum(least(a, b)) as match, case when kind = 'b' or sum(b) > 0 then sum(a) else 0 end as hyp, sum(b) as ref from counted group by id, route, kind, n),
+sums as (select route, kind, n, sum(match)::double as match, sum(hyp)::double as hyp, sum(ref)::double as ref from pairs group by all),
+wide as (select route, {wide} from sums group by route),
+scored as (select route, {bleu} as bleu, {mean('h')} as p, {mean('r')} as r from wide)
+select route, count(*) as records, coalesce(max(round(bleu, 6)), 0) as bleu, coalesce(max(round(case when p + r > 0 then 100 * {1 + M.BETA**2} * p * r / ({M.BETA**2} * p + r) else 0 end, 6)), 0) as chrf from {_AB} left join scored using (route) group by route"""
+
+
 _ONCE = "(select distinct on (candidate_id) * from text_candidates)"
 _ENC = "(select distinct on (sample_id) * from encoded_samples)"
 
@@ -199,11 +247,13 @@ QUERIES = {
     for f in (
         quantiles_nearest, quantiles_truncated, quantiles_even, latency_summary, grouped_results, reason_grouping_sets, split_distributions,
         token_weighted_rates, macro_and_micro, route_gates, reason_histogram, token_cost, route_token_statistics, manifest_differences,
-        named_assertions, duplicate_ids, arm_deltas, best_arm, translation_scores, replay_consistency,
+        named_assertions, duplicate_ids, arm_deltas, best_arm, translation_scores, translation_scores_char, replay_consistency,
     )
 }
 
 SQL = {
+    "translation_scores": _scores_sql("13a", 0),
+    "translation_scores_char": _scores_sql("char", 2),
     "quantiles_nearest": "select lang, min(n_chars) as least, quantile_disc(n_chars, 0.5) as p50, quantile_disc(n_chars, 0.95) as p95, quantile_disc(n_chars, 0.99) as p99, max(n_chars) as most from documents where n_chars is not null group by lang",
     "quantiles_truncated": _index_sql(_AB, "route", "challenger_completion_tokens", {"p50": 0.5, "p90": 0.9, "p99": 0.99}, "truncate"),
     "quantiles_even": _index_sql(_ENC, "source_language", "source_original_tokens", {"p50": 0.5, "p95": 0.95}, "even"),
