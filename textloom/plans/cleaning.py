@@ -242,7 +242,10 @@ QUERIES = {
     )
 }
 
+_PARTS = f"regexp_split_to_array(regexp_replace(text, '([。！？!?；;])', '\\1' || chr(10), 'g'), '\\n+')"
+
 SQL = {
+    "prose_sentences": f"with p as (select doc_id, {S.collapse('part')} as part from (select doc_id, unnest({_PARTS}) as part from documents)) select doc_id, count(*) as sentences, count(*) filter (regexp_matches(part, {S.quoted(X.TERMINAL + '$')})) as terminated, max(length(part)) as longest from p where part <> '' group by doc_id",
     "clean_reason_counts": f"with {_LINES} select lang, coalesce(reason, 'accepted') as reason, count(*) as segments, sum(coalesce(length(segment), 0))::bigint as characters from reasoned group by all",
     "clean_first_reason": f"with {_LINES} select doc_id, count(*) filter (reason is null) as kept, count(*) filter (reason is not null) as rejected, arg_min(reason, position) filter (reason is not null) as first_reason from reasoned group by doc_id",
     "script_counts": f"select doc_id, {', '.join(f'{S.script("text", s)} as {s}' for s in X.SCRIPTS)}, {' + '.join(f'coalesce({S.script("text", s)} > 0, false)::int' for s in X.SCRIPTS)} >= 2 as mixed from documents",

@@ -218,6 +218,67 @@ _ONCE = "(select distinct on (candidate_id) * from text_candidates)"
 _ENC = "(select distinct on (sample_id) * from encoded_samples)"
 _TAGS = "['eng_Latn', 'zho_Hans', 'zho_Hant', 'jpn_Jpan', 'kor_Hang']"
 
+
+
+def _fill_sql(rows: str, budget: str) -> str:
+    """Greedy fill of ``rows`` (``g, o, size``): each row in order is taken if it fits what is left of the group's budget."""
+    return f"""
+rows_ as (select g, o, size, row_number() over (partition by g order by o) as i from ({rows})),
+walk as (
+  select g, 0::bigint as i, ({budget})::bigint as room, 0::bigint as size, false as taken from rows_ group by g
+  union all
+  select r.g, r.i, case when r.size <= room then room - r.size else room end, r.size, r.size <= room from walk w join rows_ r on r.g = w.g and r.i = w.i + 1
+)"""
+
+
+_SLICED = "select concat_ws('|', coalesce(lang, 'none'), coalesce(domain, 'none')) as g, doc_id as o, length(text)::bigint as size from documents where text is not null and length(text) <= 20000"
+_BALANCE = "(select min(n) from (select sum(length(text)) as n from documents where text is not null and lang is not null group by lang))"
+_BALANCED = f"select lang as g, sha256('{SEED}' || chr(0) || doc_id::varchar) as o, length(text)::bigint as size from documents where text is not null and lang is not null and length(text) <= {_BALANCE}"
+_BATCHES = f"""
+rows_ as (select id, route, coalesce(challenger_completion_tokens, 0)::bigint as n, row_number() over (partition by route order by id) as i from {_AB}),
+walk as (
+  select id, route, i, n, 0::bigint as batch, 1 as held, n as total from rows_ where i = 1
+  union all
+  select r.id, r.route, r.i, r.n, case when held = 16 or total + r.n > 1200 then batch + 1 else batch end, case when held = 16 or total + r.n > 1200 then 1 else held + 1 end,
+    case when held = 16 or total + r.n > 1200 then r.n else total + r.n end
+  from walk w join rows_ r on r.route = w.route and r.i = w.i + 1
+)"""
+_CEILINGS = {"technical": 0.15, "legal_and_government": 0.20}
+
+
+def _ceilings_sql() -> str:
+    """The caps bind each other through the total: lowered in turn until a pass moves none."""
+    names = list(_CEILINGS)
+    state = [f"coalesce(max(n) filter (domain = '{k}'), 0)::bigint as k{i}" for i, k in enumerate(names)]
+    total = f"coalesce(sum(n) filter (domain not in ({', '.join(f"'{k}'" for k in names)})), 0)::bigint as rest"
+    most = lambda i, others: f"least(k{i}, floor({_CEILINGS[names[i]]}::double * ({others}) / (1 - {_CEILINGS[names[i]]}::double))::bigint)"
+    one = most(0, "rest + k1")
+    two = most(1, f"rest + {one}")
+    cases = " ".join(f"when '{k}' then k{i}" for i, k in enumerate(names))
+    return f"""
+with recursive rows_ as (select candidate_id, selection_rank, coalesce(domain, 'unknown') as domain from {_ONCE} where accepted),
+counts as (select domain, count(*) as n from rows_ group by domain),
+caps as (select 0 as step, {', '.join(state)}, {total} from counts union all select step + 1, {one}, {two}, rest from caps where step < 200 and ({one} < k0 or {two} < k1)),
+last_ as (select * from caps order by step desc limit 1),
+ranked as (select *, row_number() over (partition by domain order by selection_rank nulls first, candidate_id) as r from rows_)
+select domain, count(*) as kept, max(selection_rank) as last_rank from ranked, last_ where r <= (case domain {cases} else 9223372036854775807 end) group by domain"""
+
+
+_PLAN = """
+with recursive named as (select distinct provenance.kind as kind, source_language || '->' || target_language as route from encoded_samples where provenance.kind is not null),
+kinds as (select kind, case kind when 'human_parallel' then 3 else 1 end as weight, row_number() over (order by kind) as p from (select distinct kind from named)),
+draws as (
+  select 0 as step, list(kind order by p) as names, list(weight order by p) as weights, list(0 order by p) as current, 0 as best from kinds
+  union all
+  select step + 1, names, weights,
+    list_transform(range(1, len(names) + 1), lambda i: raised[i] - case when i = pick then list_sum(weights) else 0 end), pick
+  from (select *, list_position(raised, list_max(raised)) as pick from (select *, list_transform(range(1, len(names) + 1), lambda i: current[i] + weights[i]) as raised from draws)) where step < 1000
+),
+drawn as (select names[best] as kind, count(*) as n from draws where best > 0 group by 1),
+turns as (select kind, route, row_number() over (partition by kind order by route) as p, count(*) over (partition by kind) as m from named)
+select t.kind, route, (n // m + case when p <= n % m then 1 else 0 end)::bigint as draws from turns t join drawn using (kind)
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -228,6 +289,11 @@ QUERIES = {
 }
 
 SQL = {
+    "domain_ceilings": _ceilings_sql(),
+    "budget_fill": f"with recursive {_fill_sql(_SLICED, '20000')} select g as slice, count(*) as documents, sum(size)::bigint as characters from walk where taken group by g",
+    "balanced_corpus": f"with recursive {_fill_sql(_BALANCED, _BALANCE)} select g as lang, count(*) as documents, sum(size)::bigint as characters from walk where taken group by g",
+    "token_batches": f"with recursive {_BATCHES} select route, batch, count(*) as rows, sum(n)::bigint as tokens, min(id) as first_id, max(id) as last_id from walk group by route, batch",
+    "sampling_plan": _PLAN,
     "route_sample": f"select * from (select id, route, sha256('{SEED}' || chr(0) || route || chr(0) || id) as digest, row_number() over (partition by route order by sha256('{SEED}' || chr(0) || route || chr(0) || id), id) as rank from {_AB}) where rank <= 10",
     "first_per_route": f"select * from (select id, route, row_number() over (partition by route order by id) as rank from {_AB}) where rank <= 5",
     "language_top": f"select * from (select candidate_id, language_tag, domain, selection_rank, row_number() over (partition by language_tag, domain order by selection_rank nulls first, candidate_id) as rank from {_ONCE} where accepted) where rank <= 20",

@@ -51,9 +51,10 @@ def collision_counts(spark, sf_dir):
 
 
 def cross_split_texts(spark, sf_dir):
-    """Texts of a language that stand in more than one split."""
-    rows = load(spark, sf_dir, "locale_records").where("text is not null and text <> ''")
-    return D.crossing_texts(rows, D.identity(F.col("text")), "lang", _split(F.col("split")))
+    """Texts of a language that stand in more than one split, over aligned utterances and text entries."""
+    rows = load(spark, sf_dir, "locale_records").select("lang", "text", "split")
+    rows = rows.unionByName(_entries(spark, sf_dir).select(F.col("language").alias("lang"), "text", F.explode("splits").alias("split")))
+    return D.crossing_texts(rows.where("text is not null and text <> ''"), D.identity(F.col("text")), "lang", _split(F.col("split")))
 
 
 def groups_across_splits(spark, sf_dir):
@@ -113,14 +114,15 @@ def greedy_dedup(spark, sf_dir):
 
 
 def contamination_exact(spark, sf_dir):
-    """Entries and documents whose exact or near identity is that of a held-out passage, whatever its match mode says."""
+    """Entries, documents and other passages whose exact or near identity is that of a held-out passage, whatever its match mode says."""
     entries, documents, items = load(spark, sf_dir, "text_entries", "documents", "reference_records")
     held = items.select("item_id", "policy", D.identity(F.col("text")).alias("exact"), D.near_identity(F.col("text")).alias("near")).distinct()
     rows = entries.select(F.lit("text_entries").alias("record_table"), F.col("entry_id").alias("record_id"), "text").unionByName(
         documents.select(F.lit("documents").alias("record_table"), F.col("doc_id").alias("record_id"), "text")
-    )
+    ).unionByName(items.select(F.lit("reference_records").alias("record_table"), F.col("item_id").alias("record_id"), "text"))
     rows = rows.where("text is not null").select("record_table", "record_id", D.identity(F.col("text")).alias("exact"), D.near_identity(F.col("text")).alias("near")).distinct()
     hits = rows.join(held.select("item_id", "policy", "near", F.col("exact").alias("held")), "near")
+    hits = hits.where((F.col("record_table") != "reference_records") | (F.col("record_id") != F.col("item_id")))
     return hits.select("record_table", "record_id", "item_id", "policy", F.when(F.col("exact") == F.col("held"), "exact").otherwise("near").alias("match"))
 
 
@@ -221,7 +223,25 @@ _SENT = "regexp_split_to_array(regexp_replace(text, '([。！？!?；;.])', '\\1
 _FORMS = f"forms as (select language, form, min(entry_id) as entry_id from (select entry_id, language, {S.collapse('lower(normalized)')} as form from {_TE}) where form <> '' group by all)"
 _GRAMS = "grams as (select distinct entry_id, language, substr('^' || form || '$', i, 3) as g from (select *, unnest(range(1, length(form) + 1)) as i from forms)), sizes as (select entry_id, count(*) as n from grams group by 1)"
 _SIM = f"{_FORMS}, {_GRAMS}, both_ as (select a.entry_id as left_id, b.entry_id as right_id, count(*) as c from grams a join grams b on a.g = b.g and a.language is not distinct from b.language and a.entry_id < b.entry_id group by all), pairs as (select left_id, right_id, c / (x.n + y.n - c) as similarity from both_ join sizes x on x.entry_id = left_id join sizes y on y.entry_id = right_id where c / (x.n + y.n - c) >= 0.82)"
-_IDENT = f"rows_ as (select distinct record_table, record_id, {_ID('text')} as exact, {_NEAR('text')} as near from (select 'text_entries' as record_table, entry_id as record_id, text from text_entries union all select 'documents', doc_id, text from documents) where text is not null)"
+_IDENT = f"rows_ as (select distinct record_table, record_id, {_ID('text')} as exact, {_NEAR('text')} as near from (select 'text_entries' as record_table, entry_id as record_id, text from text_entries union all select 'documents', doc_id, text from documents union all select 'reference_records', item_id, text from reference_records) where text is not null)"
+
+_NF = lambda t: f"nfc_normalize({t})"
+_LOW = lambda t: S.collapse(f"lower({_NF(t)})")
+_SCAN = f"""
+with items as (select distinct item_id, reference_id, policy, coalesce(match_mode, 'exact-and-near') as mode, language, {_NF('text')} as t, {_LOW('text')} as form from reference_records where text is not null),
+ent as (select entry_id, language, {_NF('text')} as t, {_LOW('text')} as form from {_TE} where text is not null),
+exact as (select item_id, reference_id, entry_id from items join ent using (language, t)),
+forms as (select language, form, min(entry_id) as entry_id from ent where form <> '' group by all),
+rest as (select * from items where mode = 'exact-and-near' and (item_id, reference_id) not in (select (item_id, reference_id) from exact)),
+igrams as (select distinct item_id, reference_id, language, substr('^' || form || '$', i, 3) as g from (select *, unnest(range(1, length(form) + 1)) as i from rest)),
+isizes as (select item_id, reference_id, count(*) as n from igrams group by all),
+fgrams as (select distinct language, form, substr('^' || form || '$', i, 3) as g from (select *, unnest(range(1, length(form) + 1)) as i from forms)),
+fsizes as (select language, form, count(*) as n from fgrams group by all),
+met as (select item_id, reference_id, f.language, form, count(*) as c from igrams i join fgrams f on i.g = f.g and i.language is not distinct from f.language group by all),
+scored as (select item_id, reference_id, form, entry_id, c / (s.n + z.n - c) as similarity from met m join isizes s using (item_id, reference_id) join fsizes z using (language, form) join forms f using (language, form) where s.n >= 5),
+near as (select *, row_number() over (partition by item_id, reference_id order by similarity desc, form desc, entry_id desc) as k from scored where similarity >= 0.82),
+found as (select item_id, reference_id, entry_id, 'exact' as match, 1.0::double as similarity from exact union all select item_id, reference_id, entry_id, 'near', round(similarity, 6) from near where k = 1)
+select item_id, reference_id, policy, entry_id, match, similarity from (select distinct item_id, reference_id, policy, mode, language, t from items) left join found using (item_id, reference_id)"""
 
 QUERIES = {
     f.__name__: f
@@ -233,17 +253,18 @@ QUERIES = {
 }
 
 SQL = {
+    "contamination_scan": _SCAN,
     "exact_dedup": f"select sha256(text) as content, min(candidate_id) as candidate_id, count(*) as copies from {_ONCE} where text is not null group by 1",
     "near_identity_dedup": f"select {_NEAR('text')} as near, min(candidate_id) as candidate_id, count(*) as copies from {_ONCE} where text is not null group by 1",
     "dedup_reasons": f"with r as (select candidate_id, language_tag, {_ID('text')} as exact, {_NEAR('text')} as near from {_ONCE} where text is not null), m as (select *, row_number() over w as n, first_value(exact) over w as f from r window w as (partition by near order by candidate_id)) select language_tag, case when n = 1 then 'first' when f = exact then 'exact_duplicate' else 'near_duplicate' end as duplicate, count(*) as records from m group by all",
     "collision_counts": f"with r as (select distinct on (id) id, {_ID('source_text')} as s, {_ID('baseline_translation')} as t from hymt2_decode_ab), k as (select 'source' as field, s as key, count(*) as n from r group by all union all select 'target', t, count(*) from r group by all union all select 'pair', s || t, count(*) from r group by all) select field, count(*) filter (n > 1) as keys, coalesce(sum(n - 1) filter (n > 1), 0)::bigint as surplus from k group by field",
-    "cross_split_texts": f"with r as (select lang as language, {_ID('text')} as text_digest, {_SPLIT('split')} as s from locale_records where text is not null and text <> '' and split is not null) select language, text_digest, string_agg(distinct s, ',' order by s) as splits, count(*) as records from r group by 1, 2 having count(distinct s) > 1",
+    "cross_split_texts": f"with r as (select lang as language, {_ID('text')} as text_digest, {_SPLIT('split')} as s from (select lang, text, split from locale_records union all select language, text, unnest(splits) from {_TE}) where text is not null and text <> '' and split is not null) select language, text_digest, string_agg(distinct s, ',' order by s) as splits, count(*) as records from r group by 1, 2 having count(distinct s) > 1",
     "groups_across_splits": f"with g as (select entry_id, unnest(groups) as group_id, splits from {_TE}), s as (select group_id, {_SPLIT('s')} as s from (select group_id, unnest(splits) as s from g)) select group_id, string_agg(distinct s, ',' order by s) as splits from s group by 1 having count(distinct s) > 1",
     "text_entry_groups": f"with g as (select entry_id, language, normalized, unnest(case when len(groups) > 0 then groups else [null] end) as g from {_TE}) select language, normalized, min(entry_id) as first_entry, count(distinct entry_id) as entries, coalesce(string_agg(distinct g, ',' order by g), '') as groups from g group by 1, 2",
     "shingle_jaccard_pairs": f"with {_SIM} select left_id, right_id, round(similarity, 6) as similarity from pairs",
     "band_jaccard_pairs": f"with {_SIM} select round(similarity, 1) as similarity, count(*) as pairs from pairs group by 1",
     "dedup_components": f"with recursive {_SIM}, edges as (select left_id as a, right_id as b from pairs union select right_id, left_id from pairs), reach as (select entry_id, entry_id as r from forms union select reach.entry_id, edges.b from reach join edges on edges.a = reach.r), comp as (select entry_id, min(r) as class_id from reach group by 1), links as (select a, count(*) as n from edges group by 1) select comp.entry_id, class_id, coalesce(n, 0) as links from comp left join links on a = comp.entry_id",
-    "contamination_exact": f"with {_IDENT}, h as (select distinct item_id, policy, {_ID('text')} as held, {_NEAR('text')} as near from reference_records) select record_table, record_id, item_id, policy, case when exact = held then 'exact' else 'near' end as match from rows_ join h using (near)",
+    "contamination_exact": f"with {_IDENT}, h as (select distinct item_id, policy, {_ID('text')} as held, {_NEAR('text')} as near from reference_records) select record_table, record_id, item_id, policy, case when exact = held then 'exact' else 'near' end as match from rows_ join h using (near) where record_table <> 'reference_records' or record_id <> item_id",
     "contamination_sentences": f"with h as (select distinct item_id, {_NEAR('s')} as near from (select item_id, unnest({_SENT}) as s from reference_records) where length(s) >= 20), d as (select doc_id, {_NEAR('s')} as near from (select doc_id, unnest({_SENT}) as s from documents where text is not null) where length(s) >= 20) select item_id, count(distinct doc_id) as documents, count(*) as sentences from d join h using (near) group by 1",
     "isolation_overlaps": f"with r as (select groups, normalized, {_SPLIT('s')} as s from (select *, unnest(splits) as s from {_TE} where normalized is not null)), t as (select *, case when s = 'train' then 'train' else 'held' end as side from r where s in ('train', 'dev', 'test')), k as (select side, 'exact' as kind, {_ID('normalized')} as key from t union all select side, 'near', {_NEAR('normalized')} from t union all select side, 'group', unnest(groups) from t), b as (select kind, key, count(distinct side) as sides from k group by all) select kind, count(*) as keys, count(*) filter (sides > 1) as shared from b group by 1",
     "group_components": f"with recursive t as (select distinct entry_id, unnest(groups) as g from {_TE}), n as (select distinct a.g as a, b.g as b from t a join t b using (entry_id)), reach as (select distinct g, g as r from t where g is not null union select reach.g, n.b from reach join n on n.a = reach.r) select g as group_id, min(r) as component_id from reach group by 1",
