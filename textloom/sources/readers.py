@@ -10,39 +10,77 @@ import struct
 import tarfile
 import zipfile
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
+from urllib.parse import unquote, urlparse
 from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from textloom.functions import text as X
-from textloom.functions.arrow import map_batches
+from textloom.functions.arrow import map_stream
 
 SENTENCE = re.compile(r"(?<=[。！？!?；;])\s*|\n+")
 #: First bytes of a snapshot of length-prefixed records.
 MAGIC = b"TLRECORDS\x00\x00\x00\x00\x00\x01\x00"
 
 
+#: Rows, and bytes of their text, that a reader hands on at once.
+ROWS, BYTES = 4096, 1 << 23
+
+
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+    """Names of files; what is in them is opened and streamed inside the task that reads it, so no file is held whole."""
+    names = spark.read.format("binaryFile").load(path).select("path")
+    return names.repartition(max(1, spark.sparkContext.defaultParallelism), "path")
+
+
+def opened(name: str) -> BinaryIO:
+    """A file of the shared file system as a seekable stream."""
+    if name.startswith("file:"):
+        return open(unquote(urlparse(name).path), "rb")
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(name)
+    return system.open_input_file(inner)
+
 
+def _exploded(files: DataFrame, schema: str, read: Callable[[str, BinaryIO], Iterator[tuple]]) -> DataFrame:
+    struct = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(struct)
 
-def _exploded(files: DataFrame, schema: str, read: Callable[[str, bytes], Iterator[tuple]]) -> DataFrame:
-    names = [part.strip().split(" ")[0] for part in schema.split(",")]
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
 
-    def work(batch: pa.RecordBatch) -> dict[str, list]:
-        rows = [row for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for row in read(p, c)]
-        return {name: [row[i] for row in rows] for i, name in enumerate(names)}
+        def batch() -> pa.RecordBatch:
+            arrays = [pa.array([row[i] for row in rows], f.type) for i, f in enumerate(arrow)]
+            rows.clear()
+            return pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    return map_batches(files, work, schema)
+        for names in batches:
+            for name in names.column(0).to_pylist():
+                with opened(name) as stream:
+                    for row in read(name, stream):
+                        rows.append(row)
+                        held += sum(len(x) for x in row if isinstance(x, (str, bytes)))
+                        if len(rows) >= ROWS or held >= BYTES:
+                            yield batch()
+                            held = 0
+        if rows:
+            yield batch()
 
+    return map_stream(files, work, struct)
 
-def zst_lines(content: bytes) -> Iterator[str]:
+
+def zst_lines(stream: BinaryIO) -> Iterator[str]:
     """Whole lines of a zstd stream; a frame that is cut off ends them quietly, together with the line it cuts."""
     import zstandard
 
-    reader = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content), read_across_frames=True)
+    reader = zstandard.ZstdDecompressor().stream_reader(stream, read_across_frames=True)
     held = b""
     while True:
         try:
@@ -60,8 +98,8 @@ def zst_lines(content: bytes) -> Iterator[str]:
 def read_jsonl_zst(spark: SparkSession, path: str) -> DataFrame:
     """Objects of compressed JSON lines: ``path, line, text, u``; malformed lines and other values are passed over."""
 
-    def read(name: str, content: bytes) -> Iterator[tuple]:
-        for number, line in enumerate(zst_lines(content), 1):
+    def read(name: str, stream: BinaryIO) -> Iterator[tuple]:
+        for number, line in enumerate(zst_lines(stream), 1):
             try:
                 value = json.loads(line)
             except ValueError:
@@ -102,8 +140,8 @@ def read_digest_list(spark: SparkSession, path: str) -> DataFrame:
 def read_tar_members(spark: SparkSession, path: str, locked: dict[str, tuple[int, str]]) -> DataFrame:
     """Members of tar archives that a lock names, with ``ok``: whether size and SHA-256 are those of the lock."""
 
-    def read(name: str, content: bytes) -> Iterator[tuple]:
-        with tarfile.open(fileobj=io.BytesIO(content)) as archive:
+    def read(name: str, stream: BinaryIO) -> Iterator[tuple]:
+        with tarfile.open(fileobj=stream) as archive:
             for member in archive:
                 if member.isfile() and member.name in locked:
                     body = archive.extractfile(member).read()
@@ -128,8 +166,8 @@ def repeated_keys(rows: DataFrame, *keys: str) -> DataFrame:
 def read_zip_xml(spark: SparkSession, path: str, tag: str = "content") -> DataFrame:
     """Sentences of every ``tag`` element of the XML members of zip archives: ``member, ordinal, text``."""
 
-    def read(name: str, content: bytes) -> Iterator[tuple]:
-        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+    def read(name: str, stream: BinaryIO) -> Iterator[tuple]:
+        with zipfile.ZipFile(stream) as archive:
             for member in sorted(n for n in archive.namelist() if n.lower().endswith(".xml")):
                 ordinal = 0
                 for element in ElementTree.fromstring(archive.read(member)).iter():
@@ -163,8 +201,8 @@ def markdown_sentences(text: str, *, only_quotes: bool = False) -> list[str]:
 def read_zip_markdown(spark: SparkSession, path: str, *, only_quotes: bool = False) -> DataFrame:
     """Prose of the Markdown members of zip archives; sentences that begin in ASCII are code or names and left out."""
 
-    def read(name: str, content: bytes) -> Iterator[tuple]:
-        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+    def read(name: str, stream: BinaryIO) -> Iterator[tuple]:
+        with zipfile.ZipFile(stream) as archive:
             for member in sorted(n for n in archive.namelist() if n.endswith(".md")):
                 sentences = markdown_sentences(archive.read(member).decode("utf-8", "replace"), only_quotes=only_quotes)
                 for ordinal, sentence in enumerate(s for s in sentences if not s[0].isascii()):
@@ -195,11 +233,17 @@ def read_conllu(spark: SparkSession, path: str, last_dialogue: int = 650) -> Dat
     return rows.withColumn("domain", F.when(number <= last_dialogue, "dialogue").otherwise("legal"))
 
 
+def text_lines(stream: BinaryIO) -> Iterator[str]:
+    """Lines of a UTF-8 stream without their ends, a mark at its start left out."""
+    for line in io.TextIOWrapper(stream, "utf-8-sig", "replace", newline=""):
+        yield from line.splitlines() or [""]
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files with their file and number from 1."""
 
-    def read(name: str, content: bytes) -> Iterator[tuple]:
-        for number, line in enumerate(content.decode("utf-8-sig", "replace").splitlines(), 1):
+    def read(name: str, stream: BinaryIO) -> Iterator[tuple]:
+        for number, line in enumerate(text_lines(stream), 1):
             yield name, number, line
 
     return _exploded(_files(spark, path), "path string, line int, text string", read)
@@ -221,7 +265,15 @@ def read_references(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 def file_identities(spark: SparkSession, path: str) -> DataFrame:
     """Size and SHA-256 of files."""
-    return _files(spark, path).select("path", F.length("content").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+    def read(name: str, stream: BinaryIO) -> Iterator[tuple]:
+        digest, size = hashlib.sha256(), 0
+        while chunk := stream.read(1 << 20):
+            digest.update(chunk)
+            size += len(chunk)
+        yield name, size, digest.hexdigest()
+
+    return _exploded(_files(spark, path), "path string, bytes bigint, sha256 string", read)
 
 
 def verify_files(spark: SparkSession, path: str, locked: dict[str, tuple[int, str]]) -> DataFrame:
@@ -254,28 +306,26 @@ def parallel_laws(first: DataFrame, second: DataFrame) -> DataFrame:
     return single(first, "left_text").join(single(second, "right_text"), ["law", "article"])
 
 
-def unpack_records(content: bytes) -> Iterator[bytes]:
+def unpack_records(stream: BinaryIO) -> Iterator[bytes]:
     """Records of a snapshot; a wrong head, a short record or a wrong count is an error."""
-    if content[:16] != MAGIC:
+    if stream.read(16) != MAGIC:
         raise ValueError("not a snapshot of records")
-    (count,) = struct.unpack_from("<Q", content, 16)
-    at = 24
+    (count,) = struct.unpack("<Q", stream.read(8))
     for _ in range(count):
-        (size,) = struct.unpack_from("<Q", content, at)
-        body = content[at + 8 : at + 8 + size]
-        if len(body) != size:
+        head = stream.read(8)
+        body = stream.read(struct.unpack("<Q", head)[0]) if len(head) == 8 else None
+        if body is None or len(body) != struct.unpack("<Q", head)[0]:
             raise ValueError("snapshot ends inside a record")
         yield body
-        at += 8 + size
-    if at != len(content):
+    if stream.read(1):
         raise ValueError("snapshot holds more than it counts")
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """Records of snapshots: ``path, ordinal, record``."""
 
-    def read(name: str, content: bytes) -> Iterator[tuple]:
-        for ordinal, body in enumerate(unpack_records(content)):
+    def read(name: str, stream: BinaryIO) -> Iterator[tuple]:
+        for ordinal, body in enumerate(unpack_records(stream)):
             yield name, ordinal, body
 
     return _exploded(_files(spark, path), "path string, ordinal bigint, record binary", read)
