@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
+from textloom.functions.identity import sha
 from textloom.operators import clean
 from textloom.plans import sqltext as S
+from textloom.plans.identity import SQL as IDENTITY_SQL
+from textloom.plans.identity import hash_split_documents
 from textloom.session import load, spread
 
 RULES = X.CleaningRules()
@@ -35,6 +38,26 @@ def clean_first_reason(spark, sf_dir):
     )
 
 
+def language_build(spark, sf_dir):
+    """A language's corpus in one pass: segments accepted, exact copies inside a split and across splits, and what each split keeps.
+
+    The first accepted segment of a text, by document and position, is kept; a later copy is counted by whether its
+    document is in the same split. Counts by split are aggregated with partial results, so a text that a third of all
+    rows repeat is one partial row a partition.
+    """
+    rows = _segments(spark, sf_dir).where("reason is null")
+    docs = hash_split_documents(spark, sf_dir).select("doc_id", (F.col("split") == "holdout").alias("held"))
+    rows = rows.join(docs, "doc_id").select("lang", sha(F.col("segment")).alias("content"), F.length("segment").alias("characters"), "held", F.struct("doc_id", "position", "held").alias("at"))
+    texts = rows.groupBy("lang", "content").agg(
+        F.count("*").alias("n"), F.count_if("held").alias("held"), F.min("at").alias("first"), F.any_value("characters").alias("characters")
+    )
+    own = F.when(F.col("first.held"), F.col("held")).otherwise(F.col("n") - F.col("held"))
+    return texts.groupBy("lang").agg(
+        F.sum("n").alias("accepted"), F.count("*").alias("kept"), F.sum(own - 1).alias("copies_inside"), F.sum(F.col("n") - own).alias("copies_across"),
+        F.sum(F.when(F.col("first.held"), 0).otherwise(F.col("characters"))).alias("train_characters"), F.sum(F.when(F.col("first.held"), F.col("characters")).otherwise(0)).alias("held_characters"),
+    )
+
+
 def bounded_segment_counts(spark, sf_dir):
     """Segments cut to both caps, with entities resolved, by language and reason."""
     docs = spread(load(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
@@ -236,7 +259,7 @@ for _pattern, _new in _MARKDOWN:
 QUERIES = {
     f.__name__: f
     for f in (
-        clean_reason_counts, clean_first_reason, bounded_segment_counts, script_counts, script_ratio, chinese_variant,
+        clean_reason_counts, clean_first_reason, language_build, bounded_segment_counts, script_counts, script_ratio, chinese_variant,
         character_shares, token_estimates, utterance_reasons, candidate_decisions, prose_sentences, output_filter,
         answer_consistency, character_classes, markdown_prose,
     )
@@ -245,6 +268,7 @@ QUERIES = {
 _PARTS = f"regexp_split_to_array(regexp_replace(text, '([。！？!?；;])', '\\1' || chr(10), 'g'), '\\n+')"
 
 SQL = {
+    "language_build": f"with {_LINES}, d as (select doc_id, split = 'holdout' as held from ({IDENTITY_SQL['hash_split_documents']})), a as (select lang, sha256(segment) as content, length(segment) as characters, held, doc_id, position from reasoned join d using (doc_id) where reason is null), w as (select *, first_value(held) over (partition by lang, content order by doc_id, position) as f, row_number() over (partition by lang, content order by doc_id, position) as k from a) select lang, count(*) as accepted, count(*) filter (k = 1) as kept, count(*) filter (k > 1 and held = f) as copies_inside, count(*) filter (k > 1 and held <> f) as copies_across, coalesce(sum(characters) filter (k = 1 and not held), 0)::bigint as train_characters, coalesce(sum(characters) filter (k = 1 and held), 0)::bigint as held_characters from w group by lang",
     "prose_sentences": f"with p as (select doc_id, {S.collapse('part')} as part from (select doc_id, unnest({_PARTS}) as part from documents)) select doc_id, count(*) as sentences, count(*) filter (regexp_matches(part, {S.quoted(X.TERMINAL + '$')})) as terminated, max(length(part)) as longest from p where part <> '' group by doc_id",
     "clean_reason_counts": f"with {_LINES} select lang, coalesce(reason, 'accepted') as reason, count(*) as segments, sum(coalesce(length(segment), 0))::bigint as characters from reasoned group by all",
     "clean_first_reason": f"with {_LINES} select doc_id, count(*) filter (reason is null) as kept, count(*) filter (reason is not null) as rejected, arg_min(reason, position) filter (reason is not null) as first_reason from reasoned group by doc_id",

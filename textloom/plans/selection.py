@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as X
 from textloom.functions.identity import seeded, sha, stable_rank
 from textloom.operators import dedup as D
+from textloom.operators import sampler as P
 from textloom.operators import select as O
 from textloom.plans import similarity as M
 from textloom.plans import sqltext as S
@@ -213,6 +214,14 @@ def epoch_schedule(spark, sf_dir):
     return draws.where("draw < 400").select("draw", "route", "epoch", "sample_id")
 
 
+def weighted_schedule(spark, sf_dir):
+    """Draws 100 to 499 of a resumed sampler over all routes, those from English twice as often as the others."""
+    rows = load(spark, sf_dir, "encoded_samples").dropDuplicates(["sample_id"]).select("sample_id", F.concat_ws("->", "source_language", "target_language").alias("route"))
+    return P.draws(rows, route="route", key="sample_id", weights=_ROUTE_WEIGHTS, seed=SEED, start=100, count=400)
+
+
+_LANGUAGES = ("eng_Latn", "jpn_Jpan", "kor_Hang", "zho_Hans", "zho_Hant")
+_ROUTE_WEIGHTS = {f"{a}->{b}": 2 if a == "eng_Latn" else 1 for a in _LANGUAGES for b in _LANGUAGES if a != b}
 _AB = "(select distinct on (id) * from hymt2_decode_ab)"
 _ONCE = "(select distinct on (candidate_id) * from text_candidates)"
 _ENC = "(select distinct on (sample_id) * from encoded_samples)"
@@ -279,16 +288,32 @@ turns as (select kind, route, row_number() over (partition by kind order by rout
 select t.kind, route, (n // m + case when p <= n % m then 1 else 0 end)::bigint as draws from turns t join drawn using (kind)
 """
 
+_WEIGHTED = f"""
+with recursive draws as (
+  select 0 as step, {list(_ROUTE_WEIGHTS)} as names, {list(_ROUTE_WEIGHTS.values())} as weights, {[0] * len(_ROUTE_WEIGHTS)} as current, 0 as best
+  union all
+  select step + 1, names, weights, list_transform(range(1, len(names) + 1), lambda i: raised[i] - case when i = pick then list_sum(weights) else 0 end), pick
+  from (select *, list_position(raised, list_max(raised)) as pick from (select *, list_transform(range(1, len(names) + 1), lambda i: current[i] + weights[i]) as raised from draws)) where step < 500
+),
+r as (select sample_id, source_language || '->' || target_language as route from {_ENC}),
+sizes as (select route, count(*) as n from r group by route),
+taken as (select step - 1 as draw, names[best] as route, row_number() over (partition by names[best] order by step) - 1 as nth from draws where best > 0),
+placed as (select draw, route, nth // n as epoch, nth % n as place from taken join sizes using (route) where draw >= 100),
+epochs as (select distinct route, epoch from placed),
+ordered as (select route, epoch, sample_id, row_number() over (partition by route, epoch order by sha256('{SEED}' || chr(0) || epoch::varchar || chr(0) || sample_id), sample_id) - 1 as place from r join epochs using (route))
+select draw, route, epoch, place, sample_id from placed join ordered using (route, epoch, place)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         route_sample, first_per_route, language_top, bottom_candidates, sample_with_long_quota, stratified_interleave, round_robin_batches,
         review_extremes, reject_per_reason, quality_queue, domain_ceilings, host_caps, budget_fill, token_batches, sampling_plan,
-        length_buckets, shard_strata, forced_review, balanced_corpus, source_bank, composite_audit, epoch_schedule,
+        length_buckets, shard_strata, forced_review, balanced_corpus, source_bank, composite_audit, epoch_schedule, weighted_schedule,
     )
 }
 
 SQL = {
+    "weighted_schedule": _WEIGHTED,
     "domain_ceilings": _ceilings_sql(),
     "budget_fill": f"with recursive {_fill_sql(_SLICED, '20000')} select g as slice, count(*) as documents, sum(size)::bigint as characters from walk where taken group by g",
     "balanced_corpus": f"with recursive {_fill_sql(_BALANCED, _BALANCE)} select g as lang, count(*) as documents, sum(size)::bigint as characters from walk where taken group by g",

@@ -2,28 +2,23 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
-from textloom.session import load
+from textloom.operators import vocabulary as V
+from textloom.session import load, spread, write_table
 
+#: File of the public tokenizer that is evaluated.
+TOKENIZER = os.path.join(os.environ.get("TEXTLOOM_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.json")
 
 #: First and last code points of the alphabet a vocabulary must cover.
 ALPHABET_RANGES = (
     (0x21, 0x7E), (0xA1, 0xFF), (0x1100, 0x11FF), (0x3000, 0x30FF), (0x3130, 0x318F), (0xA960, 0xA97F), (0xAC00, 0xD7A3), (0xD7B0, 0xD7FF), (0xFF01, 0xFF9F),
 )
-#: Traditional characters that the reference adds to the two national sets.
-TRADITIONAL = (
-    "臺灣香港澳門國學體醫藥衞風雲龍廣東萬與專業叢絲兩嚴喪個豐臨為麗舉麼義烏樂喬習鄉書買亂爭於虧亞產畝親億僅從侖倉儀們價眾優會"
-    "傘偉傳傷倫偽佇佈佔來侶俠係俁倆側偵儉債傾儲兒兌黨蘭關興養獸內岡冊寫軍農馮沖決況凍淨涼減湊凜幾鳳憑凱擊鑿劃劉則剛創刪別剮製"
-    "剎劑勁動務勛勝勞勢勳勵勸勻匭匯區協單賣盧衛卻廠廳歷厲壓厭廁廂廈廚廢歸當錄彙徑復徵德憶應懷態慣慘慶憂戲戶撲執擴掃揚換據擇擔"
-    "擬擁攔攙攝攜擺搖摺敵數齊齋鬥斷無舊時晉暫術樸機殺雜權條楊極樓標樣樹橋檔檢櫃欄歡歐殲殼毀氣漢湯溝滅滬潔淚潛澤濟濤濕濺燈靈災"
-    "爐愛爺牆獨獲環現電畫異疊療瘋癡發盜盞監盤睜瞞矚礦碼磚禮禍禦種稱穀積穩窩窪窮竄競筆筍築範簽簡糧糾紀約紅級紋納純紙紛紡紐線練"
-    "組細終紹經結給絡絕統綠維綱網綜緊緒緣編緩緬縣縱總績織繼續纖罰罵職聯聰肅腦腳脫臉臘艦艙藝節薦蘇處虛號蟲蠶補裝裡複見規覺覽觀"
-    "觸譽計訂認討訓議訊記講許論訴診詞該詳語誤說請諸諾讀課調談謀謂謝證識譜警譯讓貝貞負財貢貧貨販貪貫責貴貸貿費賀賊賓賜賞賠賢賦"
-    "質賴贊趕趙跡踐車軌軒軟轉輪輯輸辦邊遼達遷過運還這進遠違連遲適選遺郵鄧鄭醜釋鐘鋼錢鍋錯鎖鎮鏡鐵鑄長閃閉問閒間聞閩閥閣閱隊陽"
-    "陰陣階際陸陳險隨隱難雞離靜頂項順須預領頭頻題顏額飛飯飲飾餅館馬馳駕駛驚驗髮鬚魚鳥鳴鴨鷹麥黃點齒齡"
-)
+#: Lead bytes of the frequently used characters of Big5.
+COMMON_TRADITIONAL = (0xA4, 0xC6)
 
 
 def _characters(spark, sf_dir):
@@ -65,10 +60,11 @@ def alphabet_audit(spark, sf_dir):
 
 
 def must_cover_alphabet() -> set[str]:
-    """The reference's alphabet: printable Latin, Jamo, CJK punctuation, kana, Hangul, full-width forms, the Han of GB 2312 and Shift JIS, common traditional Han."""
-    found = {chr(code) for first, last in ALPHABET_RANGES for code in range(first, last + 1)} | set("▁" + TRADITIONAL)
-    for name in ("gb2312", "shift_jis"):
-        for code in range(1 << 16):
+    """Printable Latin, Jamo, CJK punctuation, kana, Hangul, full-width forms, the Han of GB 2312 and Shift JIS, and by rule the frequent ones of Big5."""
+    found = {chr(code) for first, last in ALPHABET_RANGES for code in range(first, last + 1)} | {"▁"}
+    for name in ("gb2312", "shift_jis", "big5"):
+        codes = range(COMMON_TRADITIONAL[0] << 8, (COMMON_TRADITIONAL[1] + 1) << 8) if name == "big5" else range(1 << 16)
+        for code in codes:
             try:
                 char = code.to_bytes(2, "big").decode(name)
             except UnicodeDecodeError:
@@ -88,10 +84,33 @@ def alphabet_states(spark, sf_dir):
 
 
 def word_counts(spark, sf_dir):
-    """English words of the documents in lower case, at least three times, with their counts."""
+    """English words of the documents in lower case, with their counts."""
     docs = load(spark, sf_dir, "documents").where("lang = 'eng_Latn' and text is not null")
     words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("occurrences")).where("occurrences >= 3")
+    return words.groupBy("word").agg(F.count("*").alias("occurrences"))
+
+
+def word_feed(spark, sf_dir):
+    """What a vocabulary trainer is fed: every piece between white space, with the mark of its start, and how often it stands, over all documents."""
+    return V.word_feed(load(spark, sf_dir, "documents"), "text")
+
+
+def tokenizer_evaluation(spark, sf_dir):
+    """Tokens, unknown characters and exact round trips of all documents by language, under a public tokenizer."""
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    return V.evaluation_summary(V.evaluate_texts(docs, ["doc_id", "lang"], "text", TOKENIZER), "lang")
+
+
+def encoded_samples_again(spark, sf_dir):
+    """Translations encoded through a cache of distinct texts: samples, tokens of both sides and cut sides by route."""
+    rows = load(spark, sf_dir, "hymt2_decode_ab").dropDuplicates(["id"]).where("source_text is not null and baseline_translation is not null")
+    rows = rows.select("id", "route", "source_language", "target_language", "source_text", F.col("baseline_translation").alias("target_text"))
+    cache = write_table(V.encode_once(V.text_keys(rows), TOKENIZER), "encoded").frame
+    encoded = V.encode_pairs(rows, cache, most_source=64, most_target=64)
+    return encoded.groupBy("route").agg(
+        F.count("*").alias("samples"), F.sum(F.size("source_ids")).alias("source_tokens"), F.sum(F.size("target_ids")).alias("target_tokens"),
+        F.count_if("source_cut").alias("source_cut"), F.count_if("target_cut").alias("target_cut"),
+    )
 
 
 def word_lengths(spark, sf_dir):
@@ -131,15 +150,16 @@ _COVER = r"'^[\x{21}-\x{7E}\x{3000}-\x{30FF}\x{AC00}-\x{D7A3}\x{4E00}-\x{9FA5}\x
 
 QUERIES = {
     f.__name__: f
-    for f in (char_inventory, char_coverage, shared_han, alphabet_audit, alphabet_states, word_counts, word_lengths, token_utilisation, fertility, distinct_text_keys)
+    for f in (char_inventory, char_coverage, shared_han, alphabet_audit, alphabet_states, word_counts, word_feed, tokenizer_evaluation, encoded_samples_again, word_lengths, token_utilisation, fertility, distinct_text_keys)
 }
 
 SQL = {
+    "word_feed": f"with w as (select unnest(regexp_split_to_array(text, '[{X.WHITE}]+')) as w from documents where text is not null) select '▁' || w as word, count(*) as occurrences from w where w <> '' group by w",
     "char_inventory": f"with {_CHARS} select lang, c as character, n as occurrences from chars",
     "char_coverage": f"with {_CHARS} select lang, count(*) as characters, count(*) filter (regexp_matches(c, {_COVER})) as covered, sum(n)::bigint as occurrences, sum(case when regexp_matches(c, {_COVER}) then n else 0 end)::bigint as covered_occurrences from chars where lang is not null group by lang",
     "shared_han": f"with {_CHARS}, h as (select c, list(distinct lang) as l from chars where regexp_matches(c, '^[{X.SCRIPTS['han']}]$') and lang in ('jpn_Jpan', 'zho_Hans', 'zho_Hant') group by c), p as (select * from (values ('jpn_Jpan', 'zho_Hans'), ('jpn_Jpan', 'zho_Hant'), ('zho_Hans', 'zho_Hant')) t(left_lang, right_lang)) select left_lang, right_lang, count(*) filter (list_contains(l, left_lang) and list_contains(l, right_lang)) as shared, count(*) filter (list_contains(l, left_lang) or list_contains(l, right_lang)) as either from h, p group by all",
     "alphabet_audit": rf"with {_CHARS}, k as (select c, sum(n) as n from chars where regexp_matches(c, '^[\x{{3041}}-\x{{30FE}}]$') group by c), w as (select chr(i::int) as c from range(12353, 12543) t(i)) select case when n is null then 'unused' else 'used' end as state, count(*) as characters, sum(coalesce(n, 0))::bigint as occurrences from w full join k using (c) group by 1",
-    "word_counts": f"with {_WORDS} select word, count(*) as occurrences from words group by word having count(*) >= 3",
+    "word_counts": f"with {_WORDS} select word, count(*) as occurrences from words group by word",
     "word_lengths": f"with {_WORDS}, c as (select word, count(*) as n from words group by word) select length(word) as length, count(*) as words, sum(n)::bigint as occurrences from c group by 1",
     "token_utilisation": "with t as (select source_language, unnest(input_ids) as token from (select distinct on (sample_id) * from encoded_samples)), i as (select source_language, token, count(*) as n from t group by all) select source_language, count(*) as distinct_ids, sum(n)::bigint as occurrences, max(token) as largest, max(token) + 1 = count(*) as dense from i group by 1",
     "fertility": "select language_tag, count(*) as records, sum(characters)::bigint as characters, sum(student_tokens)::bigint as tokens, round(sum(characters) / sum(student_tokens), 6) as characters_per_token from (select distinct on (candidate_id) * from text_candidates) where student_tokens > 0 and student_tokens <= characters * 4 and text is not null group by 1",
