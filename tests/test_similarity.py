@@ -99,3 +99,21 @@ def test_similarity_join_over_many_batches(spark):
     kept = [(t, S.pieces(t)) for t in dict.fromkeys(texts)]
     want = {frozenset((a, b)) for i, (a, x) in enumerate(kept) for b, y in kept[i + 1 :] if x & y and 100 * len(x & y) >= 82 * len(x | y)}
     assert got == want and want
+
+
+def test_blocks_meet_only_themselves(spark):
+    from textloom.operators import setjoin as S
+
+    rows = [(1, "the quiet harbour", "a"), (2, "the quiet harbours", "a"), (3, "the quiet harbour!", "b"), (4, "the quiet harbour?", None), (5, "the quiet harbour.", None)]
+    frame = spark.createDataFrame(rows, "h long, form string, language string")
+    found = S.similar_pairs(frame, frame, S.count_table(frame.select("form")), similar=75, both=True, block="language")
+    assert sorted((r.left_h, r.right_h) for r in found.collect()) == [(1, 2), (4, 5)]
+
+
+def test_classes_of_linked_nodes(spark):
+    from textloom.operators import dedup as D
+
+    pairs = spark.createDataFrame([(1, 2, 0.9), (2, 5, 0.9), (3, 4, 0.9)], "left_id long, right_id long, similarity double")
+    nodes = spark.createDataFrame([(i,) for i in range(1, 7)], "entry_id long")
+    got = {r.entry_id: (r.class_id, r.links) for r in D.linked_classes(pairs, nodes, "entry_id").collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 5: (1, 1), 3: (3, 1), 4: (3, 1), 6: (6, 0)}

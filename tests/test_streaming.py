@@ -61,4 +61,18 @@ def test_top_of_a_stream(spark, tmp_path):
     data = rows(40)[::-1]
     top = f"file://{tmp_path}/top"
     P.merge_top(spark, stream(spark, tmp_path / "a", data, SCHEMA, files=4), top, order=["id"], size=5, checkpoint=str(tmp_path / "c")).awaitTermination()
-    assert sorted(r.id for r in spark.read.parquet(top).collect()) == [0, 1, 2, 3, 4]
+    assert sorted(r.id for r in P.read_top(spark, top).collect()) == [0, 1, 2, 3, 4]
+    versions = P._versions(spark, top)
+    assert 1 <= len(versions) <= 2 and P.read_top(spark, f"file://{tmp_path}/none") is None
+    (tmp_path / "top" / f"version={versions[-1] + 1}").mkdir()  # a batch that died before it was done
+    assert P.read_top(spark, top).count() == 5
+
+
+def test_forgotten_buckets(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    data = [(1, "b", "x", start), (2, "c", "y", start + timedelta(days=9)), (3, "c", "y", start + timedelta(days=9, hours=1)), (4, "b", "x", start + timedelta(days=9, hours=2))]
+    frame = stream(spark, tmp_path / "a", data, "id long, bucket string, text string, ts timestamp", files=4)
+    found = P.online_near_duplicates(frame, bucket="bucket", key="id", text="text", time="ts", late="1 minute", forget_seconds=3600)
+    assert {r.id: r.owner for r in drain(found, "z").collect()} == {1: "1", 2: "2", 3: "2", 4: "4"}

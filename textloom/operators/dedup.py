@@ -8,12 +8,14 @@ from hashlib import blake2b, sha256
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.functions import text as X
+from textloom.functions.arrow import map_stream
 from textloom.functions.identity import sha
 from textloom.operators.graph import components
 from textloom.session import write_table
@@ -95,9 +97,11 @@ def band_pairs(frame: DataFrame, key: str, block: list[str], text: str, *, simil
 
 def linked_classes(pairs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     """Every node with the smallest node it is linked to, and its number of links."""
-    edges = pairs.select(F.explode(F.array("left_id", "right_id")).alias("e"), F.concat_ws("|", "left_id", "right_id").alias("r"))
+    # A pair ties its right node to the record named by its left one, which holds that one as well.
+    edges = pairs.select(F.col("left_id").alias("r"), F.col("right_id").alias("e")).unionByName(pairs.select(F.col("left_id").alias("r"), F.col("left_id").alias("e")).distinct())
     classes = components(edges, "r", "e")
-    links = edges.groupBy("e").agg(F.count("*").alias("links"))
+    ends = pairs.select(F.col("left_id").alias("e")).unionByName(pairs.select(F.col("right_id").alias("e")))
+    links = ends.groupBy("e").agg(F.count("*").alias("links"))
     rows = nodes.select(F.col(key).alias("e")).join(classes.withColumnRenamed("entity", "e"), "e", "left").join(links, "e", "left")
     return rows.select(F.col("e").alias(key), F.coalesce("component", "e").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
@@ -169,38 +173,42 @@ def greedy_near_duplicates(frame: DataFrame, key: str, block: str, text: str, *,
     the result of one pass over everything. Returns ``key, block, verdict`` (kept, exact or near).
     """
 
-    @F.pandas_udf("array<string>")
+    width = 16 * rows  # bytes of a band
+
+    @F.pandas_udf("binary")
     def signature(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [format(v, "x") for v in one_permutation_minhash(t)])
+        return texts.map(lambda t: pack_minhash(one_permutation_minhash(t)))
 
     signed = frame.where(F.col(text).isNotNull()).select(
         F.col(key).alias("k"), F.col(block).alias("b"), sha(F.col(text)).alias("exact"), signature(F.col(text)).alias("sig")
     )
-    buckets = F.transform(
-        F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: sha(F.concat_ws(",", F.col("b"), i.cast("string"), F.array_join(F.slice("sig", i * rows + 1, rows), ",")))
-    )
-    signed = signed.withColumn("buckets", buckets)
+    parts = F.array(*(F.unhex(F.sha2(F.concat(F.encode(F.concat_ws(",", F.col("b"), F.lit(str(i))), "UTF-8"), F.substring("sig", i * width + 1, width)), 256)) for i in range(bands)))
+    signed = signed.withColumn("buckets", parts)
     firsts = signed.groupBy("b", "exact").agg(F.min("k").alias("k"), F.any_value("sig").alias("sig"), F.any_value("buckets").alias("buckets"))
     firsts = write_table(firsts, "firsts").frame  # read twice; signatures are the costly part
     edges = firsts.select(F.explode("buckets").alias("r"), "k")
-    placed = firsts.join(components(edges, "r", "k"), firsts["k"] == F.col("entity"))
-
-    def fold(rows_: pd.DataFrame) -> pd.DataFrame:
-        rows_ = rows_.sort_values("k")
-        owners, verdicts = {}, []
-        for sig, keys in zip(rows_["sig"], rows_["buckets"], strict=True):
-            ours = [int(v, 16) for v in sig]
-            if any(minhash_similarity(ours, owners[x]) >= similarity for x in keys if x in owners):
-                verdicts.append("near")
-                continue
-            for x in keys:
-                owners.setdefault(x, ours)
-            verdicts.append("kept")
-        return pd.DataFrame({"first": rows_["k"], "b": rows_["b"], "exact": rows_["exact"], "verdict": verdicts})
+    placed = firsts.join(components(edges, "r", "k"), firsts["k"] == F.col("entity")).select("k", "b", "exact", "sig", "buckets", "component")
+
+    def fold(batches):
+        current, owners = None, {}
+        for batch in batches:
+            verdicts = []
+            for sig, keys, component in zip(*(batch.column(batch.schema.names.index(n)).to_pylist() for n in ("sig", "buckets", "component")), strict=True):
+                if component != current:
+                    current, owners = component, {}
+                if any(packed_similarity(sig, owners[x]) >= similarity for x in keys if x in owners):
+                    verdicts.append("near")
+                    continue
+                for x in keys:
+                    owners.setdefault(x, sig)
+                verdicts.append("kept")
+            first, b, exact = (batch.column(batch.schema.names.index(n)) for n in ("k", "b", "exact"))
+            yield pa.RecordBatch.from_arrays([first, b, exact, pa.array(verdicts, pa.string())], names=["first", "b", "exact", "verdict"])
 
     kind = frame.schema[key].dataType.simpleString()
     kinds = f"first {kind}, b {frame.schema[block].dataType.simpleString()}, exact string, verdict string"
-    judged = placed.select("k", "b", "exact", "sig", "buckets", "component").groupBy("component").applyInPandas(fold, kinds)
+    # Spark brings a component together and sorts it, which spills; the fold reads it as a stream and holds the owners alone.
+    judged = map_stream(placed.repartition("component").sortWithinPartitions("component", "k"), fold, kinds)
     # A later copy of a kept text is exact; one of a dropped text meets the same owner as that did.
     rows_all = signed.select("k", "b", "exact").join(judged, ["b", "exact"])
     verdict = F.when(F.col("k") == F.col("first"), F.col("verdict")).when(F.col("verdict") == "kept", F.lit("exact")).otherwise(F.lit("near"))

@@ -86,13 +86,18 @@ def capped_shares(counts: dict[str, int], ceilings: dict[str, float]) -> dict[st
 
 
 def with_ceilings(frame: DataFrame, kind: str, order: Sequence[Column | str], ceilings: dict[str, float]) -> DataFrame:
-    """Rows kept under share ceilings by class, the first by ``order``. Only the class counts pass the driver."""
-    counts = {r[kind]: r["n"] for r in frame.groupBy(kind).agg(F.count("*").alias("n")).collect()}
+    """Rows kept under share ceilings by class, the first by ``order``.
+
+    The driver gets one number for each capped class and one for all others together, however many classes there are.
+    """
+    capped = F.when(F.col(kind).isin(*ceilings), F.col(kind)) if ceilings else F.lit(None).cast("string")
+    counts = {r[0]: r[1] for r in frame.groupBy(capped.alias("c")).agg(F.count("*").alias("n")).collect()}
     keep = capped_shares(counts, ceilings)
     limit = F.lit(None).cast("long")
-    for name, size in keep.items():
-        limit = F.when(F.col(kind).eqNullSafe(F.lit(name)), F.lit(size)).otherwise(limit)
-    return top_per_group(frame, [kind], order, limit)
+    for name in ceilings:
+        limit = F.when(F.col(kind) == name, F.lit(keep.get(name, 0))).otherwise(limit)
+    own, others = frame.where(F.col(kind).isin(*ceilings)), frame.where(~F.coalesce(F.col(kind).isin(*ceilings), F.lit(False)))
+    return top_per_group(own, [kind], order, limit).drop("rank").unionByName(others)
 
 
 def _fold(frame: DataFrame, group: str, order: Sequence[str], value: str, start: Callable, step: Callable, mark: str) -> DataFrame:

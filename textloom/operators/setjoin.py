@@ -115,11 +115,12 @@ def count_table(texts: DataFrame) -> np.ndarray:
     return total
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, order: np.ndarray, *, similar: int, both: bool = False) -> DataFrame:
+def similar_pairs(left: DataFrame, right: DataFrame, order: np.ndarray, *, similar: int, both: bool = False, block: str | None = None) -> DataFrame:
     """Pairs of a left and a different right text with a similarity of at least ``similar`` hundredths.
 
     Either side has distinct ``h`` (a key, the same for the same text) and ``form``. With ``both`` the sides are one
-    table and every pair is given once, smaller key first. Returns ``left_h, right_h, similarity``. Texts without a
+    table and every pair is given once, smaller key first. With ``block`` only texts with the same value of that column
+    meet, nulls among themselves. Returns ``left_h, right_h, similarity``. Texts without a
     piece are similar to none.
     """
     spark = left.sparkSession
@@ -139,22 +140,27 @@ def similar_pairs(left: DataFrame, right: DataFrame, order: np.ndarray, *, simil
                 at = np.arange(len(owner)) - (np.cumsum(size) - size)[owner]
                 keep = at < (size - (similar * size + 99) // 100 + 1)[owner]
                 owner, hashes, at = owner[keep], hashes[keep], at[keep]
-                arrays = [pa.array(hashes.view(np.int64)), batch.column(0).take(pa.array(owner)), pa.array(size[owner], pa.int32()), pa.array(at, pa.int32())]
-                yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(words_[owner, i]) for i in range(WORDS))], names=["piece", "h", "n", "at", *(f"s{i}" for i in range(WORDS))])
+                arrays = [pa.array(hashes.view(np.int64)), batch.column(0).take(pa.array(owner)), batch.column(2).take(pa.array(owner)), pa.array(size[owner], pa.int32()), pa.array(at, pa.int32())]
+                yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(words_[owner, i]) for i in range(WORDS))], names=["piece", "h", "block", "n", "at", *(f"s{i}" for i in range(WORDS))])
 
     def keys(side: DataFrame) -> DataFrame:
-        return map_stream(side.select("h", "form"), prefixes, f"piece bigint, h {kind}, n int, at int, {words}")
+        own = F.xxhash64(block) if block else F.lit(0).cast("bigint")  # blocks whose hashes are equal are told apart below
+        return map_stream(side.select("h", "form", own.alias("block")), prefixes, f"piece bigint, h {kind}, block bigint, n int, at int, {words}")
 
     need = f"ceil({similar} * (x.n + y.n) / {100 + similar})"
     apart = " + ".join(f"bit_count(x.s{i} ^ y.s{i})" for i in range(WORDS))
     met = keys(left).alias("x").join(
         keys(right).alias("y"),
         F.expr(
-            f"x.piece = y.piece and x.h {'<' if both else '<>'} y.h and x.n * {similar} <= y.n * 100 and y.n * {similar} <= x.n * 100"
+            f"x.piece = y.piece and x.block = y.block and x.h {'<' if both else '<>'} y.h and x.n * {similar} <= y.n * 100 and y.n * {similar} <= x.n * 100"
             f" and 1 + least(x.n - x.at - 1, y.n - y.at - 1) >= {need} and {apart} <= x.n + y.n - 2 * {need}"
         ),
     )
-    return compared(met.select(F.col("x.h").alias("left_h"), F.col("y.h").alias("right_h")).distinct(), left, right, similar=similar)
+    found = compared(met.select(F.col("x.h").alias("left_h"), F.col("y.h").alias("right_h")).distinct(), left, right, similar=similar)
+    if block is None:
+        return found
+    a, b = left.select(F.col("h").alias("left_h"), F.col(block).alias("_a")), right.select(F.col("h").alias("right_h"), F.col(block).alias("_b"))
+    return found.join(a, "left_h").join(b, "right_h").where(F.col("_a").eqNullSafe(F.col("_b"))).select("left_h", "right_h", "similarity")
 
 
 def compared(pairs: DataFrame, left: DataFrame, right: DataFrame, *, similar: int) -> DataFrame:

@@ -79,13 +79,9 @@ def _forms(spark, sf_dir):
 def _similar(spark, sf_dir):
     """Distinct forms as a table, and their similar pairs within a language."""
     forms = spread(write_table(_forms(spark, sf_dir), "forms").frame)
-    sides = forms.select(F.col("entry_id").alias("h"), "form")
-    pairs = J.similar_pairs(sides, sides, J.count_table(sides.select("form")), similar=82, both=True)
-    tags = forms.select("entry_id", "language")
-    same = pairs.join(tags.select(F.col("entry_id").alias("left_h"), F.col("language").alias("a")), "left_h").join(
-        tags.select(F.col("entry_id").alias("right_h"), F.col("language").alias("b")), "right_h"
-    )
-    return forms, same.where(F.col("a").eqNullSafe(F.col("b"))).select(F.col("left_h").alias("left_id"), F.col("right_h").alias("right_id"), "similarity")
+    sides = forms.select(F.col("entry_id").alias("h"), "form", "language")
+    pairs = J.similar_pairs(sides, sides, J.count_table(sides.select("form")), similar=82, both=True, block="language")
+    return forms, pairs.select(F.col("left_h").alias("left_id"), F.col("right_h").alias("right_id"), "similarity")
 
 
 def shingle_jaccard_pairs(spark, sf_dir):
@@ -199,10 +195,10 @@ def component_splits(spark, sf_dir):
     rows = write_table(entries.withColumn("h", key), "tied").frame
     forms = rows.where("form <> ''").groupBy("h").agg(F.any_value("language").alias("language"), F.any_value("form").alias("form"), F.min("g").alias("g"))
     forms = write_table(forms.where(F.size(D.trigrams(F.col("form"))) >= 5), "forms").frame
-    sides = spread(forms).select("h", "form")
-    pairs = J.similar_pairs(sides, sides, J.count_table(sides.select("form")), similar=82, both=True)
-    one, other = (forms.select(F.col("h").alias(f"{s}_h"), F.col("language").alias(f"{s}_language"), F.col("g").alias(f"{s}_g")) for s in ("left", "right"))
-    near = pairs.join(one, "left_h").join(other, "right_h").where(F.col("left_language").eqNullSafe(F.col("right_language")))
+    sides = spread(forms).select("h", "form", "language")
+    pairs = J.similar_pairs(sides, sides, J.count_table(sides.select("form")), similar=82, both=True, block="language")
+    one, other = (forms.select(F.col("h").alias(f"{s}_h"), F.col("g").alias(f"{s}_g")) for s in ("left", "right"))
+    near = pairs.join(one, "left_h").join(other, "right_h")
     # One group of each form is enough: the others are tied to it through the form.
     near = near.select(F.concat_ws("|", "left_h", "right_h").alias("r"), F.explode(F.array("left_g", "right_g")).alias("g"))
     lists = rows.select(F.concat(F.lit("entry:"), F.col("entry_id").cast("string")).alias("r"), "g")
