@@ -239,3 +239,21 @@ def test_merge_rounds_has_bounded_fan_in(spark):
     whole = merge_rounds(rows.where("k = 1").select("part", "blob"), [], add, 40, fan=3).collect()
     assert [int(r.blob) for r in whole] == [sum(range(40))]
     assert merge_rounds(rows.limit(0), ["k"], add, 1).count() == 0
+
+
+def test_greedy_disjoint_is_the_scan(spark):
+    random.seed(6)
+    rows = [(i, [random.choice("abcdefghijklmnop") + random.choice("xyz") if random.random() > 0.05 else None for _ in range(random.randint(0, 3))]) for i in range(150)]
+    order = {i: random.random() for i, _ in rows}
+    frame = spark.createDataFrame([(i, c, order[i]) for i, c in rows], "id long, c array<string>, o double")
+    for start in ([], ["ax", "by", "cz"]):
+        used, want = set(start), set()
+        for i, claims in sorted(rows, key=lambda r: order[r[0]]):
+            mine = {c for c in claims if c}
+            if not mine & used:
+                want.add(i)
+                used |= mine
+        before = spark.createDataFrame([(c,) for c in start], "claim string")
+        got = select.greedy_disjoint(frame, "id", F.col("o"), F.col("c"), used=before)
+        assert {r.id for r in got.collect()} == want and got.columns == frame.columns
+    assert select.greedy_disjoint(frame.limit(0), "id", F.col("o"), F.col("c")).count() == 0

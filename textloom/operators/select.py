@@ -66,6 +66,42 @@ def exact_or_near_first(frame: DataFrame, near: str, exact: str, order: str) ->
     return rows.withColumn("duplicate", label).drop("_near", "_first")
 
 
+def greedy_disjoint(frame: DataFrame, key: str, rank: Column, claims: Column, *, used: DataFrame | None = None, max_rounds: int = 500) -> DataFrame:
+    """Rows taken in the order of ``rank``, each unless an earlier taken row holds one of its claims: the frame's taken rows.
+
+    The scan is sequential by definition, its result is not: a row that is first at all of its claims is taken, whatever
+    holds a claim of a taken row is out, and the rest goes on the same way. With ranks that are digests a few rounds
+    suffice, each a table of keys and claims. ``used`` (``claim``) is taken beforehand; null claims bind nothing, and a row without
+    any claim is taken. Ranks are distinct; ``key`` is unique.
+    """
+    rows = write_table(frame.withColumn("_rank", rank).withColumn("_claims", F.array_distinct(F.array_compact(claims))), "ranked").frame
+    spread = rows.select(F.col(key).alias("k"), F.col("_rank").alias("r"), F.explode_outer("_claims").alias("claim"))
+    free = spread.where("claim is null").select("k")
+    open_ = spread.where("claim is not null")
+    if used is not None:
+        barred = open_.join(used.select("claim").distinct(), "claim", "left_semi").select("k").distinct()
+        open_ = open_.join(barred, "k", "left_anti")
+    open_, taken = write_table(open_, "open"), [write_table(free, "taken")]
+    for _ in range(max_rounds):
+        if open_.frame.limit(1).count() == 0:
+            break
+        first = open_.frame.groupBy("claim").agg(F.min("r").alias("first"))
+        won = open_.frame.join(first, "claim").groupBy("k").agg(F.bool_and(F.col("r") == F.col("first")).alias("won")).where("won").select("k")
+        won = write_table(won, "taken")
+        taken.append(won)
+        held = open_.frame.join(won.frame, "k", "left_semi").select("claim").distinct()
+        out = open_.frame.join(held, "claim", "left_semi").select("k").distinct()
+        rest = write_table(open_.frame.join(out, "k", "left_anti"), "open")
+        open_.drop()
+        open_ = rest
+    else:
+        raise RuntimeError("the selection did not settle")
+    keys = taken[0].frame
+    for part in taken[1:]:
+        keys = keys.unionByName(part.frame)
+    return rows.join(keys.withColumnRenamed("k", key), key, "left_semi").drop("_rank", "_claims")
+
+
 def capped_shares(counts: dict[str, int], ceilings: dict[str, float]) -> dict[str, int]:
     """Rows to keep of each class so that capped classes meet their share of the final total.
 

@@ -12,7 +12,7 @@ from textloom.operators import sampler as P
 from textloom.operators import select as O
 from textloom.plans import similarity as M
 from textloom.plans import sqltext as S
-from textloom.session import load
+from textloom.session import load, write_table
 
 SEED = "route-sample-v1"
 
@@ -191,6 +191,27 @@ def source_bank(spark, sf_dir):
     return O.top_per_group(rows, ["language_tag"], ["selection_rank", "candidate_id"], 40)
 
 
+def role_selection(spark, sf_dir):
+    """Candidates for two roles, 40 and then 120 by rank: none shares its record, its exact or its near text with one taken before, in either role."""
+    rows = _candidates(spark, sf_dir).where("accepted and text is not null").select(
+        "candidate_id", F.concat(F.lit("g:"), F.concat_ws("|", "source_id", "source_record_id")).alias("g"), "source_record_id",
+        F.concat(F.lit("e:"), D.identity(F.col("text"))).alias("e"), F.concat(F.lit("n:"), D.near_identity(F.col("text"))).alias("n"),
+    )
+    rows = rows.withColumn("claims", F.array(F.when(F.col("source_record_id").isNotNull(), F.col("g")), "e", "n"))
+    used, found = None, []
+    for role, size in _ROLES:
+        digest = F.struct(seeded(role, F.col("candidate_id").cast("string")).alias("d"), "candidate_id")
+        taken = O.greedy_disjoint(rows, "candidate_id", digest, F.col("claims"), used=used)
+        first = write_table(O.bottom_k(taken.withColumn("d", digest), ["d"], size), "role").frame
+        found.append(first.select(F.lit(role).alias("role"), F.row_number().over(W.orderBy("d")).alias("position"), "candidate_id"))  # of the few taken
+        claims = first.select(F.explode(F.array_compact("claims")).alias("claim"))
+        used = claims if used is None else used.unionByName(claims)
+    return found[0].unionByName(found[1])
+
+
+_ROLES = (("dev", 40), ("train", 120))
+
+
 def composite_audit(spark, sf_dir):
     """Union of human and teacher samples by kind: ids and content that repeat, groups both kinds use, routes covered."""
     rows = load(spark, sf_dir, "encoded_samples").select(F.col("provenance.kind").alias("kind"), "sample_id", "sample_group_id", F.concat_ws("->", "source_language", "target_language").alias("route"), sha(F.concat_ws("|", F.array_join(F.col("input_ids").cast("array<string>"), ","), F.array_join(F.col("labels").cast("array<string>"), ","))).alias("content"))
@@ -303,16 +324,39 @@ epochs as (select distinct route, epoch from placed),
 ordered as (select route, epoch, sample_id, row_number() over (partition by route, epoch order by sha256('{SEED}' || chr(0) || epoch::varchar || chr(0) || sample_id), sample_id) - 1 as place from r join epochs using (route))
 select draw, route, epoch, place, sample_id from placed join ordered using (route, epoch, place)"""
 
+_CLAIMED = f"""
+rows_ as (select candidate_id, list_filter([case when source_record_id is not null then 'g:' || concat_ws('|', source_id, source_record_id) end, 'e:' || {M._ID('text')}, 'n:' || {M._NEAR('text')}], lambda x: x is not null) as claims
+  from {_ONCE} where accepted and text is not null)"""
+
+
+def _role_sql(role: str, size: int, start: str) -> str:
+    return f"""
+{role}_rows as (select *, row_number() over (order by sha256('{role}' || chr(0) || candidate_id::varchar), candidate_id) as i from rows_),
+{role}_walk as (
+  select 0::bigint as i, {start} as used, 0 as n, false as took, null::bigint as candidate_id
+  union all
+  select r.i, case when n < {size} and not list_has_any(used, r.claims) then list_concat(used, r.claims) else used end,
+    n + case when n < {size} and not list_has_any(used, r.claims) then 1 else 0 end, n < {size} and not list_has_any(used, r.claims), r.candidate_id
+  from {role}_walk w join {role}_rows r on r.i = w.i + 1 where n < {size}
+)"""
+
+
+_ROLE_SELECTION = (
+    f"with recursive {_CLAIMED}, {_role_sql('dev', 40, '[]::varchar[]')}, {_role_sql('train', 120, '(select used from dev_walk order by i desc limit 1)')} "
+    + " union all ".join(f"select '{role}' as role, n::int as position, candidate_id from {role}_walk where took" for role, _ in _ROLES)
+)
+
 QUERIES = {
     f.__name__: f
     for f in (
         route_sample, first_per_route, language_top, bottom_candidates, sample_with_long_quota, stratified_interleave, round_robin_batches,
         review_extremes, reject_per_reason, quality_queue, domain_ceilings, host_caps, budget_fill, token_batches, sampling_plan,
-        length_buckets, shard_strata, forced_review, balanced_corpus, source_bank, composite_audit, epoch_schedule, weighted_schedule,
+        length_buckets, shard_strata, forced_review, balanced_corpus, source_bank, role_selection, composite_audit, epoch_schedule, weighted_schedule,
     )
 }
 
 SQL = {
+    "role_selection": _ROLE_SELECTION,
     "weighted_schedule": _WEIGHTED,
     "domain_ceilings": _ceilings_sql(),
     "budget_fill": f"with recursive {_fill_sql(_SLICED, '20000')} select g as slice, count(*) as documents, sum(size)::bigint as characters from walk where taken group by g",
