@@ -34,6 +34,18 @@ select distinct a.doc_id as left_doc_id, b.doc_id as right_doc_id
 from windows a join windows b on a.h = b.h and a.w = b.w and a.doc_id < b.doc_id
 """
 
+P10_SHARES = """
+with windows as (
+  select doc_id, i, hash(substr(text, i, 200)) as h, substr(text, i, 200) as w
+  from (select doc_id, text, unnest(range(1, length(text) - 198)) as i from documents where length(text) >= 200)
+), held as (select h, w from windows group by h, w having count(distinct doc_id) > 1),
+marked as (select distinct doc_id, i from windows join held using (h, w)),
+parts as (select doc_id, least(200, coalesce(lead(i) over (partition by doc_id order by i) - i, 200)) as n from marked),
+sums as (select doc_id, sum(n)::bigint as n from parts group by doc_id)
+select doc_id, coalesce(length(text), 0) as characters, coalesce(n, 0) as shared, coalesce(n, 0) / nullif(length(text), 0) as share
+from documents left join sums using (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p10_found": P10_FOUND}
+    return {"p1_found": P1_FOUND, "p10_found": P10_FOUND, "p10_shares": P10_SHARES}
