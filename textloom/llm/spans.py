@@ -31,6 +31,8 @@ GRAM = 64
 CELLS, PER_SLICE = 20, 1 << 18
 #: Windows of a partition that are counted at once.
 HELD = 1 << 22
+#: Places whose surroundings are handed on at once.
+OUT = 8192
 #: Characters hashed at once.
 CHUNK = 1 << 20
 
@@ -264,17 +266,28 @@ def window_classes(documents: DataFrame, *, key: str, text: str, span: int) -> t
     wanted = wanted.join(first, "same")
     side = span - GRAM
 
-    def cut(batch: pa.RecordBatch) -> dict[str, list]:
-        out: dict[str, list] = {n: [] for n in ("window", "same", "place", "around", "before")}
-        for digest, body, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for spot in at:
-                place = spot["place"]
-                for name, value in zip(out, (spot["window"], digest, place, body[max(0, place - side) : place + GRAM + side], min(place, side)), strict=True):
-                    out[name].append(value)
-        return out
+    schema = pa.schema([("window", pa.int64()), ("same", pa.binary()), ("place", pa.int32()), ("around", pa.string()), ("before", pa.int32())])
+
+    def cut(batches):
+        rows: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            rows.clear()
+            return out
+
+        for whole in batches:
+            for digest, body, at in zip(*(c.to_pylist() for c in whole.columns), strict=True):
+                for spot in at:
+                    place = spot["place"]
+                    rows.append((spot["window"], digest, place, body[max(0, place - side) : place + GRAM + side], min(place, side)))
+                    if len(rows) == OUT:
+                        yield batch()
+        if rows:
+            yield batch()
 
     held = wanted.join(rows, ["k", "same"]).select("same", "x", "at")
-    around = map_batches(held, cut, "window bigint, same binary, place int, around string, before int")
+    around = map_stream(held, cut, "window bigint, same binary, place int, around string, before int")
     around = write_table(around.withColumn("class", F.unhex(F.md5(F.concat_ws("|", "before", "around")))), "around").frame
     classes = around.groupBy("window", "class").agg(
         F.any_value("around").alias("around"), F.any_value("before").alias("before"), (F.min("same") < F.max("same")).alias("several")
