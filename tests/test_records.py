@@ -129,3 +129,20 @@ def test_run_log_goes_on_after_a_crash(spark, tmp_path):
 def test_configurations_differ_only_where_allowed():
     a, b = {"name": "x", "data": {"path": "p", "n": 1}}, {"name": "y", "data": {"path": "q", "n": 1}, "more": {}}
     assert R.differing_fields(a, b) == ["data.path", "more", "name"] and R.differing_fields(a, b, ["name", "data.path", "more"]) == []
+
+
+def test_a_resumed_run_equals_the_whole_one(spark, tmp_path):
+    whole, halves = str(tmp_path / "a"), str(tmp_path / "b")
+    with R.RunLog(whole) as log:
+        for i in range(6):
+            log.append("step", loss=i * 0.5)
+    for part in (range(3), range(3, 6)):
+        with R.RunLog(halves) as log:
+            log.append("start")
+            for i in part:
+                log.append("step", loss=i * 0.5)
+    schema = "sequence long, event string, loss double"
+    logs = [R.read_run_log(spark, p, schema) for p in (whole, halves)]
+    assert R.log_differences(*logs, ["loss"], events=["step"]).count() == 0
+    changed = logs[1].withColumn("loss", F.when(F.col("loss") == 2.0, 9.0).otherwise(F.col("loss")))
+    assert [(r.place, r.first, r.second) for r in R.log_differences(logs[0], changed, ["loss"], events=["step"]).collect()] == [(5, '{"v":2.0}', '{"v":9.0}')]

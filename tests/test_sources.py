@@ -114,3 +114,47 @@ def test_directory(tmp_path):
     for body in (b"1", b"2"):
         Wr.publish_directory(str(tmp_path / "d"), {"a": body})
     assert (tmp_path / "d" / "a").read_bytes() == b"2" and json.loads((tmp_path / "d" / "manifest.json").read_text())["files"]["a"]["bytes"] == 1
+
+
+def test_objects_in_one_file(spark, tmp_path):
+    frame = spark.createDataFrame([(i, f"行 {i}") for i in range(1000)], "z int, a string").repartition(7)
+    done = Wr.write_objects(frame, f"file://{tmp_path}/o.jsonl", ["z"])
+    body = (tmp_path / "o.jsonl").read_bytes()
+    assert done == {"bytes": len(body), "records": 1000, "sha256": hashlib.sha256(body).hexdigest()}
+    assert [json.loads(line)["z"] for line in body.splitlines()] == list(range(1000)) and len(list(tmp_path.iterdir())) <= 2
+    assert Wr.write_objects(frame.limit(0), f"file://{tmp_path}/o.jsonl", ["z"])["records"] == 0
+
+
+def test_finalized_corpus_is_published_or_blocked(spark, tmp_path):
+    from textloom.sources import records
+
+    frame = spark.createDataFrame([("a", "train"), ("b", "train"), ("c", "dev")], "id string, split string")
+    groups = spark.createDataFrame([("g",)], "group string")
+    given = dict(split="split", splits=["train", "dev", "test"], order=["id"], groups=groups, report={"pairs": 3}, identity={"v": 1}, registry_complete=True)
+    root = f"file://{tmp_path}"
+    entry = Wr.publish_splits(frame, root, blocking=0, **given)
+    assert entry["records"] == 3 and entry["files"]["test"]["records"] == 0
+    assert sorted((r.split, r.id) for r in records.load_finalized(spark, f"{root}/finalized", "id string").collect()) == [("dev", "c"), ("train", "a"), ("train", "b")]
+    for blocking, complete in ((2, True), (0, False)):
+        with pytest.raises(Wr.Blocked):
+            Wr.publish_splits(frame, root, blocking=blocking, **(given | {"registry_complete": complete}))
+        assert not (tmp_path / "finalized" / "manifest.json").exists() and json.loads((tmp_path / "reports" / "blocked.json").read_text())["status"] == "blocked"
+    Wr.publish_splits(frame, root, blocking=0, **given)
+    assert not (tmp_path / "reports" / "blocked.json").exists()
+
+
+def test_results_are_published_once(spark, tmp_path):
+    frame = spark.createDataFrame([("s1", 0.5)], "id string, score double")
+    entry = Wr.publish_results(frame, f"file://{tmp_path}/e", ["id"], {"bleu": 3.5}, {"data": "x"})
+    assert set(entry["files"]) == {"samples.jsonl", "summary.json", "report.md"} and "| bleu | 3.5 |" in (tmp_path / "e" / "report.md").read_text()
+    with pytest.raises(Wr.Blocked):
+        Wr.publish_results(frame, f"file://{tmp_path}/e", ["id"], {}, {})
+
+
+def test_transfer_checks_what_it_moves(spark, tmp_path):
+    (tmp_path / "a").write_bytes(b"one")
+    digest = hashlib.sha256(b"one").hexdigest()
+    with pytest.raises(ValueError):
+        Wr.transfer(spark, f"file://{tmp_path}/a", f"file://{tmp_path}/x/b", size=4, sha256=digest)
+    Wr.transfer(spark, f"file://{tmp_path}/a", f"file://{tmp_path}/x/b", size=3, sha256=digest)
+    assert (tmp_path / "x" / "b").read_bytes() == b"one" and not (tmp_path / "a").exists()

@@ -308,3 +308,20 @@ def differing_fields(first: Mapping[str, Any], second: Mapping[str, Any], allowe
     return sorted(k for k in a.keys() | b.keys() if a.get(k, marker) != b.get(k, marker) and k not in allowed)
 
 
+
+
+def log_differences(first: DataFrame, second: DataFrame, fields: Sequence[str], *, events: Sequence[str]) -> DataFrame:
+    """Where a run that was interrupted and resumed differs from one that was not: ``event, place, field, first, second``.
+
+    Both are run logs; only the named events and fields are compared, each event by its place among its kind, so the
+    marks that a resumption leaves behind do not count.
+    """
+    from pyspark.sql import Window as W
+
+    def side(frame: DataFrame, name: str) -> DataFrame:
+        place = F.row_number().over(W.partitionBy("event").orderBy("sequence"))
+        values = F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*(F.to_json(F.struct(F.col(f).alias("v"))) for f in fields)))
+        return frame.where(F.col("event").isin(*events)).select("event", place.alias("place"), F.explode(values).alias("field", name))
+
+    both = side(first, "first").join(side(second, "second"), ["event", "place", "field"], "full")
+    return both.where(~F.col("first").eqNullSafe(F.col("second")))
