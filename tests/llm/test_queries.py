@@ -62,3 +62,14 @@ def test_every_document_has_ids(spark):
     got = {r.doc_id: len(r.ids) for r in Q.p8_ids(spark, DATA).collect()}
     assert got.keys() == {r.doc_id for r in documents.select("doc_id").collect()}
     assert all((got[r.doc_id] == 0) == (not r.text) for r in documents.select("doc_id", "text").collect())
+
+
+@pytest.mark.parametrize("name", ["p1_splits", "p2_records", "p3_found", "p4_found", "p5_matches", "p6_shares", "p7_found", "p8_ids", "p9_found", "p10_shares"])
+def test_batches_do_not_matter(spark, name):
+    """Tasks of many Arrow batches give what tasks of one give."""
+    first = sorted(map(repr, Q.queries()[name](spark, DATA).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(map(repr, Q.queries()[name](spark, DATA).collect())) == first
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
