@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from textloom.session import Table, write_table
@@ -37,12 +37,12 @@ def components(edges: DataFrame, record: str, entity: str, *, max_rounds: int =
         step = write_table(moved, "step")
         up = step.frame.select(F.col("e").alias("l"), F.col("l").alias("up"))
         jumped = step.frame.join(up, "l", "left").select("e", F.least("l", F.coalesce("up", "l")).alias("l"), "was")
-        new = write_table(jumped, "labels")
+        seen = Observation()  # counted while the labels are written; counted twice by a task that runs again, but never none for some
+        new = write_table(jumped.observe(seen, F.count_if(F.col("l") != F.col("was")).alias("changed")), "labels")
         step.drop()
         labels.drop()
-        changed = new.frame.where("l <> was").limit(1).count()
         labels = Table(new.spark, new.frame.select("e", "l"), new.path)
-        if not changed:
+        if not seen.get.get("changed", 0):
             break
     else:
         raise RuntimeError("label propagation did not settle")

@@ -144,8 +144,8 @@ def similar_pairs(left: DataFrame, right: DataFrame, order: np.ndarray, *, simil
                 yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(words_[owner, i]) for i in range(WORDS))], names=["piece", "h", "block", "n", "at", *(f"s{i}" for i in range(WORDS))])
 
     def keys(side: DataFrame) -> DataFrame:
-        own = F.xxhash64(block) if block else F.lit(0).cast("bigint")  # blocks whose hashes are equal are told apart below
-        return map_stream(side.select("h", "form", own.alias("block")), prefixes, f"piece bigint, h {kind}, block bigint, n int, at int, {words}")
+        own = F.coalesce(F.concat(F.lit("="), F.col(block).cast("string")), F.lit("")) if block else F.lit("")
+        return map_stream(side.select("h", "form", own.alias("block")), prefixes, f"piece bigint, h {kind}, block string, n int, at int, {words}")
 
     need = f"ceil({similar} * (x.n + y.n) / {100 + similar})"
     apart = " + ".join(f"bit_count(x.s{i} ^ y.s{i})" for i in range(WORDS))
@@ -156,11 +156,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, order: np.ndarray, *, simil
             f" and 1 + least(x.n - x.at - 1, y.n - y.at - 1) >= {need} and {apart} <= x.n + y.n - 2 * {need}"
         ),
     )
-    found = compared(met.select(F.col("x.h").alias("left_h"), F.col("y.h").alias("right_h")).distinct(), left, right, similar=similar)
-    if block is None:
-        return found
-    a, b = left.select(F.col("h").alias("left_h"), F.col(block).alias("_a")), right.select(F.col("h").alias("right_h"), F.col(block).alias("_b"))
-    return found.join(a, "left_h").join(b, "right_h").where(F.col("_a").eqNullSafe(F.col("_b"))).select("left_h", "right_h", "similarity")
+    return compared(met.select(F.col("x.h").alias("left_h"), F.col("y.h").alias("right_h")).distinct(), left, right, similar=similar)
 
 
 def compared(pairs: DataFrame, left: DataFrame, right: DataFrame, *, similar: int) -> DataFrame:
