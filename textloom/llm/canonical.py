@@ -210,7 +210,8 @@ def canonical_text(frame: DataFrame, text: str, *, key: list[str]) -> DataFrame:
     wanted = base.where("odd is not null").select(F.explode("odd").alias("token"), record.alias("r"))
     wanted = wanted.groupBy("token").agg((F.min("r") < F.max("r")).alias("several"))
     words = F.transform(F.regexp_extract_all("base", F.lit(WORD_TOKENS), F.lit(1)), F.lower)
-    clean = base.select(F.explode(F.array_distinct(F.concat(words, F.regexp_extract_all("base", F.lit(UNSPACED_TOKENS), F.lit(1))))).alias("token"))
+    pairs = F.when(F.rlike("base", F.lit(f"[{_AMBIGUOUS}]")), F.regexp_extract_all("base", F.lit(UNSPACED_TOKENS), F.lit(1))).otherwise(F.array())
+    clean = base.select(F.explode(F.array_distinct(F.concat(words, pairs))).alias("token"))
     clean = clean.groupBy("token").agg(F.lit(1).alias("seen"))
     word = F.col("token").rlike(f"^{WORD_TOKENS}$")
     accepted = wanted.join(clean, "token", "left").where((F.col("seen") == 1) | (F.col("several") & word)).select("token")
