@@ -97,3 +97,12 @@ def test_a_template_in_many_texts_is_one_class(spark):
     inner = classes.where("several").count()
     assert inner >= 3 and members.count() >= 40 * inner
     assert spans.span_pairs(frame, key="doc_id", text="text").count() == 40 * 39 // 2
+
+
+def test_records_without_a_key_share_nothing(spark):
+    random.seed(3)
+    body = "".join(random.choice("abcdefgh ") for _ in range(400))
+    frame = spark.createDataFrame([(None, body), (1, body[50:] + "x"), (2, body), (None, None)], "doc_id long, text string")
+    assert [tuple(r) for r in spans.span_pairs(frame, key="doc_id", text="text").collect()] == [(1, 2)]
+    assert {r.doc_id: r.shared for r in spans.shared_shares(frame, key="doc_id", text="text").collect()} == {1: 350, 2: 350}
+    assert spans.shared_shares(frame.where("doc_id = 1"), key="doc_id", text="text").first().shared == 0

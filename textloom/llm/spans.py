@@ -257,7 +257,7 @@ def window_classes(documents: DataFrame, *, key: str, text: str, span: int) -> t
     ``span - GRAM`` characters to each side - are one class: ``window, class, around, before`` and ``several``, whether
     different texts are in it. However many texts hold a template, its class is compared with the others once.
     """
-    rows = documents.where(F.length(text) >= span).select(F.col(key).alias("k"), F.unhex(F.md5(text)).alias("same"), F.col(text).alias("x"))
+    rows = documents.where((F.length(text) >= span) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.unhex(F.md5(text)).alias("same"), F.col(text).alias("x"))
     windows = write_table(selected_windows(rows, span), "windows").frame
     repeated = write_table(repeated_windows(windows), "repeated").frame
     # The text of each digest that is asked for is read from one of its copies, by its key: copies do not travel.
@@ -341,8 +341,8 @@ def shared_stretches(classes: DataFrame, span: int) -> DataFrame:
 def span_pairs(documents: DataFrame, *, key: str, text: str, span: int = 200) -> DataFrame:
     """Pairs of different records that share a stretch of at least ``span`` code points, smaller key first.
 
-    Null texts and those shorter than ``span`` share nothing; a record delivered twice counts once; an empty table gives
-    no pairs. Classes of surroundings are compared, not records; the records of two classes that share a stretch are put
+    Null texts, those shorter than ``span`` and records without a key share nothing; a record delivered twice counts once;
+    an empty table gives no pairs. Classes of surroundings are compared, not records; the records of two classes that share a stretch are put
     back at the end, and so are exact copies.
     """
     classes, members = window_classes(documents, key=key, text=text, span=span)
@@ -351,7 +351,7 @@ def span_pairs(documents: DataFrame, *, key: str, text: str, span: int = 200) ->
     lhs = members.select("window", F.col("class").alias("left"), F.col("same").alias("a")).distinct()
     rhs = members.select("window", F.col("class").alias("right"), F.col("same").alias("b")).distinct()
     texts = found.join(lhs, ["window", "left"]).join(rhs, ["window", "right"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    records = documents.where(F.length(text) >= span).select(F.col(key).alias("k"), F.unhex(F.md5(text)).alias("same")).distinct()
+    records = documents.where((F.length(text) >= span) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.unhex(F.md5(text)).alias("same")).distinct()
     across = texts.join(records.select(F.col("k").alias("i"), F.col("same").alias("a")), "a")
     across = across.join(records.select(F.col("k").alias("j"), F.col("same").alias("b")), "b").select("i", "j")
     copied = records.groupBy("same").count().where(F.col("count") > 1).select("same")
@@ -364,7 +364,8 @@ def span_pairs(documents: DataFrame, *, key: str, text: str, span: int = 200) ->
 def shared_shares(documents: DataFrame, *, key: str, text: str, span: int = 200) -> DataFrame:
     """For every record how many of its code points stand, in stretches of at least ``span``, in another record too.
 
-    Returns the key, ``characters``, ``shared`` and ``share``; null and empty texts have 0 of 0 and a null share. A class
+    Returns the key, ``characters``, ``shared`` and ``share``; null and empty texts have 0 of 0 and a null share. Records
+    without a key count for nothing and give no row; an empty table gives none. A class
     of surroundings has few different stretches, however many texts are in it, and only those meet its members. The
     stretches of a text are merged per text from distinct rows, whose number is bounded by the text's own length and
     not by the number of records it shares them with.
@@ -382,7 +383,7 @@ def shared_shares(documents: DataFrame, *, key: str, text: str, span: int = 200)
             " 'sum', acc.sum + greatest(0, x.b - greatest(acc.end, x.a))), acc -> acc.sum)"
         ).alias("part"),
     )
-    rows = documents.select(F.col(key).alias("k"), F.coalesce(F.length(text), F.lit(0)).alias("characters"), F.unhex(F.md5(text)).alias("same")).distinct()
+    rows = documents.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.coalesce(F.length(text), F.lit(0)).alias("characters"), F.unhex(F.md5(text)).alias("same")).distinct()
     copies = rows.where(F.col("characters") >= span).groupBy("same").agg(F.count("*").alias("copies"))
     joined = rows.join(copies, "same", "left").join(covered, "same", "left")
     shared = F.when(F.col("copies") > 1, F.col("characters")).otherwise(F.coalesce("part", F.lit(0)))
