@@ -126,6 +126,13 @@ def test_packed_signatures():
         dedup.packed_similarity(bytes(16), bytes(32))
 
 
+def test_signatures_of_many_texts(monkeypatch):
+    random.seed(9)
+    texts = ["", None, "abcd", "abcde", "  a  b   c d e f "] + ["".join(random.choice("ab学 ") for _ in range(random.randint(0, 200))) for _ in range(60)]
+    want = [dedup.pack_minhash(dedup.one_permutation_minhash(t or "")) for t in texts]
+    assert dedup.packed_signatures(texts) == want and dedup.packed_signatures(texts[:2]) == want[:2] and dedup.packed_signatures([]) == []
+
+
 def test_command_line(capsys):
     from textloom.__main__ import arguments, main
 

@@ -148,6 +148,50 @@ def pack_minhash(signature: list[int]) -> bytes:
     return b"".join((EMPTY if v < 0 else v).to_bytes(16, "big") for v in signature)
 
 
+def packed_signatures(texts: list[str | None], bins: int = 32, key: bytes = b"") -> list[bytes]:
+    """Packed signatures over all five-character shingles of many texts; a null text is as an empty one.
+
+    Texts share most of their shingles: each distinct one of a batch is hashed once, and the least hash of every bin is
+    found by its rank among them.
+    """
+    out: list[bytes] = []
+    bodies = [" ".join((t or "").split()) for t in texts]
+    low = 0
+    while low < len(bodies):
+        high, held = low, 0
+        while high < len(bodies) and (high == low or held + len(bodies[high]) <= 1 << 21):
+            held += len(bodies[high])
+            high += 1
+        out += _signatures(bodies[low:high], bins, key)
+        low = high
+    return out
+
+
+def _signatures(bodies: list[str], bins: int, key: bytes) -> list[bytes]:
+    sizes = np.array([len(b) for b in bodies])
+    whole = "".join(bodies)
+    codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(bodies)), sizes)
+    at = np.flatnonzero(owner[:-4] == owner[4:]) if len(owner) > 4 else np.zeros(0, np.int64)
+    best = np.full(len(bodies) * bins, -1, np.int64)
+    table = np.full((1, 16), 255, np.uint8)
+    if len(at):
+        pair = np.empty((len(at), 2), np.uint64)
+        pair[:, 0] = codes[at] | (codes[at + 1] << np.uint64(21)) | (codes[at + 2] << np.uint64(42))
+        pair[:, 1] = codes[at + 3] | (codes[at + 4] << np.uint64(21))
+        _, first, inverse = np.unique(pair.view("V16").ravel(), return_index=True, return_inverse=True)
+        placed = [divmod(int.from_bytes(blake2b(whole[i : i + 5].encode("utf-8", "surrogatepass"), digest_size=16, key=key).digest(), "big"), bins) for i in at[first].tolist()]
+        order = sorted(range(len(placed)), key=lambda i: placed[i][0])
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        table = np.concatenate([np.frombuffer(b"".join(placed[i][0].to_bytes(16, "big") for i in order), np.uint8).reshape(-1, 16), table])
+        cell = owner[at] * bins + np.array([b for _, b in placed])[inverse]
+        best[:] = len(order)
+        np.minimum.at(best, cell, rank[inverse])
+    packed = table[best].reshape(len(bodies), bins * 16)
+    return [row.tobytes() for row in packed]
+
+
 def packed_similarity(a: bytes, b: bytes) -> float:
     """``minhash_similarity`` of packed signatures of one length."""
     if len(a) != len(b) or len(a) % 16:
@@ -177,7 +221,7 @@ def greedy_near_duplicates(frame: DataFrame, key: str, block: str, text: str, *,
 
     @F.pandas_udf("binary")
     def signature(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: pack_minhash(one_permutation_minhash(t)))
+        return pd.Series(packed_signatures(texts.tolist()))
 
     signed = frame.where(F.col(text).isNotNull()).select(
         F.col(key).alias("k"), F.col(block).alias("b"), sha(F.col(text)).alias("exact"), signature(F.col(text)).alias("sig")
