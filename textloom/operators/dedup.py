@@ -152,8 +152,10 @@ def packed_signatures(texts: list[str | None], bins: int = 32, key: bytes = b"")
     """Packed signatures over all five-character shingles of many texts; a null text is as an empty one.
 
     Texts share most of their shingles: each distinct one of a batch is hashed once, and the least hash of every bin is
-    found by its rank among them.
+    found by its rank among them. The number of bins is a power of two.
     """
+    if bins < 2 or bins & (bins - 1):
+        raise ValueError("the number of bins is a power of two")
     out: list[bytes] = []
     bodies = [" ".join((t or "").split()) for t in texts]
     low = 0
@@ -176,16 +178,23 @@ def _signatures(bodies: list[str], bins: int, key: bytes) -> list[bytes]:
     best = np.full(len(bodies) * bins, -1, np.int64)
     table = np.full((1, 16), 255, np.uint8)
     if len(at):
-        pair = np.empty((len(at), 2), np.uint64)
-        pair[:, 0] = codes[at] | (codes[at + 1] << np.uint64(21)) | (codes[at + 2] << np.uint64(42))
-        pair[:, 1] = codes[at + 3] | (codes[at + 4] << np.uint64(21))
-        _, first, inverse = np.unique(pair.view("V16").ravel(), return_index=True, return_inverse=True)
-        placed = [divmod(int.from_bytes(blake2b(whole[i : i + 5].encode("utf-8", "surrogatepass"), digest_size=16, key=key).digest(), "big"), bins) for i in at[first].tolist()]
-        order = sorted(range(len(placed)), key=lambda i: placed[i][0])
+        left = codes[at] | (codes[at + 1] << np.uint64(21)) | (codes[at + 2] << np.uint64(42))
+        right = codes[at + 3] | (codes[at + 4] << np.uint64(21))
+        mixed = (left ^ (left >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + (right ^ (right >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        _, first, inverse = np.unique(mixed ^ (mixed >> np.uint64(32)), return_index=True, return_inverse=True)
+        if not (np.array_equal(left[first][inverse], left) and np.array_equal(right[first][inverse], right)):  # two shingles of one mix
+            _, first, inverse = np.unique(np.stack([left, right], axis=1), axis=0, return_index=True, return_inverse=True)
+        digests = b"".join([blake2b(whole[i : i + 5].encode("utf-8", "surrogatepass"), digest_size=16, key=key).digest() for i in at[first].tolist()])
+        high, low = np.frombuffer(digests, ">u8").astype(np.uint64).reshape(-1, 2).T
+        shift = np.uint64(bins.bit_length() - 1)
+        place = (low & np.uint64(bins - 1)).astype(np.int64)
+        high, low = high >> shift, (low >> shift) | (high << (np.uint64(64) - shift))
+        order = np.lexsort((low, high))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        table = np.concatenate([np.frombuffer(b"".join(placed[i][0].to_bytes(16, "big") for i in order), np.uint8).reshape(-1, 16), table])
-        cell = owner[at] * bins + np.array([b for _, b in placed])[inverse]
+        rests = np.stack([high[order], low[order]], axis=1).astype(">u8")
+        table = np.concatenate([rests.view(np.uint8).reshape(-1, 16), table])
+        cell = owner[at] * bins + place[inverse]
         best[:] = len(order)
         np.minimum.at(best, cell, rank[inverse])
     packed = table[best].reshape(len(bodies), bins * 16)
