@@ -11,7 +11,6 @@ and Han with a neighbour. A token made of look-alikes only tells nothing itself:
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from functools import lru_cache
 
@@ -35,6 +34,8 @@ HYPHENS = "‐‑﹣－"
 VISIBLE = ("<super>", "<sub>", "<circle>", "<square>", "<fraction>", "<font>", "<vertical>")
 # Blocks whose plain <compat> forms are drawn with brackets or stops around them, and symbol variants of letters.
 ENCLOSED = ((0x2460, 0x24FF), (0x3200, 0x33FF), (0x1F100, 0x1F2FF), (0x017F, 0x017F), (0x03D0, 0x03F6), (0x1E9A, 0x1E9B))
+# Ranges in which the character database is asked: ideographs, syllables, surrogates, private and empty planes need no rule.
+TABLED = ((0x80, 0x33FF), (0xA000, 0xABFF), (0xF900, 0x1FFFF), (0xE0000, 0xE0FFF))
 # Invisible characters outside category Cf.
 INVISIBLE = ((0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xE0100, 0xE01EF))
 
@@ -72,9 +73,7 @@ def _within(code: int, ranges: tuple[tuple[int, int], ...]) -> bool:
 def _tables() -> tuple[dict[int, str | None], re.Pattern[str]]:
     """The replacement of every code point that has one, by rule from the character database."""
     table: dict[int, str | None] = {}
-    for code in range(0x80, sys.maxunicode + 1):
-        if 0x3400 <= code <= 0x9FFF or 0xAC00 <= code <= 0xDFFF or 0x20000 <= code <= 0x3FFFF or 0xE1000 <= code:
-            continue
+    for code in (code for first, last in TABLED for code in range(first, last + 1)):
         char = chr(code)
         kind = unicodedata.category(char)
         if kind == "Cf" or _within(code, INVISIBLE):

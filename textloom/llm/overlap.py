@@ -33,9 +33,9 @@ def overlap_form(text: str) -> str:
     return " ".join(skeleton(text).lower().split())
 
 
-def loose_hash(form: str) -> str:
+def loose_hash(form: str) -> bytes:
     """Hash of the letters and digits alone; of the form itself if there are none."""
-    return blake2b(("".join(c for c in form if c.isalnum()) or form).encode(), digest_size=16).hexdigest()
+    return blake2b(("".join(c for c in form if c.isalnum()) or form).encode(), digest_size=16).digest()
 
 
 def matched_texts(texts: DataFrame) -> DataFrame:
@@ -70,7 +70,7 @@ def split_overlaps(entries: DataFrame, *, key: str, text: str, splits: str) -> D
         return {
             "k": keys,
             "form": done,
-            "h": [blake2b(f.encode(), digest_size=16).hexdigest() for f in done],
+            "h": [blake2b(f.encode(), digest_size=16).digest() for f in done],
             "loose": [loose_hash(f) for f in done],
             "train": train,
             "held": held,
@@ -84,7 +84,7 @@ def split_overlaps(entries: DataFrame, *, key: str, text: str, splits: str) -> D
         F.coalesce(F.exists(names, lambda s: s == "train"), F.lit(False)).alias("train"),
         F.coalesce(F.exists(names, lambda s: s.isin("dev", "test")), F.lit(False)).alias("held"),
     )
-    formed = map_batches(rows.where("train or held"), forms, f"k {kind}, form string, h string, loose string, train boolean, held boolean")
+    formed = map_batches(rows.where("train or held"), forms, f"k {kind}, form string, h binary, loose binary, train boolean, held boolean")
     records = write_table(formed.where("form <> ''"), "entries").frame
     texts = write_table(
         records.groupBy("h").agg(
