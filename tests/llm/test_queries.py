@@ -73,3 +73,35 @@ def test_batches_do_not_matter(spark, name):
         assert sorted(map(repr, Q.queries()[name](spark, DATA).collect())) == first
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def tied(pairs):
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    return {x: root(x) for x in parent}
+
+
+def test_classes_are_those_of_the_pairs(spark):
+    pairs = {(r.left_doc_id, r.right_doc_id) for r in Q.p10_found(spark, DATA).collect()}
+    rows = Q.p10_classes(spark, DATA).collect()
+    assert {r.doc_id: r.class_id for r in rows} == tied(pairs) and len(rows) == len({r.doc_id for r in rows}) > 0
+    pairs = {(r.left_id, r.right_id) for r in Q.p5_matches(spark, DATA).collect()}
+    rows = Q.p5_classes(spark, DATA).collect()
+    assert {r.entry_id for r in rows} == set(tied(pairs)) and len(rows) == len({r.entry_id for r in rows}) > 0
+    by_class, by_pairs = {}, {}
+    for r in rows:
+        by_class.setdefault(r.class_id, set()).add(r.entry_id)
+    for k, c in tied(pairs).items():
+        by_pairs.setdefault(c, set()).add(k)
+    assert all(any(p <= c for c in by_class.values()) for p in by_pairs.values())  # entries of one side and one form are one class as well
+    pairs = {(r.record_table, x) for r in Q.p3_found(spark, DATA).collect() for x in (r.left_id, r.right_id)}
+    assert {(r.record_table, r.record_id) for r in Q.p3_classes(spark, DATA).collect()} == pairs

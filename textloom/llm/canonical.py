@@ -249,3 +249,15 @@ def same_look_pairs(canon: DataFrame, *, table: str, key: str) -> DataFrame:
         .select(F.col("x.t").alias("record_table"), F.col("x.k").alias("left_id"), F.col("y.k").alias("right_id"))
         .distinct()
     )
+
+
+def look_classes(canon: DataFrame, *, table: str, key: str) -> DataFrame:
+    """Records that look like another one stored differently, one row each, without pairs.
+
+    Returns the table and key columns, ``class_id`` (the smallest key of the class), ``records`` and ``forms`` (how many
+    records and stored forms the class holds).
+    """
+    rows = canon.where(F.col("canonical").isNotNull()).select(F.col(table).alias("t"), F.col(key).alias("k"), "stored", F.md5("canonical").alias("look"))
+    rows = write_table(rows.distinct(), "looks").frame
+    sizes = rows.groupBy("t", "look").agg(F.min("k").alias("class_id"), F.count_distinct("k").alias("records"), F.count_distinct("stored").alias("forms")).where("forms > 1")
+    return rows.select("t", "k", "look").distinct().join(sizes, ["t", "look"]).select(F.col("t").alias(table), F.col("k").alias(key), "class_id", "records", "forms")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from textloom.functions.arrow import map_batches
 from textloom.llm.canonical import skeleton
 from textloom.llm.splits import split_name
+from textloom.operators.dedup import linked_classes
 from textloom.operators.setjoin import count_table, parity_sketch, piece_hashes, pieces, similar_pairs
 from textloom.session import write_table
 
@@ -56,13 +57,8 @@ def matched_texts(texts: DataFrame) -> DataFrame:
     return both.select("held_h", "train_h", kind.alias("match"), "similar")
 
 
-def split_overlaps(entries: DataFrame, *, key: str, text: str, splits: str) -> DataFrame:
-    """Pairs of a training and an evaluation record whose texts are the same or nearly so, smaller key first.
-
-    Returns ``left_id, right_id, match, similar`` (see ``matched_texts``). Null and empty texts overlap with nothing; a record that lists both sides is paired with itself; redelivered rows
-    count once; an empty table gives no pairs. Records with one form meet as one text: only forms are compared, and
-    the copies of a form are put back at the end.
-    """
+def entry_forms(entries: DataFrame, *, key: str, text: str, splits: str) -> tuple[DataFrame, DataFrame]:
+    """Entries of training or evaluation with the hash of their form, and the distinct forms: ``k, h, train, held`` and ``h, form, loose, train, held``."""
 
     def forms(batch: pa.RecordBatch) -> dict[str, list]:
         keys, texts, train, held = (c.to_pylist() for c in batch.columns)
@@ -92,8 +88,19 @@ def split_overlaps(entries: DataFrame, *, key: str, text: str, splits: str) -> D
         ),
         "forms",
     ).frame
+    return records.select("k", "h", "train", "held").distinct(), texts
+
+
+def split_overlaps(entries: DataFrame, *, key: str, text: str, splits: str) -> DataFrame:
+    """Pairs of a training and an evaluation record whose texts are the same or nearly so, smaller key first.
+
+    Returns ``left_id, right_id, match, similar`` (see ``matched_texts``). Null and empty texts overlap with nothing; a record that lists both sides is paired with itself; redelivered rows
+    count once; an empty table gives no pairs. Records with one form meet as one text: only forms are compared, and
+    the copies of a form are put back at the end.
+    """
+
+    slim, texts = entry_forms(entries, key=key, text=text, splits=splits)
     matched = matched_texts(texts)
-    slim = records.select("k", "h", "train", "held").distinct()
     held = slim.where("held").select(F.col("k").alias("i"), F.col("h").alias("held_h"), F.col("train").alias("both"))
     train = slim.where("train").select(F.col("k").alias("j"), F.col("h").alias("train_h"))
     pairs = matched.join(held, "held_h").join(train, "train_h").where("i <> j or both")
@@ -101,6 +108,27 @@ def split_overlaps(entries: DataFrame, *, key: str, text: str, splits: str) -> D
     return pairs.agg(F.max("match").alias("match"), F.bool_or("similar").alias("similar"))
 
 
+def overlap_classes(entries: DataFrame, *, key: str, text: str, splits: str) -> DataFrame:
+    """Entries whose text matches one on the other side, one row each, without pairs: ``key, class_id, links, copies``.
+
+    ``links`` counts the different forms an entry's form matches, ``copies`` the entries of its own form; ``class_id`` is
+    the smallest entry of all forms tied by matches. A form that stands on both sides is a class even without links.
+    """
+    slim, texts = entry_forms(entries, key=key, text=text, splits=splits)
+    slim = write_table(slim, "slim").frame
+    matched = write_table(matched_texts(texts), "matched").frame
+    sizes = slim.groupBy("h").agg(F.min("k").alias("first"), F.count_distinct("k").alias("copies"))
+    sizes = write_table(sizes, "sizes").frame
+    pairs = matched.where("held_h <> train_h").select(F.least("held_h", "train_h").alias("x"), F.greatest("held_h", "train_h").alias("y")).distinct()
+    named = lambda name, as_: sizes.select(F.col("h").alias(name), F.col("first").alias(as_))
+    ends = pairs.join(named("x", "a"), "x").join(named("y", "b"), "y").select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"))
+    hit = matched.select(F.col("held_h").alias("h")).unionByName(matched.select(F.col("train_h").alias("h"))).distinct()
+    nodes = sizes.join(hit, "h")
+    classes = linked_classes(write_table(ends, "ends").frame, nodes.select("first"), "first")
+    rows = slim.join(nodes, "h").join(classes, "first")
+    return rows.select(F.col("k").alias(key), "class_id", "links", "copies").distinct()
+
+
 def overlap_report(pairs: DataFrame, entries: DataFrame, *, key: str, splits: str, source: str, groups: str, samples: DataFrame) -> DataFrame:
     """Overlapping entries by split, by source of the entry, and by source of its sample groups.
 

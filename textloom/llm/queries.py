@@ -108,6 +108,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.same_look_pairs(p3_forms(spark, sf_dir), table="record_table", key="record_id")
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that look like another one stored differently, with their class."""
+    return canonical.look_classes(p3_forms(spark, sf_dir), table="record_table", key="record_id")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates that are or hold template residue, filler, error messages or script notices."""
     return residue.residue_evidence(spread(load(spark, sf_dir, "text_candidates").select("candidate_id", "text", "source_id")), key="candidate_id", text="text", host="source_id").select("candidate_id")
@@ -140,6 +145,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_matches(spark, sf_dir).where("similar").select("left_id", "right_id")
 
 
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries that match one on the other side, with their class and number of links."""
+    return overlap.overlap_classes(load(spark, sf_dir, "text_entries"), key="entry_id", text="normalized", splits="splits")
+
+
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matching entries by split and source of the entries and of their sample groups."""
     entries, samples = load(spark, sf_dir, "text_entries", "encoded_samples")
@@ -209,11 +219,16 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.span_pairs(load(spark, sf_dir, "documents"), key="doc_id", text="text")
 
 
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share a stretch with another, with their class."""
+    return spans.span_classes(load(spark, sf_dir, "documents"), key="doc_id", text="text")
+
+
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the share of it that stands elsewhere."""
     return spans.shared_shares(load(spark, sf_dir, "documents"), key="doc_id", text="text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = "p1_found p1_splits p1_shares p2_totals p2_records p3_found p3_forms p4_found p4_manifest p5_found p5_matches p5_report p6_found p6_shares p6_manifest p7_found p7_routes p8_ids p9_found p9_items p10_found p10_shares".split()
+    names = "p1_found p1_splits p1_shares p2_totals p2_records p3_found p3_classes p3_forms p4_found p4_manifest p5_found p5_matches p5_classes p5_report p6_found p6_shares p6_manifest p7_found p7_routes p8_ids p9_found p9_items p10_found p10_classes p10_shares".split()
     return {name: globals()[name] for name in names}

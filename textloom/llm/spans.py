@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.arrow import map_batches, map_stream
+from textloom.operators.graph import components
 from textloom.operators.merge import merge_rounds, partitions
 from textloom.session import write_table
 
@@ -361,6 +362,33 @@ def span_pairs(documents: DataFrame, *, key: str, text: str, span: int = 200) ->
     return pairs.select(F.least("i", "j").alias(f"left_{key}"), F.greatest("i", "j").alias(f"right_{key}")).distinct()
 
 
+def span_classes(documents: DataFrame, *, key: str, text: str, span: int = 200) -> DataFrame:
+    """Records that share a stretch of at least ``span`` code points, one row each, without pairs: ``key, class_id, copies, stretches``.
+
+    ``class_id`` is the smallest record of all tied by shared stretches, ``copies`` the number of records with the same
+    text, ``stretches`` that of the places in the text around which another text agrees. A class of surroundings ties its
+    texts through itself and two classes that share a stretch through one text of each, so nothing grows with pairs.
+    """
+    classes, members = window_classes(documents, key=key, text=text, span=span)
+    members = write_table(members, "members").frame
+    found = write_table(shared_stretches(classes, span).select("window", "left", "right").distinct(), "stretches").frame
+    sides = found.select("window", F.col("left").alias("class")).unionByName(found.select("window", F.col("right").alias("class"))).distinct()
+    held = write_table(members.join(sides, ["window", "class"]), "held").frame
+    one = held.groupBy("window", "class").agg(F.min("same").alias("same"))
+    met = found.where("left <> right").join(one.select("window", F.col("class").alias("left"), F.col("same").alias("a")), ["window", "left"])
+    met = met.join(one.select("window", F.col("class").alias("right"), F.col("same").alias("b")), ["window", "right"])
+    across = met.select(F.concat("left", "right", F.hex("window").cast("binary")).alias("r"), F.explode(F.array("a", "b")).alias("e"))
+    tied = held.select(F.concat("class", F.hex("window").cast("binary")).alias("r"), F.col("same").alias("e")).unionByName(across)
+    label = components(tied, "r", "e")
+    places = held.groupBy("same").agg(F.count_distinct("place").alias("stretches"))
+    records = documents.where((F.length(text) >= span) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.unhex(F.md5(text)).alias("same")).distinct()
+    copies = records.groupBy("same").agg(F.count("*").alias("copies"))
+    rows = records.join(copies, "same").join(label.withColumnRenamed("entity", "same"), "same", "left").join(places, "same", "left")
+    rows = write_table(rows.where("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "same")), "rows").frame
+    firsts = rows.groupBy("component").agg(F.min("k").alias("class_id"))
+    return rows.join(firsts, "component").select(F.col("k").alias(key), "class_id", "copies", F.coalesce("stretches", F.lit(0)).alias("stretches"))
+
+
 def shared_shares(documents: DataFrame, *, key: str, text: str, span: int = 200) -> DataFrame:
     """For every record how many of its code points stand, in stretches of at least ``span``, in another record too.
 
