@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as X
 from textloom.operators import vocabulary as V
+from textloom.plans import sqltext as S
 from textloom.session import load, spread, write_table
 
 #: File of the public tokenizer that is evaluated.
@@ -154,6 +155,7 @@ QUERIES = {
 }
 
 SQL = {
+    "alphabet_states": f"with c as (select ch, count(*) as n from (select unnest(string_split(text, '')) as ch from documents where text is not null) where ch <> '' group by ch), a as (select distinct unnest(string_split({S.quoted(''.join(sorted(must_cover_alphabet())))}, '')) as ch) select coalesce(c.ch, a.ch) as character, coalesce(n, 0) as occurrences, case when a.ch is null then 'outside' when n is null then 'unused' else 'used' end as state from c full join a on a.ch = c.ch",
     "word_feed": f"with w as (select unnest(regexp_split_to_array(text, '[{X.WHITE}]+')) as w from documents where text is not null) select '▁' || w as word, count(*) as occurrences from w where w <> '' group by w",
     "char_inventory": f"with {_CHARS} select lang, c as character, n as occurrences from chars",
     "char_coverage": f"with {_CHARS} select lang, count(*) as characters, count(*) filter (regexp_matches(c, {_COVER})) as covered, sum(n)::bigint as occurrences, sum(case when regexp_matches(c, {_COVER}) then n else 0 end)::bigint as covered_occurrences from chars where lang is not null group by lang",
