@@ -132,6 +132,19 @@ _AB = "(select distinct on (id) * from hymt2_decode_ab)"
 _BATCH = f"b as (select *, ((row_number() over (partition by route order by id) - 1) // 12)::int as batch, {S.token_estimate('source_text')} as tokens from {_AB})"
 _BODY = S.quoted(PROMPT).replace("{target}", "' || target_language || '").replace("{text}", "' || source_text || '")
 
+
+
+def _foreign_sql() -> str:
+    """Characters one by one: a letter or pictorial sign that is neither shared by all scripts nor of the language's own."""
+    own = " ".join(f"when '{tag}' then {S.quoted('[' + ''.join(X.SCRIPTS[s] for s in names) + ']')}" for tag, names in X.EXPECTED.items())
+    some = S.quoted(r"[\p{L}\p{So}\x{2190}-\x{21FF}\x{1F300}-\x{1FAFF}]")
+    shared = S.quoted(r"[\p{Lm}\x{0}-\x{40}\x{5B}-\x{60}\x{7B}-\x{BF}]")
+    odd = f"lambda c: regexp_matches(c, {some}) and not regexp_matches(c, {shared}) and not regexp_matches(c, own)"
+    return f"""with d as (select doc_id, lang, text, string_split(text, '') as chars, case lang {own} end as own from documents where text is not null and text <> '' and lang in ({', '.join(f"'{t}'" for t in X.EXPECTED)})),
+f as (select doc_id, lang, text, list_position(list_transform(chars, {odd}), true) as spot from d)
+select doc_id, lang, spot::int as spot, substr(text, greatest(spot - 10, 1), 21) as context from f where spot > 0"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -152,5 +165,6 @@ SQL = {
     "blind_queue": f"with r as (select id, case when baseline_filter_accepted <> challenger_filter_accepted then 'disagree' else 'agree' end as kind, case when (strpos('0123456789abcdef', substr(sha256(id), 2, 1)) - 1) % 2 = 0 then 'left' else 'right' end as side from {_AB} where not exact_match and challenger_translation is not null), t as (select * from r order by kind <> 'disagree', sha256(id), id limit 100) select kind, side, count(*) as items, min(id) as first_id from t group by all",
     "training_rows": f"with r as (select route, {S.collapse('source_text')} as s, {S.collapse('challenger_translation')} as t from {_AB} where challenger_filter_accepted), d as (select *, sha256(concat_ws(chr(31), route, s, t)) as d from r where s <> '' and t <> '') select route, count(*) as rows, count(distinct d) as distinct_rows, sum(length(s) + length(t))::bigint as characters, min(d) as least_digest from d group by 1",
     "input_ids": f"select case when source_record_id is not null then 'record' when semantic_group_id is not null then 'group' else 'row' end as kind, count(*) as records, count(distinct coalesce(source_record_id, semantic_group_id, id)) as distinct_ids from {_AB} group by 1",
+    "foreign_examples": _foreign_sql(),
     "marginal_examples": r"with r as (select doc_id, lang, text, length(regexp_extract(text, '^(?s:(.*?))[\x{400}-\x{4FF}\x{2190}-\x{21FF}\x{1F300}-\x{1FAFF}]', 1)) + 1 as spot from documents where text is not null and lang in ('jpn_Jpan', 'kor_Hang') and regexp_matches(text, '[\x{400}-\x{4FF}\x{2190}-\x{21FF}\x{1F300}-\x{1FAFF}]')) select doc_id, lang, spot::int as spot, substr(text, greatest(spot - 10, 1), 21) as context from r",
 }
